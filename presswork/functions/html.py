@@ -78,10 +78,14 @@ def open_tags(html: Column, pattern: str | Column) -> Column:
 
 
 def attribute(tag: Column, name: str | Column) -> Column:
-    """Value of an attribute of an open tag, '' when absent."""
+    """Value of an attribute of an open tag; '' when absent, null without a tag."""
     pattern = F.concat(F.lit(r"(?is)\s"), _col(name), F.lit(r"""\s*=\s*(?:"([^"]*)"|'([^']*)')"""))
-    quoted = [or_empty(F.get(F.regexp_extract_all(tag, pattern, group), F.lit(0))) for group in (1, 2)]
-    return F.concat(*quoted)
+
+    def value(t: Column) -> Column:
+        quoted = [or_empty(F.get(F.regexp_extract_all(t, pattern, group), F.lit(0))) for group in (1, 2)]
+        return F.when(t.isNotNull(), F.concat(*quoted))
+
+    return let(tag, value)
 
 
 def _tag_name(segment: Column) -> Column:

@@ -107,8 +107,3 @@ def default_body(content: Column, title: Column, source_name: Column, url: Colum
 
 def site_body(source_name: Column, title: Column, url: Column) -> Column:
     return F.format_string(SITE_BODY, source_name, title, url)
-
-
-def ascii_fold(c: Column) -> Column:
-    """Lower-case A-Z only, so that accented letters keep their case."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -45,16 +45,22 @@ def _key_columns() -> list[Column]:
         title_key(F.col("title"), F.col("source_name")).alias(TITLE)]
 
 
+def _with_own_title(rows: DataFrame) -> DataFrame:
+    """A record without a title key gets one of its own.
+
+    Later steps then meet neither nulls nor one large group of them.
+    """
+    own = F.concat(F.lit("#"), F.col(SEQ).cast("string"))
+    return rows.withColumn(TITLE, F.coalesce(F.col(TITLE), own))
+
+
 def _collapsed(batch: DataFrame) -> DataFrame:
     """The earliest record of each (URL, title) pair; no other can be accepted.
 
-    Copies collapse before the shuffle. A record without a title key gets one of
-    its own, so that later steps meet neither nulls nor a heavy null group.
+    Copies collapse before the shuffle.
     """
-    pairs = (
-        batch.select(SEQ, *_key_columns()).groupBy(URL, TITLE).agg(F.min(SEQ).alias(SEQ)))
-    own = F.concat(F.lit("#"), F.col(SEQ).cast("string"))
-    return pairs.withColumn(TITLE, F.coalesce(F.col(TITLE), own))
+    pairs = batch.select(SEQ, *_key_columns()).groupBy(URL, TITLE).agg(F.min(SEQ).alias(SEQ))
+    return _with_own_title(pairs)
 
 
 def _known(store_keys: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
@@ -78,7 +84,7 @@ def accepted_keys(batch: DataFrame, store: DataFrame | None = None,
     """
     ensure_checkpoint_dir(batch.sparkSession)
     rest = _collapsed(batch).checkpoint()
-    heavy = {key: skew.heavy_keys(rest, key, heavy_floor).checkpoint() for key in (URL, TITLE)}
+    heavy = {key: skew.heavy_or_none(rest, key, heavy_floor) for key in (URL, TITLE)}
 
     if store is not None:
         stored = store.select(*_key_columns())
@@ -110,12 +116,13 @@ def greedy_dedup(batch: DataFrame, store: DataFrame | None = None, **options) ->
 
 def existing_in(batch: DataFrame, store: DataFrame, heavy_floor: int = skew.HEAVY_FLOOR) -> DataFrame:
     """``ingest_seq`` of the records whose URL, or title and source, the store has."""
-    keys = batch.select(SEQ, *_key_columns())
+    ensure_checkpoint_dir(batch.sparkSession)
+    keys = _with_own_title(batch.select(SEQ, *_key_columns())).checkpoint()
     stored = store.select(*_key_columns())
     absent = keys
     for key in (URL, TITLE):
         known = _known(stored.select(key), keys, key)
-        absent = skew.drop_matching(absent, known, key, skew.heavy_keys(keys, key, heavy_floor), SEQ)
+        absent = skew.drop_matching(absent, known, key, skew.heavy_or_none(keys, key, heavy_floor), SEQ)
     return keys.select(SEQ).join(absent.select(SEQ), SEQ, "left_anti")
 
 

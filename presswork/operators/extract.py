@@ -8,7 +8,9 @@ shuffle (the rules are a small broadcast side).
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,20 +154,15 @@ def body_of(page: Column, site: Column) -> Column:
 
 # -- articles ---------------------------------------------------------------
 
-def fields(pages: DataFrame, sites: Iterable[Site] | None = None) -> DataFrame:
-    """page_id, url, site name, base and the raw title, image and body of each page.
+@lru_cache(maxsize=2)
+def _field_columns(_context: SparkContext | None) -> tuple[Column, ...]:
+    """The field expressions, built once per Spark context.
 
-    Two steps, so that the cleaned page is computed once and the page itself is
-    dropped as soon as its fields are known.
+    They consist of some thousand calls into the JVM and depend on no page and no
+    rule: the rules are a column.
     """
-    ruled = with_rules(pages, sites)
-    url, site = F.col("url"), F.col("site")
-    cleaned = ruled.select(
-        "page_id", "url", "site", "html",
-        H.without_noise(F.col("html"), ["script", "style"]).alias("page"))
-    page = F.col("page")
-    return cleaned.select(
-        "page_id", "url",
+    url, site, page = F.col("url"), F.col("site"), F.col("page")
+    return (
         F.when(site["name"] != "", site["name"]).otherwise(U.domain(url)).alias("source_name"),
         site["names_itself"].alias("names_itself"), site["gated"].alias("gated"),
         title_of(page, F.col("html"), url, site).alias("raw_title"),
@@ -174,6 +171,18 @@ def fields(pages: DataFrame, sites: Iterable[Site] | None = None) -> DataFrame:
         F.col("html").isNull().alias("missing"))
 
 
+def fields(pages: DataFrame, sites: Iterable[Site] | None = None) -> DataFrame:
+    """page_id, url, source name and the raw title, image and body of each page.
+
+    Two steps, so that the cleaned page is computed once and the page itself is
+    dropped as soon as its fields are known.
+    """
+    cleaned = with_rules(pages, sites).select(
+        "page_id", "url", "site", "html",
+        H.without_noise(F.col("html"), ["script", "style"]).alias("page"))
+    return cleaned.select("page_id", "url", *_field_columns(SparkContext._active_spark_context))
+
+
 def records(pages: DataFrame, sites: Iterable[Site] | None = None) -> DataFrame:
     """One row per page with the article fields and a ``reason`` when rejected."""
     found = fields(pages, sites).withColumn("title", X.clean_text(F.col("raw_title")))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,11 +77,17 @@ def site_links(html: Column, site: Column) -> Column:
     return H.let(full, lambda links: F.when(site["distinct_links"], F.array_distinct(links)).otherwise(links))
 
 
+@lru_cache(maxsize=2)
+def _site_links(_context: SparkContext | None) -> Column:
+    """The link expression, built once per Spark context."""
+    return site_links(F.col("html"), F.col("site"))
+
+
 def listing_links(pages: DataFrame, sites: Iterable[Site] | None = None) -> DataFrame:
     """page_id, pos, source_name, link of every listing page."""
     ruled = with_rules(pages, sites)
     listed = ruled.select("page_id", "url", F.col("site")["name"].alias("name"),
-                          site_links(F.col("html"), F.col("site")).alias("links"))
+                          _site_links(SparkContext._active_spark_context).alias("links"))
     named = listed.withColumn("source_name", U.source_or_domain(F.col("name"), F.col("url")))
     return numbered(named, F.col("links"), "link", "page_id", "source_name")
 

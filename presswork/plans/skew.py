@@ -33,13 +33,23 @@ def _tagged(rows: DataFrame, key: str, heavy: DataFrame, spread_by: str) -> Data
     return rows.join(marks, key, "left").withColumn("_slot", F.when(apart, slot).otherwise(0)).drop("_heavy")
 
 
-def drop_matching(rows: DataFrame, keys: DataFrame, key: str, heavy: DataFrame, spread_by: str) -> DataFrame:
-    """Rows whose ``key`` is not in ``keys``; null keys stay.
+def heavy_or_none(rows: DataFrame, key: str, floor: int = HEAVY_FLOOR) -> DataFrame | None:
+    """The heavy keys of materialised rows, None when there are none."""
+    if rows.count() <= floor:
+        return None
+    heavy = heavy_keys(rows, key, floor).checkpoint()
+    return None if heavy.isEmpty() else heavy
+
+
+def drop_matching(rows: DataFrame, keys: DataFrame, key: str, heavy: DataFrame | None, spread_by: str) -> DataFrame:
+    """Rows whose ``key`` is not in ``keys``.
 
     Heavy keys are looked up in a broadcast set, and their rows are then spread
     over slots that match nothing, so they never meet in one task.
     """
     keys = keys.select(key)
+    if heavy is None:
+        return rows.join(keys, key, "left_anti")
     hot = keys.join(F.broadcast(heavy), key, "left_semi")
     cold = keys.join(F.broadcast(heavy), key, "left_anti").withColumn("_slot", F.lit(0))
     kept = rows.join(F.broadcast(hot.distinct()), key, "left_anti")

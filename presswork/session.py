@@ -17,6 +17,9 @@ def local_session(cores: str | int = "*", app: str = "presswork", **conf: str) -
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # Extraction is built from thousands of column calls; recording the
+        # source line of each doubles the time that takes.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
     )
     for key, value in conf.items():

@@ -23,8 +23,13 @@ def ingest_pages(store: ArticleStore, pages: DataFrame, batch_id: int | None = N
 
 
 def page_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """New files of a Parquet page table."""
-    return spark.readStream.schema(PAGE_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    """New files of a Parquet page table, which is a folder or one file."""
+    reader = spark.readStream.schema(PAGE_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.getFileStatus(target).isFile():
+        return reader.option("pathGlobFilter", target.getName()).parquet(target.getParent().toString())
+    return reader.parquet(path)
 
 
 def start_ingest(store: ArticleStore, pages: DataFrame, checkpoint: str, once: bool = False,

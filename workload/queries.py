@@ -119,7 +119,7 @@ def links_filtered(spark, sf):
 
 @query
 def site_listing_links(spark, sf):
-    return links.listing_links(site_pages(spark, sf))
+    return links.listing_links(spread(V.view(spark, sf, V.SITE_LISTINGS)))
 
 
 @query

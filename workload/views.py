@@ -106,6 +106,22 @@ select page_id, url, cast(page_id % 4 as int) as path_rank,
 from {pages}
 """
 
+# Listing pages of the known sites: the navigation links as items of four kinds,
+# with the page's own article element taken out of the way on most pages.
+SITE_LISTINGS = f"""
+select page_id, {_BASE} as url,
+  replace(replace(
+    case when page_id % 3 = 0 then html else replace(html, '<article>', '<section>') end,
+    '<li><a href="/', case page_id % 4
+      when 0 then '<li><div class="content-item listingResult card post o-hit"><div><h2><a class="article-link js_link card-item__link title" href="/news/'
+      when 1 then '<li><article class="js_post_item browse-clip"><h3><a class="js_link" href="/articles/2024/'
+      when 2 then '<li><a data-analytics-link="article" href="/tag/'
+      else '<li><article class="list-item"><a href="/author/x">au</a><h2><a href="https://other.example.com/news/' end),
+    '</a></li>', case page_id % 4 when 0 then '</a></h2></div></div></li>' when 1 then '</a></h3></article></li>'
+      when 2 then '</a></li>' else '</a></h2></article></li>' end) as html
+from {{pages}}
+"""
+
 # Image bytes by document: a signature and a filler that grows with the text.
 IMAGE_BYTES = """
 select concat('img/', cast(doc_id as varchar(20)), '.bin') as path,
