@@ -4,34 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from presswork.functions.images import image_kind, image_ok
 from presswork.functions.text import or_empty
 from presswork.operators.catalog import export_view
 from presswork.operators.repair import backfill_content
-from presswork.schema import ENVELOPE_SCHEMA, HISTORY_SCHEMA, PUBLIC_COLUMNS, TIMESTAMP_FORMAT
+from presswork.schema import ENVELOPE_SCHEMA, PUBLIC_COLUMNS, TIMESTAMP_FORMAT
 from presswork.sources.store import ArticleStore
 
-_CORRUPT = "_corrupt_record"
-
-
 class CorruptEnvelope(RuntimeError):
     """An envelope could not be read; it is left as it is."""
 
 
 def _envelopes(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType([*ENVELOPE_SCHEMA.fields, T.StructField(_CORRUPT, T.StringType())])
-    return (
-        spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _CORRUPT).json(path)
-        .withColumn("_file", F.input_file_name()))
+    """file, raw and whether the text is no JSON; an envelope is one whole file."""
+    return spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw"),
+        F.try_parse_json("value").isNull().alias("corrupt"))
 
 
 def read_envelope(spark: SparkSession, path: str) -> DataFrame:
     """Article rows of the readable envelopes below ``path``, missing fields as ''."""
-    good = _envelopes(spark, path).filter(F.col(_CORRUPT).isNull())
-    rows = good.select("_file", F.posexplode("articles").alias("pos", "a"))
+    good = _envelopes(spark, path).filter(~F.col("corrupt"))
+    rows = good.select(F.posexplode(F.from_json("raw", ENVELOPE_SCHEMA)["articles"]).alias("pos", "a"))
     return rows.select(
         F.col("pos").cast("long").alias("pos"),
         *(or_empty(F.col("a")[name]).alias(name) for name in PUBLIC_COLUMNS))
@@ -39,8 +34,7 @@ def read_envelope(spark: SparkSession, path: str) -> DataFrame:
 
 def corrupt_envelopes(spark: SparkSession, path: str) -> DataFrame:
     """File and raw text of every envelope that cannot be read."""
-    return _envelopes(spark, path).filter(F.col(_CORRUPT).isNotNull()).select(
-        F.col("_file").alias("file"), F.col(_CORRUPT).alias("raw"))
+    return _envelopes(spark, path).filter("corrupt").select("file", "raw")
 
 
 def read_envelope_strict(spark: SparkSession, path: str) -> DataFrame:
@@ -86,7 +80,7 @@ def export(store: ArticleStore, path: str, content: DataFrame | None = None, now
     written = store.spark.read.schema(ENVELOPE_SCHEMA["articles"].dataType.elementType).json(path)
     written.agg(F.count("*").alias("article_count")).select(
         stamp.alias("timestamp"), F.lit(path).alias("filename"), "article_count"
-    ).to(HISTORY_SCHEMA).write.mode("append").parquet(store.history_path)
+    ).write.mode("append").parquet(store.history_path)
 
 
 def write_content(articles: DataFrame, path: str, mode: str = "append") -> None:

@@ -70,8 +70,12 @@ class ArticleStore:
     def history(self) -> DataFrame:
         return self.spark.read.schema(HISTORY_SCHEMA).parquet(self.history_path)
 
+    def _seen(self) -> DataFrame:
+        return self.spark.read.schema(METRICS_SCHEMA).parquet(self.metrics_path)
+
     def next_batch(self) -> int:
-        return (self.with_batches().agg(F.max(BATCH)).first()[0] or 0) + 1
+        """A batch number no earlier batch has, even one that brought nothing new."""
+        return (self._seen().agg(F.max(BATCH)).first()[0] or 0) + 1
 
     def add(self, batch: DataFrame, batch_id: int | None = None, now: Column | None = None, **options) -> DataFrame:
         """Append what is new in ``batch`` and return it as stored.
@@ -98,9 +102,8 @@ class ArticleStore:
         What was added is counted in the store, so a batch that ran twice still
         shows what it brought the first time.
         """
-        seen = self.spark.read.schema(METRICS_SCHEMA).parquet(self.metrics_path)
         kept = self.with_batches().groupBy(BATCH, "source_name").agg(F.count("*").alias("added"))
-        return seen.join(kept, [BATCH, "source_name"], "left").select(
+        return self._seen().join(kept, [BATCH, "source_name"], "left").select(
             BATCH, "source_name", "total", F.coalesce("added", F.lit(0)).alias("added"))
 
     def metrics(self) -> DataFrame:
