@@ -109,9 +109,29 @@ def accepted_keys(batch: DataFrame, store: DataFrame | None = None,
     return reduce(DataFrame.unionByName, [r.select(SEQ) for r in rounds])
 
 
-def greedy_dedup(batch: DataFrame, store: DataFrame | None = None, **options) -> DataFrame:
+# Most sequence numbers (8 bytes each) that are broadcast.
+BROADCAST_ROWS = 2_000_000
+
+
+def keep_rows(batch: DataFrame, accepted: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The batch rows with an accepted ``ingest_seq``.
+
+    A crawl mostly brings either few new records or few known ones. Whichever of
+    the accepted and the rejected numbers are few is broadcast, and the wide rows
+    are filtered where they are; only when both are many do they shuffle.
+    """
+    if accepted.count() <= broadcast_rows:
+        return batch.join(F.broadcast(accepted), SEQ, "left_semi")
+    rejected = batch.select(SEQ).join(accepted, SEQ, "left_anti").checkpoint()
+    if rejected.count() <= broadcast_rows:
+        return batch.join(F.broadcast(rejected), SEQ, "left_anti")
+    return batch.join(accepted, SEQ, "left_semi")
+
+
+def greedy_dedup(batch: DataFrame, store: DataFrame | None = None,
+                 broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
     """The accepted records of the batch, all columns."""
-    return batch.join(accepted_keys(batch, store, **options), SEQ, "left_semi")
+    return keep_rows(batch, accepted_keys(batch, store, **options), broadcast_rows)
 
 
 def existing_in(batch: DataFrame, store: DataFrame, heavy_floor: int = skew.HEAVY_FLOOR) -> DataFrame:

@@ -99,8 +99,10 @@ def first_path(links: DataFrame, wanted: DataFrame | None = None, known: DataFra
     ``links``: source_name, path_rank, page_id, pos, link. Sources of ``wanted``
     without links get their ``known`` ones (source_name, pos, link) instead.
     """
-    best = links.groupBy("source_name").agg(F.min("path_rank").alias("best_rank"))
-    ranked = skew.attach(links, best, "source_name", "page_id", skew.heavy_keys(links, "source_name", heavy_floor))
+    counts = links.groupBy("source_name").agg(F.min("path_rank").alias("best_rank"), F.count("*").alias("_n"))
+    best = counts.drop("_n")
+    ranked = skew.attach(
+        links, best, "source_name", skew.heavy_keys(counts, "source_name", heavy_floor), "page_id")
     chosen = ranked.filter(F.col("path_rank") == F.col("best_rank")).select(
         "source_name", "path_rank", "page_id", "pos", "link")
     if wanted is None or known is None:

@@ -75,10 +75,9 @@ def backfill_content(articles: DataFrame, side: DataFrame, heavy_floor: int = sk
     content = F.col("content")
     full = articles.filter(~X.is_blank(content))
     blank = articles.filter(X.is_blank(content)).drop("content")
-    asked = side.join(blank.select("id").distinct(), "id", "left_semi").select(
-        "id", F.col("content").alias("_side"))
-    heavy = skew.heavy_keys(blank, "id", heavy_floor)
-    found = skew.attach(blank, asked, "id", "ingest_seq", heavy)
+    counts = skew.key_counts(blank, "id")
+    asked = side.join(counts.select("id"), "id", "left_semi").select("id", F.col("content").alias("_side"))
+    found = skew.attach(blank, asked, "id", skew.heavy_keys(counts, "id", heavy_floor), "ingest_seq")
     wording = F.format_string(X.EXPORT_BODY, F.coalesce("source_url", F.lit("Unknown source")))
     filled = found.withColumn("content", F.when(X.is_blank(F.col("_side")), wording).otherwise(F.col("_side")))
     return full.unionByName(filled.drop("_side"))

@@ -18,11 +18,15 @@ HEAVY_FLOOR = 1_000_000
 SLOTS = 1024
 
 
-def heavy_keys(rows: DataFrame, key: str, floor: int = HEAVY_FLOOR) -> DataFrame:
-    """Distinct heavy values of ``key``; fewer than ``HEAVY_KEYS`` rows."""
-    total = rows.agg(F.count("*")).scalar()
-    counted = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    return counted.filter((F.col("_n") > floor) & (F.col("_n") * HEAVY_KEYS > total)).select(key)
+def key_counts(rows: DataFrame, key: str) -> DataFrame:
+    """Every value of ``key`` with its number of rows, ``_n``."""
+    return rows.groupBy(key).agg(F.count("*").alias("_n"))
+
+
+def heavy_keys(counts: DataFrame, key: str, floor: int = HEAVY_FLOOR) -> DataFrame:
+    """The heavy keys of a table of key counts; fewer than ``HEAVY_KEYS`` rows."""
+    total = counts.agg(F.sum("_n")).scalar()
+    return counts.filter((F.col("_n") > floor) & (F.col("_n") * HEAVY_KEYS > total)).select(key)
 
 
 def _tagged(rows: DataFrame, key: str, heavy: DataFrame, spread_by: str) -> DataFrame:
@@ -37,7 +41,7 @@ def heavy_or_none(rows: DataFrame, key: str, floor: int = HEAVY_FLOOR) -> DataFr
     """The heavy keys of materialised rows, None when there are none."""
     if rows.count() <= floor:
         return None
-    heavy = heavy_keys(rows, key, floor).checkpoint()
+    heavy = heavy_keys(key_counts(rows, key), key, floor).checkpoint()
     return None if heavy.isEmpty() else heavy
 
 
@@ -57,10 +61,8 @@ def drop_matching(rows: DataFrame, keys: DataFrame, key: str, heavy: DataFrame |
     return tagged.join(cold, [key, "_slot"], "left_anti").drop("_slot")
 
 
-def attach(rows: DataFrame, side: DataFrame, key: str, spread_by: str,
-           heavy: DataFrame | None = None) -> DataFrame:
+def attach(rows: DataFrame, side: DataFrame, key: str, heavy: DataFrame, spread_by: str) -> DataFrame:
     """Left join with a side that has one row per key, heavy keys by broadcast."""
-    heavy = heavy_keys(rows, key) if heavy is None else heavy
     columns = [c for c in side.columns if c != key]
     hot = side.join(F.broadcast(heavy), key, "left_semi")
     hot = hot.select(key, F.struct(*columns).alias("_hot"))

@@ -91,6 +91,13 @@ def test_twice_is_once_and_batches_join(spark):
     assert both == sorted(r[0] for r in once.collect())
 
 
+@pytest.mark.parametrize("limit", [0, 4, 100])
+def test_rows_are_kept_whichever_way(spark, limit):
+    rows = [(i, f"u{i % 40}", f"t{i}", "s") for i in range(43)]
+    kept = dedup.greedy_dedup(spark.createDataFrame(rows, SCHEMA), broadcast_rows=limit)
+    assert sorted(r["ingest_seq"] for r in kept.collect()) == sequential(rows)
+
+
 def test_merge_by_url(spark):
     old = [(1, "a", "x", "s"), (2, "a", "y", "s")]
     new = [(3, "b", "x", "s"), (4, "a", "q", "s"), (5, "b", "z", "s"), (6, "c", "x", "s")]
