@@ -29,8 +29,12 @@ def _view(df: DataFrame, names: Iterable[str]) -> list[Column]:
     return [one(n) for n in names]
 
 
+def public_columns(df: DataFrame) -> list[Column]:
+    return _view(df, PUBLIC_COLUMNS)
+
+
 def public_view(df: DataFrame) -> DataFrame:
-    return df.select(*_view(df, PUBLIC_COLUMNS))
+    return df.select(*public_columns(df))
 
 
 def of_source(df: DataFrame, source: str | None, ignore_case: bool = False) -> DataFrame:

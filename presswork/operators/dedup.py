@@ -84,7 +84,8 @@ def accepted_keys(batch: DataFrame, store: DataFrame | None = None,
     """
     ensure_checkpoint_dir(batch.sparkSession)
     rest = _collapsed(batch).checkpoint()
-    heavy = {key: skew.heavy_or_none(rest, key, heavy_floor) for key in (URL, TITLE)}
+    total = rest.count()
+    heavy = {key: skew.heavy_or_none(rest, total, key, heavy_floor) for key in (URL, TITLE)}
 
     if store is not None:
         stored = store.select(*_key_columns())
@@ -139,10 +140,11 @@ def existing_in(batch: DataFrame, store: DataFrame, heavy_floor: int = skew.HEAV
     ensure_checkpoint_dir(batch.sparkSession)
     keys = _with_own_title(batch.select(SEQ, *_key_columns())).checkpoint()
     stored = store.select(*_key_columns())
-    absent = keys
+    absent, total = keys, keys.count()
     for key in (URL, TITLE):
         known = _known(stored.select(key), keys, key)
-        absent = skew.drop_matching(absent, known, key, skew.heavy_or_none(keys, key, heavy_floor), SEQ)
+        heavy = skew.heavy_or_none(keys, total, key, heavy_floor)
+        absent = skew.drop_matching(absent, known, key, heavy, SEQ)
     return keys.select(SEQ).join(absent.select(SEQ), SEQ, "left_anti")
 
 

@@ -54,6 +54,10 @@ def repair_images(df: DataFrame, source: str = IMAGE_REPAIR_SOURCE, default: str
     return marked.withColumns(columns)
 
 
+def count_repaired(df: DataFrame) -> DataFrame:
+    return df.agg(F.count_if("repaired").alias("n"))
+
+
 def repair_titles(df: DataFrame, source: str = TITLE_REPAIR_SOURCE) -> DataFrame:
     """Replace the generic titles of one source by the URL slug or a content preview."""
     title, url, content = F.col("title"), F.col("source_url"), F.col("content")

@@ -37,9 +37,9 @@ def _tagged(rows: DataFrame, key: str, heavy: DataFrame, spread_by: str) -> Data
     return rows.join(marks, key, "left").withColumn("_slot", F.when(apart, slot).otherwise(0)).drop("_heavy")
 
 
-def heavy_or_none(rows: DataFrame, key: str, floor: int = HEAVY_FLOOR) -> DataFrame | None:
-    """The heavy keys of materialised rows, None when there are none."""
-    if rows.count() <= floor:
+def heavy_or_none(rows: DataFrame, total: int, key: str, floor: int = HEAVY_FLOOR) -> DataFrame | None:
+    """The heavy keys of ``total`` materialised rows, None when there are none."""
+    if total <= floor:
         return None
     heavy = heavy_keys(key_counts(rows, key), key, floor).checkpoint()
     return None if heavy.isEmpty() else heavy

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from presswork.functions.images import image_kind, image_ok
 from presswork.functions.text import or_empty
-from presswork.operators.catalog import export_view
+from presswork.operators.catalog import export_view, public_columns
+from presswork.operators.dedup import merge_by_url
 from presswork.operators.repair import backfill_content
 from presswork.schema import ENVELOPE_SCHEMA, PUBLIC_COLUMNS, TIMESTAMP_FORMAT
 from presswork.sources.store import ArticleStore
@@ -48,6 +49,21 @@ def read_envelope_strict(spark: SparkSession, path: str) -> DataFrame:
     return read_envelope(spark, path)
 
 
+def merge_dataset(spark: SparkSession, existing: str, new: DataFrame, out: str) -> None:
+    """Existing envelope records, then the new ones with unseen URLs, as JSON Lines.
+
+    ``out`` must be another path than ``existing``: switch readers over to it
+    when it is complete.
+    """
+    if out.rstrip("/") == existing.rstrip("/"):
+        raise ValueError("write a merged dataset to a path of its own")
+    old = read_envelope_strict(spark, existing).withColumnRenamed("pos", "ingest_seq")
+    merged = merge_by_url(
+        old.withColumn("is_new", F.lit(False)),
+        new.select("ingest_seq", *public_columns(new), F.lit(True).alias("is_new")))
+    merged.orderBy("is_new", "ingest_seq").select(*PUBLIC_COLUMNS).write.mode("errorifexists").json(out)
+
+
 # Most articles a single nested envelope may hold.
 ENVELOPE_MAX = 10_000
 

@@ -6,7 +6,6 @@ other batches, so a batch that is run again replaces itself and nothing else.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +13,7 @@ from pyspark.sql import types as T
 from presswork.functions.ids import article_id
 from presswork.operators.dedup import greedy_dedup
 from presswork.schema import ARTICLE_SCHEMA, HISTORY_SCHEMA
+from presswork.session import scratch_path
 
 BATCH = "batch_id"
 STORE_SCHEMA = T.StructType([*ARTICLE_SCHEMA.fields, T.StructField(BATCH, T.LongType())])
@@ -34,10 +34,14 @@ class ArticleStore:
         self.history_path = f"{self.root}/export_history"
         self.metrics_path = f"{self.root}/ingest_metrics"
 
+    def _path(self, path: str):
+        """(file system, path) as Hadoop objects."""
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
+
     def _exists(self, path: str) -> bool:
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
+        system, target = self._path(path)
+        return system.exists(target)
 
     def _empty(self, schema: T.StructType) -> DataFrame:
         return self.spark.createDataFrame([], schema)
@@ -80,12 +84,14 @@ class ArticleStore:
     def add(self, batch: DataFrame, batch_id: int | None = None, now: Column | None = None, **options) -> DataFrame:
         """Append what is new in ``batch`` and return it as stored.
 
-        The batch is computed once and kept on disk while its keys, its counts
-        and its accepted rows are taken from it.
+        The batch is computed once, into a scratch table in the shared folder; its
+        keys, its counts and its accepted rows are then column-pruned reads.
         """
         batch_id = self.next_batch() if batch_id is None else batch_id
-        rows = article_rows(batch, now).persist(StorageLevel.DISK_ONLY)
+        staged = scratch_path(self.spark, "batch")
+        article_rows(batch, now).write.parquet(staged)
         try:
+            rows = self.spark.read.schema(ARTICLE_SCHEMA).parquet(staged)
             others = self.with_batches().filter(F.col(BATCH) != batch_id)
             fresh = greedy_dedup(rows, others, **options)
             fresh.sortWithinPartitions(F.desc("scrape_timestamp"), "ingest_seq").write.mode(
@@ -93,7 +99,8 @@ class ArticleStore:
             rows.groupBy("source_name").agg(F.count("*").alias("total")).write.mode(
                 "overwrite").parquet(f"{self.metrics_path}/{BATCH}={batch_id}")
         finally:
-            rows.unpersist()
+            system, target = self._path(staged)
+            system.delete(target, True)
         return self.with_batches().filter(F.col(BATCH) == batch_id)
 
     def metrics_by_source(self) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 from presswork.operators.extract import articles
 from presswork.plans.rules import Site
 from presswork.schema import PAGE_SCHEMA
+from presswork.sources.files import export
+from presswork.sources.pages import spread
 from presswork.sources.store import ArticleStore
 
 # Fixed value: how often a running ingest looks for new pages.
@@ -19,7 +21,7 @@ INTERVAL = "3 hours"
 def ingest_pages(store: ArticleStore, pages: DataFrame, batch_id: int | None = None,
                  sites: Iterable[Site] | None = None, now: Column | None = None) -> DataFrame:
     """Extract a page table and append what is new; returns the stored rows."""
-    return store.add(articles(pages, sites), batch_id, now)
+    return store.add(articles(spread(pages), sites), batch_id, now)
 
 
 def page_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -33,17 +35,22 @@ def page_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
 
 
 def start_ingest(store: ArticleStore, pages: DataFrame, checkpoint: str, once: bool = False,
-                 sites: Iterable[Site] | None = None, now: Column | None = None) -> StreamingQuery:
+                 sites: Iterable[Site] | None = None, now: Column | None = None,
+                 export_to: str | None = None) -> StreamingQuery:
     """Ingest a page stream into the store.
 
     Keys never expire, so the store itself is the state: each micro-batch is
     de-duplicated against all other batches and overwrites its own folder, which
-    makes a replay harmless. ``once`` takes what is there and stops.
+    makes a replay harmless. ``once`` takes what is there and stops. With
+    ``export_to`` every batch is followed by an export into a folder of its own,
+    so nobody reads a folder while it is replaced; the history names the newest.
     """
     store.create()
 
     def add(batch: DataFrame, batch_id: int) -> None:
         ingest_pages(store, batch, batch_id + 1, sites, now)
+        if export_to is not None:
+            export(store, f"{export_to.rstrip('/')}/batch-{batch_id + 1}", now=now)
 
     writer = pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if once else {"processingTime": INTERVAL}

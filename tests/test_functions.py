@@ -176,6 +176,7 @@ def test_repairs(spark):
     df = spark.createDataFrame(rows, "ingest_seq int, source_name string, title string, image_url string, source_url string, content string")
     fixed = {r["ingest_seq"]: r for r in repair.repair_images(df).collect()}
     assert [fixed[i]["repaired"] for i in range(1, 6)] == [True, True, False, True, False]
+    assert repair.count_repaired(repair.repair_images(df)).first()["n"] == 3
     assert fixed[1]["image_url"] == repair.IMAGE_REPAIR_DEFAULT and fixed[5]["image_url"] == "https://i/ok.png"
     titles = {r["ingest_seq"]: r["title"] for r in repair.repair_titles(df).collect()}
     assert titles[6] == "New Game" and titles[7] == "TheGamer Article: " + "z" * 50 + "..."

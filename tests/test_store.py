@@ -49,6 +49,15 @@ def test_export_and_envelopes(spark, tmp_path):
     files.write_envelope(store.articles(), str(tmp_path / "env"), Q.now())
     back = files.read_envelope_strict(spark, str(tmp_path / "env")).orderBy("pos").drop("pos").collect()
     assert [r.asDict() for r in back] == lines
+    new = spark.createDataFrame(
+        [(1, "n1", lines[0]["source_url"]), (2, "n2", "https://new"), (3, "n3", "https://new")],
+        "ingest_seq long, title string, source_url string")
+    files.merge_dataset(spark, str(tmp_path / "env"), new, str(tmp_path / "merged"))
+    merged = [json.loads(line)["title"] for f in sorted((tmp_path / "merged").glob("*.json"))
+              for line in f.read_text().splitlines()]
+    assert merged == [line["title"] for line in lines] + ["n2"]
+    with pytest.raises(ValueError):
+        files.merge_dataset(spark, str(tmp_path / "env"), new, str(tmp_path / "env"))
     (tmp_path / "bad").mkdir()
     broken = tmp_path / "bad" / "broken.json"
     broken.write_text('{"scrape_timestamp": "x", "articles": [{"id": "a"')
@@ -88,8 +97,11 @@ def test_stream_equals_batch(spark, sf, tmp_path):
         pages.filter(overlap).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     store = ArticleStore(spark, str(tmp_path / "stream"))
     running = ingest.start_ingest(store, ingest.page_stream(spark, str(tmp_path / "in"), 1),
-                                  str(tmp_path / "state"), once=True, now=Q.now())
+                                  str(tmp_path / "state"), once=True, now=Q.now(), export_to=str(tmp_path / "out"))
     running.awaitTermination()
+    exported = {r["filename"].rsplit("/", 1)[1]: r["article_count"] for r in store.history().collect()}
+    assert set(exported) == {"batch-1", "batch-2", "batch-3"}
+    assert exported["batch-3"] == store.articles().count()
     assert {r["source_url"] for r in store.articles().collect()} == {r["source_url"] for r in batch.articles().collect()}
     rows = store.metrics().filter("total > 0").collect()
     assert len(rows) == 3 and sum(r["added"] for r in rows) == batch.articles().count()
