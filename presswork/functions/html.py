@@ -100,28 +100,41 @@ def _cut_before(text: Column, pattern: Column, limit: int = -1) -> Column:
     return F.split(F.concat(F.lit(" "), text), F.concat(F.lit("(?="), pattern, F.lit(")")), limit)
 
 
-def _same_tag_pieces(text: Column, name: Column) -> Column:
+def _same_tag_pieces(text: Column, name: Column, limit: int = -1) -> Column:
     """Cut in front of every open or close tag of the given name."""
-    return _cut_before(text, F.concat(F.lit("(?i)</?"), name, F.lit(r"[\s/>]")))
+    return _cut_before(text, F.concat(F.lit("(?i)</?"), name, F.lit(r"[\s/>]")), limit)
+
+
+def _closes(piece: Column) -> Column:
+    return F.startswith(piece, F.lit("</"))
 
 
 def _balanced(segment: Column) -> Column:
-    """struct(inner, closed) of the element whose open tag starts ``segment``."""
+    """struct(inner, closed) of the element whose open tag starts ``segment``.
+
+    When the next tag of the name is a close tag the rest is not looked at.
+    """
 
     def step(acc: Column, piece: Column) -> Column:
-        moved = F.when(acc["n"] == 0, 0).when(F.startswith(piece, F.lit("</")), -1).otherwise(1)
+        moved = F.when(acc["n"] == 0, 0).when(_closes(piece), -1).otherwise(1)
         depth = acc["depth"] + moved
         kept = acc["n"] + F.when(depth == 0, 0).otherwise(1)
         return F.when(acc["depth"] == 0, acc).otherwise(F.struct(depth.alias("depth"), kept.alias("n")))
 
-    def cut(pieces: Column) -> Column:
+    def counted(pieces: Column) -> Column:
         start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
         return let(F.aggregate(pieces, start, step), lambda end: F.struct(
             F.array_join(F.slice(pieces, 1, end["n"]), "").alias("inner"),
             (end["depth"] == 0).alias("closed")))
 
-    body = F.regexp_replace(segment, "^<[^>]*>", "")
-    return let(_same_tag_pieces(body, _tag_name(segment)), cut)
+    def flat_or_counted(body: Column) -> Column:
+        name = _tag_name(segment)
+        return let(_same_tag_pieces(body, name, 2), lambda p: F.when(
+            (F.size(p) > 1) & _closes(F.get(p, F.lit(1))),
+            F.struct(p[0].alias("inner"), F.lit(True).alias("closed"))
+        ).otherwise(let(_same_tag_pieces(body, name), counted)))
+
+    return let(F.regexp_replace(segment, "^<[^>]*>", ""), flat_or_counted)
 
 
 def _element(segments: Column, i: Column) -> Column:
@@ -230,21 +243,29 @@ def text_of(fragment: Column) -> Column:
     return decode_entities(F.regexp_replace(fragment, "<[^>]*>", ""))
 
 
+def _upto_end(text: Column) -> Column:
+    """Text up to the end of the open paragraph.
+
+    A replacement keeps its compiled pattern from row to row; a split does not.
+    """
+    return F.regexp_replace(text, f"(?s){PARAGRAPH_END}.*", "")
+
+
 def paragraphs(fragment: Column) -> Column:
     """Text of every ``p``, stripped. An unclosed ``p`` ends at the next block tag."""
     starts = tail(F.split(fragment, PARAGRAPH_OPEN))
-    return F.transform(starts, lambda s: strip(text_of(F.split(s, PARAGRAPH_END, 2)[0])))
+    return F.transform(starts, lambda s: strip(text_of(_upto_end(s))))
 
 
 def texts_of(fragment: Column, pattern: str | Column) -> Column:
     """Text of every matching element, stripped, nested elements repeated."""
 
     def paragraph(segments: Column, i: Column) -> Column:
-        def upto_end(text: Column) -> Column:
-            return F.split(F.regexp_replace(text, "^<[^>]*>", ""), PARAGRAPH_END, 2)
+        own = F.element_at(segments, i + 1)
         rest = F.array_join(F.slice(segments, i + 1, F.size(segments)), "")
-        return let(upto_end(F.element_at(segments, i + 1)), lambda own: F.when(
-            F.size(own) > 1, own[0]).otherwise(upto_end(rest)[0]))
+        text = let(F.regexp_replace(own, "^<[^>]*>", ""), lambda t: F.when(
+            t.rlike(PARAGRAPH_END), t).otherwise(F.regexp_replace(rest, "^<[^>]*>", "")))
+        return _upto_end(text)
 
     def one(segments: Column) -> Callable[[Column, Column], Column]:
         return lambda segment, i: strip(text_of(F.when(
