@@ -22,6 +22,11 @@ def after(df: DataFrame, time, seq: int, inclusive: bool = False) -> DataFrame:
     return df.filter((F.col(TIME) < F.lit(time)) | ((F.col(TIME) == F.lit(time)) & place))
 
 
+def before(df: DataFrame, time, seq: int) -> DataFrame:
+    """Records that precede the given one in newest-first order."""
+    return df.filter((F.col(TIME) > F.lit(time)) | ((F.col(TIME) == F.lit(time)) & (F.col(SEQ) < seq)))
+
+
 def _bucket_at(df: DataFrame, bucket, descending: bool, offset: int):
     """The bucket that holds the row at ``offset``, with the rows before it.
 
@@ -62,14 +67,20 @@ def row_at(df: DataFrame, offset: int):
 def page(df: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` of the newest-first list.
 
-    A negative or missing limit means no limit, a negative offset none.
+    A negative or missing limit means no limit, a negative offset none. A large
+    limit becomes a filter up to its last row, so no task gathers the whole page.
     """
     offset = max(offset or 0, 0)
     limit = None if limit is None or limit < 0 else limit
     if limit is not None and limit + offset <= TOP_K_ROWS:
         return newest_first(df).offset(offset).limit(limit)
+    if limit is not None and limit > TOP_K_ROWS:
+        end = row_at(df, offset + limit)
+        kept = df if end is None else before(df, end[TIME], end[SEQ])
+    else:
+        kept = df
     if offset:
         start = row_at(df, offset)
-        df = df.limit(0) if start is None else after(df, start[TIME], start[SEQ], inclusive=True)
-    ordered = newest_first(df)
-    return ordered if limit is None else ordered.limit(limit)
+        kept = df.limit(0) if start is None else after(kept, start[TIME], start[SEQ], inclusive=True)
+    ordered = newest_first(kept)
+    return ordered if limit is None or limit > TOP_K_ROWS else ordered.limit(limit)
