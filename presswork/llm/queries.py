@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswork.llm import minhash
+import public_tokenizers
+
+from presswork.llm import minhash, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -26,3 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op6_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_token_files(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return tokenfile.read_digest(tokenfile.write_tokens(table(spark, sf_dir, "documents"), path))
