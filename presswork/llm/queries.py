@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from presswork.llm import minhash, tokenfile
+from presswork.llm import minhash, tokenfile, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -34,3 +34,8 @@ def op6_minhash(spark, sf_dir):
 def op8_token_files(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
     return tokenfile.read_digest(tokenfile.write_tokens(table(spark, sf_dir, "documents"), path))
+
+
+@query
+def op9_winnowing(spark, sf_dir):
+    return winnow.document_fingerprints(table(spark, sf_dir, "documents"))
