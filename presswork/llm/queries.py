@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from presswork.llm import minhash, tokenfile, winnow
+from presswork.llm import html_region, minhash, tokenfile, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -39,3 +39,8 @@ def op8_token_files(spark, sf_dir):
 @query
 def op9_winnowing(spark, sf_dir):
     return winnow.document_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_html_region(spark, sf_dir):
+    return html_region.main_texts(table(spark, sf_dir, "pages"))
