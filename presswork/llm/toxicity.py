@@ -2,7 +2,8 @@
 
 Terms are words and the first 4 and 5 letters of longer words, so inflected and
 compounded forms meet. From the labelled examples come the terms: those that stand in
-toxic examples significantly more often than in clean ones (two-proportion z). Their
+toxic examples significantly (two-proportion z) and several times more often than in
+clean ones, so that words which are merely common in long texts stay out. Their
 document frequencies are counted over all documents. A document's vector is
 ``(1 + ln tf) * ln((1 + N) / (1 + df)) + 1``-weighted and has length 1.
 
@@ -38,9 +39,10 @@ EXAMPLES = 4000      # most examples of each class
 TERMS = 4096         # most terms of the vocabulary
 LEAST_TOXIC = 3      # toxic examples that a term needs
 LEAST_Z = 5.0
+LEAST_LIFT = 6.0     # share of toxic examples with the term to that of clean ones
 NEIGHBOURS = 15
 BLOCK = 64
-SHRINK = 0.5         # weight of the overall share among the votes
+SHRINK = 1.0         # weight of the overall share among the votes
 REMEMBERED = 400_000
 
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¡¿·"
@@ -203,7 +205,8 @@ def choose_terms(texts: DataFrame, most: int = TERMS) -> list[str]:
     pooled = (F.col("t") + F.col("c")) / (n1 + n0)
     spread = F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
     z = F.when(spread > 0, (F.col("t") / n1 - F.col("c") / n0) / spread)
-    top = seen.filter(F.col("t") >= LEAST_TOXIC).withColumn("z", z).filter(F.col("z") >= LEAST_Z)
+    top = seen.filter(F.col("t") >= LEAST_TOXIC).withColumn("z", z).filter(
+        (F.col("z") >= LEAST_Z) & (F.col("t") / n1 >= LEAST_LIFT * (F.col("c") + 0.5) / n0))
     return [r.term for r in top.orderBy(F.desc("z"), "term").limit(most).select("term").collect()]
 
 
