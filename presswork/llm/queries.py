@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from presswork.llm import html_region, minhash, tokenfile, toxicity, winnow
+from presswork.llm import html_region, lattice, minhash, tokenfile, toxicity, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -55,3 +55,9 @@ def op2_toxicity(spark, sf_dir):
     scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out())
     return scored.select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+@query
+def op10_sampled_segmentations(spark, sf_dir):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return lattice.sample_segmentations(table(spark, sf_dir, "documents"), path)
