@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from presswork.llm import html_region, lattice, minhash, tokenfile, toxicity, winnow
+from presswork.llm import html_region, lattice, minhash, mixing, tokenfile, toxicity, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -61,3 +61,11 @@ def op2_toxicity(spark, sf_dir):
 def op10_sampled_segmentations(spark, sf_dir):
     path = public_tokenizers.path("piece_bpe_32k.model")
     return lattice.sample_segmentations(table(spark, sf_dir, "documents"), path)
+
+
+@query
+def op5_raked_mix(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+SQL["op5_raked_mix"] = mixing.sql()
