@@ -14,7 +14,7 @@ QUERIES, SQL = entry.queries(), entry.oracle_sql()
 @pytest.fixture(scope="module")
 def duck(sf):
     db = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in "documents embeddings pages benchmark labels conversations".split():
         db.execute(f"create view {table} as select * from '{sf}/{table}.parquet'")
     return db
 
