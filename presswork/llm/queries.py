@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from presswork.llm import html_region, lattice, minhash, mixing, tokenfile, toxicity, winnow
+from presswork.llm import html_region, lattice, line_dedup, minhash, mixing, tokenfile, toxicity, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -69,3 +69,12 @@ def op5_raked_mix(spark, sf_dir):
 
 
 SQL["op5_raked_mix"] = mixing.sql()
+
+
+@query
+def op4_line_join(spark, sf_dir):
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
+
+
+SQL["op4_line_join"] = line_dedup.sql()
