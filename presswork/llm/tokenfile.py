@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,8 @@ MAGIC = b"TOKPACK1"
 BLOCK = 4096
 HEADER, FOOTER = 32, 16
 END_ID = 0
-# Words whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 500_000
+# Words whose ids a worker remembers.
+REMEMBERED = 1_000_000
 
 
 # -- bits -----------------------------------------------------------------------
@@ -91,7 +92,7 @@ class TokenWriter:
             self._flush(whole=False)
 
     def _flush(self, whole: bool) -> None:
-        ids = np.concatenate(self.pending) if self.pending else np.zeros(0, "<u4")
+        ids = np.concatenate([np.zeros(0, "<u2"), *self.pending])
         ready = len(ids) if whole else len(ids) - len(ids) % self.block
         for i in range(0, ready, self.block):
             data = pack(ids[i:min(i + self.block, ready)], self.bits)
@@ -166,38 +167,95 @@ class TokenFile:
 # A single space between two characters that are no white space is a border of the
 # tokenizer's words, so what stands between such spaces is encoded on its own.
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
+_OTHER_SPACE = re.compile(r" \s|\s |\A | \Z")
+# So is a single line end between such characters, itself a word; and a point or comma
+# behind letters starts a word.
+_LINE_END = re.compile(r"(?<=\S)\n(?=\S)")
+_MARKS = (".", ",")
+# Words given to the tokenizer at once.
+_AT_ONCE = 4096
 
 
 class WordEncoder:
     """Ids of whole texts; the ids of words seen before are looked up.
 
     The ids are exactly those of ``Tokenizer.encode`` on the whole text, for byte-level
-    BPE files whose word pattern takes one leading space into a word.
+    BPE files whose word pattern takes one leading space into a word. A worker process
+    keeps its encoder from task to task and remembers the first ``REMEMBERED`` words;
+    others are encoded each time.
     """
 
+    _of_worker: dict[str, WordEncoder] = {}
+
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.bits = bits_for(self.tokenizer.get_vocab_size(with_added_tokens=True))
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[word] = np.array(got.ids, "<u4").tobytes()
+        self.kind = "H" if self.bits <= 16 else "I"
+        self.known: dict[str, bytes] = {}   # by the word behind a space
+        self.bare: dict[str, bytes] = {}    # by the word without one
+        self.fixed = dict(zip(("\n", *_MARKS), self._encoded(["\n", *_MARKS])))
+
+    @classmethod
+    def of_worker(cls, path: str) -> WordEncoder:
+        if path not in cls._of_worker:
+            cls._of_worker[path] = cls(path)
+        return cls._of_worker[path]
+
+    def _encoded(self, words: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(words), _AT_ONCE):
+            for got in self.tokenizer.encode_batch_fast(words[i:i + _AT_ONCE], add_special_tokens=False):
+                yield array(self.kind, got.ids).tobytes()
+
+    def _learnt(self, words: set[str], spaced: bool) -> dict[str, bytes]:
+        """Ids of words that were not found, put together from smaller ones where borders allow."""
+        parts = {}
+        for word in words:
+            lines = _LINE_END.split(word) if "\n" in word else [word]
+            parts[word] = [
+                (part[:-1], part[-1]) if part[-1:] in _MARKS and part[:-1].isalpha() else (part, "") for part in lines]
+        wanted = {}
+        for rows in parts.values():
+            for i, (base, _) in enumerate(rows):
+                behind = spaced and i == 0
+                if base not in (self.known if behind else self.bare):
+                    wanted[" " + base if behind else base] = (base, behind)
+        codes = dict(zip(wanted, self._encoded(list(wanted))))
+        new = {key: code for key, code in zip(wanted.values(), codes.values())}
+        if len(self.bare) + len(codes) <= REMEMBERED // 4:
+            self.bare.update((base, code) for (base, behind), code in new.items() if not behind)
+        out = {}
+        for word, rows in parts.items():
+            run = []
+            for i, (base, mark) in enumerate(rows):
+                behind = spaced and i == 0
+                if i:
+                    run.append(self.fixed["\n"])
+                code = new.get((base, behind))
+                run.append((self.known if behind else self.bare)[base] if code is None else code)
+                if mark:
+                    run.append(self.fixed[mark])
+            out[word] = b"".join(run)
+        for (base, behind), code in new.items():
+            if behind:
+                out.setdefault(base, code)
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        split, known = [], self.known
-        for text in texts:
-            head, *rest = _BORDER.split(text)
-            split.append([head, *[" " + w for w in rest]] if rest else [head])
-        new = list({w for words in split for w in words if w not in known})
-        if new:
-            self._learn(new)
-            if len(known) == len(new):  # emptied meanwhile
-                self._learn(list({w for words in split for w in words if w not in known}))
-        return [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in split]
+        """Ids of each text, unsigned and as wide as the vocabulary needs."""
+        split = [_BORDER.split(t) if _OTHER_SPACE.search(t) else t.split(" ") for t in texts]
+        heads = self._learnt({words[0] for words in split}, spaced=False)
+        found = [list(map(self.known.get, words)) for words in split]
+        fresh = self._learnt(
+            {w for words, got in zip(split, found) if None in got for w, g in zip(words[1:], got[1:]) if g is None}, True)
+        if len(self.known) + len(fresh) <= REMEMBERED:
+            self.known.update((w, c) for w, c in fresh.items() if "\n" not in w)
+        out = []
+        for words, got in zip(split, found):
+            if None in got:
+                got = [fresh.get(w) if g is None else g for w, g in zip(words, got)]
+            got[0] = heads[words[0]]
+            out.append(np.frombuffer(b"".join(got), f"<u{array(self.kind).itemsize}"))
+        return out
 
 
 def _writer(folder: str, path: str, end_id: int, block: int):
@@ -208,12 +266,12 @@ def _writer(folder: str, path: str, end_id: int, block: int):
             _, offsets = C.utf8(batch.column(1))
             for first, last in C.slices(offsets):
                 if out is None:
-                    encoder = WordEncoder(path)
+                    encoder = WordEncoder.of_worker(path)
                     uri = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.tok"
                     out = TokenWriter(uri, encoder.bits, block)
                 texts = [t or "" for t in batch.column(1).slice(first, last - first).to_pylist()]
                 for doc_id, ids in zip(doc_ids[first:last], encoder.encode(texts)):
-                    out.add(doc_id, np.append(ids, np.uint32(end_id)))
+                    out.add(doc_id, np.append(ids, ids.dtype.type(end_id)))
         if out is not None:
             docs, ids = out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [uri], "n_docs": [docs], "n_ids": [ids]})
