@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from presswork.llm import html_region, lattice, line_dedup, minhash, mixing, secrets, tokenfile, toxicity, winnow
+from presswork.llm import ann, html_region, lattice, line_dedup, minhash, mixing, secrets, tokenfile, toxicity, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -83,3 +83,8 @@ SQL["op4_line_join"] = line_dedup.sql()
 @query
 def op1_secret_forest(spark, sf_dir):
     return secrets.scan_secrets(table(spark, sf_dir, "documents"), learn_from=~held_out(), path="source")
+
+
+@query
+def op7_nn_descent(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
