@@ -149,8 +149,10 @@ def existing_in(batch: DataFrame, store: DataFrame, heavy_floor: int = skew.HEAV
 
 
 def merge_by_url(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """All existing records plus the first new record of every unseen URL."""
-    firsts = new.groupBy("source_url").agg(F.min(SEQ).alias(SEQ))
-    seen = existing.select("source_url").join(firsts.select("source_url"), "source_url", "left_semi").distinct()
-    added = firsts.join(seen, "source_url", "left_anti").select(SEQ)
+    """All existing records plus the first new record of every unseen URL; a missing URL is the empty one."""
+    keyed = new.select(SEQ, url_key(F.col("source_url")).alias(URL))
+    firsts = keyed.groupBy(URL).agg(F.min(SEQ).alias(SEQ))
+    # Copies of a frequent URL collapse before the join.
+    seen = existing.select(url_key(F.col("source_url")).alias(URL)).distinct()
+    added = firsts.join(seen, URL, "left_anti").select(SEQ)
     return existing.unionByName(new.join(added, SEQ, "left_semi"))

@@ -69,22 +69,42 @@ def repair_titles(df: DataFrame, source: str = TITLE_REPAIR_SOURCE) -> DataFrame
     return df.withColumn("title", F.when(generic, better).otherwise(title))
 
 
+def _with_side(articles: DataFrame, side: DataFrame, heavy_floor: int) -> DataFrame:
+    """Articles with ``_side``, the content the side has for their id; one row for each article.
+
+    The side is first cut down to the ids that are asked for, then to one content per
+    id: of several the last in text order, so a blank one never wins.
+    """
+    counts = skew.key_counts(articles, "id")
+    asked = side.join(counts.select("id"), "id", "left_semi").groupBy("id").agg(F.max("content").alias("_side"))
+    return skew.attach(articles, asked, "id", skew.heavy_keys(counts, "id", heavy_floor), "ingest_seq")
+
+
+def _split_blank(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    blank = X.is_blank(F.col("content"))
+    return articles.filter(~blank), articles.filter(blank)
+
+
+def content_from(articles: DataFrame, side: DataFrame, heavy_floor: int = skew.HEAVY_FLOOR) -> DataFrame:
+    """Blank contents filled from the side dataset ``(id, content)``; others stay blank."""
+    full, blank = _split_blank(articles)
+    found = _with_side(blank.drop("content"), side, heavy_floor)
+    return full.unionByName(found.withColumn("content", X.or_empty(F.col("_side"))).drop("_side"))
+
+
+def with_default_body(articles: DataFrame) -> DataFrame:
+    """Blank contents replaced by the wording of exports."""
+    wording = F.format_string(X.EXPORT_BODY, F.coalesce("source_url", F.lit("Unknown source")))
+    return articles.withColumn("content", F.when(X.is_blank(F.col("content")), wording).otherwise(F.col("content")))
+
+
 def backfill_content(articles: DataFrame, side: DataFrame, heavy_floor: int = skew.HEAVY_FLOOR) -> DataFrame:
     """Fill blank contents from the side dataset, else with the default wording.
 
-    ``side`` has one content per ``id``. Only blank articles meet the join: the
-    others, which carry the wide texts, pass by without a shuffle. The side is
-    first cut down to the ids that are asked for.
+    Only blank articles meet the join: the others, which carry the wide texts, pass by
+    without a shuffle. The side may hold several contents of an id.
     """
-    content = F.col("content")
-    full = articles.filter(~X.is_blank(content))
-    blank = articles.filter(X.is_blank(content)).drop("content")
-    counts = skew.key_counts(blank, "id")
-    asked = side.join(counts.select("id"), "id", "left_semi").select("id", F.col("content").alias("_side"))
-    found = skew.attach(blank, asked, "id", skew.heavy_keys(counts, "id", heavy_floor), "ingest_seq")
-    wording = F.format_string(X.EXPORT_BODY, F.coalesce("source_url", F.lit("Unknown source")))
-    filled = found.withColumn("content", F.when(X.is_blank(F.col("_side")), wording).otherwise(F.col("_side")))
-    return full.unionByName(filled.drop("_side"))
+    return with_default_body(content_from(articles, side, heavy_floor))
 
 
 def pool_place(id_: Column, size: int) -> Column:

@@ -1,30 +1,41 @@
-"""Newest-first pages that stay cheap at any depth."""
+"""Newest-first pages that stay cheap at any depth, one way for all sizes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many rows a page is taken by a top-k of limit + offset rows.
+# Offsets up to this are found by a top-k of keys, deeper ones by histograms first.
 TOP_K_ROWS = 100_000
+# Pages of at most so many rows, already cut out, are sorted in one place.
+ONE_PLACE_ROWS = 1_000
 
 TIME, SEQ = "scrape_timestamp", "ingest_seq"
 
 
+def _when() -> Column:
+    """The time of a record; one without a time is older than all others."""
+    return F.coalesce(F.col(TIME), F.lit("0001-01-01 00:00:00").cast("timestamp"))
+
+
 def newest_first(df: DataFrame) -> DataFrame:
-    """By time, newest first; records of one second keep their ingest order."""
-    return df.orderBy(F.desc(TIME), F.asc(SEQ))
+    """By time, newest first; records of one time keep their ingest order, those without a time come last."""
+    return df.orderBy(_when().desc(), F.asc(SEQ))
+
+
+def _time(value) -> Column:
+    return F.coalesce(F.lit(value).cast("timestamp"), F.lit("0001-01-01 00:00:00").cast("timestamp"))
 
 
 def after(df: DataFrame, time, seq: int, inclusive: bool = False) -> DataFrame:
     """Records that follow the given one in newest-first order (keyset paging)."""
     place = F.col(SEQ) >= seq if inclusive else F.col(SEQ) > seq
-    return df.filter((F.col(TIME) < F.lit(time)) | ((F.col(TIME) == F.lit(time)) & place))
+    return df.filter((_when() < _time(time)) | ((_when() == _time(time)) & place))
 
 
 def before(df: DataFrame, time, seq: int) -> DataFrame:
     """Records that precede the given one in newest-first order."""
-    return df.filter((F.col(TIME) > F.lit(time)) | ((F.col(TIME) == F.lit(time)) & (F.col(SEQ) < seq)))
+    return df.filter((_when() > _time(time)) | ((_when() == _time(time)) & (F.col(SEQ) < seq)))
 
 
 def _bucket_at(df: DataFrame, bucket, descending: bool, offset: int):
@@ -45,13 +56,13 @@ def _bucket_at(df: DataFrame, bucket, descending: bool, offset: int):
 def row_at(df: DataFrame, offset: int):
     """(time, seq) of the row at ``offset`` in newest-first order, None past the end.
 
-    A shallow offset is a top-k. A deep one descends through histograms of
-    hour, second and blocks of ingest order, each with few buckets inside the
-    bucket above it, until the rest is shallow.
+    Only these two columns are read. A shallow offset is a top-k. A deep one descends
+    through histograms of hour, second, time and blocks of ingest order, each with
+    few buckets inside the bucket above it, until the rest is shallow.
     """
     keys = df.select(TIME, SEQ)
     levels = [
-        (F.date_trunc("hour", F.col(TIME)), True), (F.col(TIME), True),
+        (F.date_trunc("hour", _when()), True), (F.date_trunc("second", _when()), True), (_when(), True),
         *((F.shiftright(F.col(SEQ), bits), False) for bits in (40, 20, 0))]
     for bucket, descending in levels:
         if offset <= TOP_K_ROWS:
@@ -67,20 +78,19 @@ def row_at(df: DataFrame, offset: int):
 def page(df: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` of the newest-first list.
 
-    A negative or missing limit means no limit, a negative offset none. A large
-    limit becomes a filter up to its last row, so no task gathers the whole page.
+    A negative or missing limit means no limit, a negative offset none. The keys of the
+    first row and of the row behind the last one are looked up, and the page is the
+    filter between them: no place gathers more than keys. ``(time, ingest_seq)`` must be
+    unique, as in the store.
     """
     offset = max(offset or 0, 0)
     limit = None if limit is None or limit < 0 else limit
-    if limit is not None and limit + offset <= TOP_K_ROWS:
-        return newest_first(df).offset(offset).limit(limit)
-    if limit is not None and limit > TOP_K_ROWS:
+    kept = df
+    if limit is not None:
         end = row_at(df, offset + limit)
-        kept = df if end is None else before(df, end[TIME], end[SEQ])
-    else:
-        kept = df
+        kept = kept if end is None else before(kept, end[TIME], end[SEQ])
     if offset:
         start = row_at(df, offset)
         kept = df.limit(0) if start is None else after(kept, start[TIME], start[SEQ], inclusive=True)
     ordered = newest_first(kept)
-    return ordered if limit is None or limit > TOP_K_ROWS else ordered.limit(limit)
+    return ordered.limit(limit) if limit is not None and limit <= ONE_PLACE_ROWS else ordered

@@ -9,7 +9,7 @@ from presswork.functions.images import image_kind, image_ok
 from presswork.functions.text import or_empty
 from presswork.operators.catalog import export_view, public_columns
 from presswork.operators.dedup import merge_by_url
-from presswork.operators.repair import backfill_content
+from presswork.operators.repair import backfill_content, with_default_body
 from presswork.schema import ENVELOPE_SCHEMA, PUBLIC_COLUMNS, TIMESTAMP_FORMAT
 from presswork.sources.store import ArticleStore
 
@@ -18,18 +18,25 @@ class CorruptEnvelope(RuntimeError):
 
 
 def _envelopes(spark: SparkSession, path: str) -> DataFrame:
-    """file, raw and whether the text is no JSON; an envelope is one whole file."""
+    """file, raw and whether the text is no envelope; an envelope is one whole file, by its format.
+
+    No envelope is what isn't JSON, or has no list under ``articles``.
+    """
+    listed = F.startswith(F.ltrim(F.get_json_object("value", "$.articles")), F.lit("["))
     return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw"),
-        F.try_parse_json("value").isNull().alias("corrupt"))
+        (F.try_parse_json("value").isNull() | ~F.coalesce(listed, F.lit(False))).alias("corrupt"))
 
 
 def read_envelope(spark: SparkSession, path: str) -> DataFrame:
-    """Article rows of the readable envelopes below ``path``, missing fields as ''."""
+    """Article rows of the readable envelopes below ``path``, missing fields as ''.
+
+    ``pos`` grows from file to file by name, and within a file.
+    """
     good = _envelopes(spark, path).filter(~F.col("corrupt"))
-    rows = good.select(F.posexplode(F.from_json("raw", ENVELOPE_SCHEMA)["articles"]).alias("pos", "a"))
-    return rows.select(
-        F.col("pos").cast("long").alias("pos"),
+    rows = good.select("file", F.posexplode(F.from_json("raw", ENVELOPE_SCHEMA)["articles"]).alias("place", "a"))
+    return rows.orderBy("file", "place").select(
+        F.monotonically_increasing_id().alias("pos"),
         *(or_empty(F.col("a")[name]).alias(name) for name in PUBLIC_COLUMNS))
 
 
@@ -64,33 +71,36 @@ def merge_dataset(spark: SparkSession, existing: str, new: DataFrame, out: str)
     merged.orderBy("is_new", "ingest_seq").select(*PUBLIC_COLUMNS).write.mode("errorifexists").json(out)
 
 
-# Most articles a single nested envelope may hold.
-ENVELOPE_MAX = 10_000
-
-
 def write_envelope(articles: DataFrame, path: str, now: Column | None = None) -> None:
-    """One nested envelope record, for small catalogues only.
+    """The catalogue as one nested envelope, written as text parts in order.
 
-    The whole list ends up in one record, so a larger catalogue is refused;
-    :func:`export` writes JSON Lines and has no such bound.
+    The first line opens the envelope with time and count, a line for each article
+    follows, the last one closes it. Parts are ordered by name, so their concatenation
+    is the envelope, of any size.
     """
-    if articles.limit(ENVELOPE_MAX + 1).count() > ENVELOPE_MAX:
-        raise ValueError(f"more than {ENVELOPE_MAX} articles: use export()")
     stamp = F.date_format(F.current_timestamp() if now is None else now, TIMESTAMP_FORMAT)
-    listed = export_view(articles).agg(F.collect_list(F.struct(*PUBLIC_COLUMNS)).alias("articles"))
-    listed.select(
-        stamp.alias("scrape_timestamp"), F.size("articles").cast("long").alias("article_count"), "articles"
-    ).write.mode("overwrite").json(path)
+    rows = export_view(with_default_body(articles))
+    numbered = rows.select(F.to_json(F.struct(*PUBLIC_COLUMNS)).alias("line")).withColumn(
+        "place", F.monotonically_increasing_id())
+    total = articles.count()
+    spark = articles.sparkSession
+    first = spark.range(1).select(
+        F.concat(F.lit('{"scrape_timestamp": "'), stamp, F.lit(f'", "article_count": {total}, "articles": [')).alias("value"),
+        F.lit(-1).cast("long").alias("place"))
+    comma = F.when(F.col("place") == 0, F.lit("")).otherwise(F.lit(","))
+    body = numbered.select(F.concat(comma, "line").alias("value"), "place")
+    end = spark.range(1).select(F.lit("]}").alias("value"), F.lit(2 ** 63 - 1).alias("place"))
+    first.unionByName(body).unionByName(end).orderBy("place").select("value").write.mode("overwrite").text(path)
 
 
 def export(store: ArticleStore, path: str, content: DataFrame | None = None, now: Column | None = None) -> None:
     """Public records as JSON Lines, newest first, and one row of export history.
 
-    The count in the history is taken from the written files.
+    Blank bodies are filled from ``content``, else by the default wording. The count in
+    the history is taken from the written files.
     """
     articles = store.articles()
-    if content is not None:
-        articles = backfill_content(articles, content)
+    articles = with_default_body(articles) if content is None else backfill_content(articles, content)
     export_view(articles).write.mode("overwrite").json(path)
     stamp = F.current_timestamp() if now is None else now
     written = store.spark.read.schema(ENVELOPE_SCHEMA["articles"].dataType.elementType).json(path)

@@ -1,7 +1,8 @@
-"""The article store: Parquet, one folder per ingested batch.
+"""The article store: Parquet, one folder per writer and batch.
 
 A batch is written by overwriting its own folder with what is new against all
 other batches, so a batch that is run again replaces itself and nothing else.
+Batch jobs and every stream are writers of their own: their numbers never meet.
 """
 
 from __future__ import annotations
@@ -12,16 +13,17 @@ from pyspark.sql import types as T
 
 from presswork.functions.ids import article_id
 from presswork.operators.dedup import greedy_dedup
+from presswork.operators.repair import content_from
 from presswork.schema import ARTICLE_SCHEMA, HISTORY_SCHEMA
 from presswork.session import scratch_path
 
-BATCH = "batch_id"
-STORE_SCHEMA = T.StructType([*ARTICLE_SCHEMA.fields, T.StructField(BATCH, T.LongType())])
-METRICS_SCHEMA = T.StructType([
-    T.StructField("source_name", T.StringType()),
-    T.StructField("total", T.LongType()),
-    T.StructField(BATCH, T.LongType()),
-])
+WRITER, BATCH = "writer", "batch_id"
+# The writer of batches that name no other.
+BATCH_JOBS = "batch"
+_PLACE = [T.StructField(WRITER, T.StringType()), T.StructField(BATCH, T.LongType())]
+STORE_SCHEMA = T.StructType([*ARTICLE_SCHEMA.fields, *_PLACE])
+_METRICS = [T.StructField("source_name", T.StringType()), T.StructField("total", T.LongType())]
+METRICS_SCHEMA = T.StructType([*_METRICS, *_PLACE])
 
 
 class ArticleStore:
@@ -48,28 +50,33 @@ class ArticleStore:
 
     def create(self) -> "ArticleStore":
         """Write the empty datasets that are not there yet."""
+        first = self._folder(BATCH_JOBS, 0)
         if not self._exists(self.articles_path):
-            self._empty(ARTICLE_SCHEMA).write.parquet(f"{self.articles_path}/{BATCH}=0")
+            self._empty(ARTICLE_SCHEMA).write.parquet(f"{self.articles_path}/{first}")
         if not self._exists(self.history_path):
             self._empty(HISTORY_SCHEMA).write.parquet(self.history_path)
         if not self._exists(self.metrics_path):
-            self._empty(METRICS_SCHEMA).drop(BATCH).write.parquet(f"{self.metrics_path}/{BATCH}=0")
+            self._empty(T.StructType(_METRICS)).write.parquet(f"{self.metrics_path}/{first}")
         return self
 
+    @staticmethod
+    def _folder(writer: str, batch_id: int) -> str:
+        return f"{WRITER}={writer}/{BATCH}={batch_id}"
+
     def clear(self) -> None:
         """Replace all datasets by empty ones."""
         for path, schema in ((self.articles_path, STORE_SCHEMA), (self.metrics_path, METRICS_SCHEMA)):
             empty = self._empty(schema)
-            empty.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(BATCH).parquet(path)
-            empty.drop(BATCH).write.mode("overwrite").parquet(f"{path}/{BATCH}=0")
+            empty.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(WRITER, BATCH).parquet(path)
+            empty.drop(WRITER, BATCH).write.mode("overwrite").parquet(f"{path}/{self._folder(BATCH_JOBS, 0)}")
         self._empty(HISTORY_SCHEMA).write.mode("overwrite").parquet(self.history_path)
 
     def with_batches(self) -> DataFrame:
-        """All articles with the batch that brought them."""
+        """All articles with the writer and batch that brought them."""
         return self.spark.read.schema(STORE_SCHEMA).parquet(self.articles_path)
 
     def articles(self) -> DataFrame:
-        return self.with_batches().drop(BATCH)
+        return self.with_batches().drop(WRITER, BATCH)
 
     def history(self) -> DataFrame:
         return self.spark.read.schema(HISTORY_SCHEMA).parquet(self.history_path)
@@ -77,45 +84,55 @@ class ArticleStore:
     def _seen(self) -> DataFrame:
         return self.spark.read.schema(METRICS_SCHEMA).parquet(self.metrics_path)
 
-    def next_batch(self) -> int:
-        """A batch number no earlier batch has, even one that brought nothing new."""
-        return (self._seen().agg(F.max(BATCH)).first()[0] or 0) + 1
+    def next_batch(self, writer: str = BATCH_JOBS) -> int:
+        """A batch number no earlier batch of the writer has, even one that brought nothing new."""
+        return (self._seen().filter(F.col(WRITER) == writer).agg(F.max(BATCH)).first()[0] or 0) + 1
 
-    def add(self, batch: DataFrame, batch_id: int | None = None, now: Column | None = None, **options) -> DataFrame:
+    def add(self, batch: DataFrame, batch_id: int | None = None, now: Column | None = None,
+            writer: str = BATCH_JOBS, content: DataFrame | None = None, **options) -> DataFrame:
         """Append what is new in ``batch`` and return it as stored.
 
         The batch is computed once, into a scratch table in the shared folder; its
-        keys, its counts and its accepted rows are then column-pruned reads.
+        keys, its counts and its accepted rows are then column-pruned reads. Rows are
+        numbered anew in the order of their ``ingest_seq``, after all that the store
+        has, so rows that came with one number stay apart and the numbers of the whole
+        store are unique. Blank contents are looked up in ``content(id, content)``.
         """
-        batch_id = self.next_batch() if batch_id is None else batch_id
+        batch_id = self.next_batch(writer) if batch_id is None else batch_id
         staged = scratch_path(self.spark, "batch")
-        article_rows(batch, now).write.parquet(staged)
+        own = (F.col(WRITER) == writer) & (F.col(BATCH) == batch_id)
+        others = self.with_batches().filter(~own)
+        last = others.agg(F.max("ingest_seq")).first()[0]
+        rows = article_rows(batch, now)
+        rows = rows if content is None else content_from(rows, content)
+        with_ingest_seq(rows, "ingest_seq", "source_url", "title", start=0 if last is None else last + 1).select(
+            *ARTICLE_SCHEMA.names).write.parquet(staged)
         try:
             rows = self.spark.read.schema(ARTICLE_SCHEMA).parquet(staged)
-            others = self.with_batches().filter(F.col(BATCH) != batch_id)
             fresh = greedy_dedup(rows, others, **options)
+            folder = self._folder(writer, batch_id)
             fresh.sortWithinPartitions(F.desc("scrape_timestamp"), "ingest_seq").write.mode(
-                "overwrite").parquet(f"{self.articles_path}/{BATCH}={batch_id}")
+                "overwrite").parquet(f"{self.articles_path}/{folder}")
             rows.groupBy("source_name").agg(F.count("*").alias("total")).write.mode(
-                "overwrite").parquet(f"{self.metrics_path}/{BATCH}={batch_id}")
+                "overwrite").parquet(f"{self.metrics_path}/{folder}")
         finally:
             system, target = self._path(staged)
             system.delete(target, True)
-        return self.with_batches().filter(F.col(BATCH) == batch_id)
+        return self.with_batches().filter(own)
 
     def metrics_by_source(self) -> DataFrame:
-        """batch_id, source_name, records seen and records added.
+        """writer, batch_id, source_name, records seen and records added.
 
         What was added is counted in the store, so a batch that ran twice still
         shows what it brought the first time.
         """
-        kept = self.with_batches().groupBy(BATCH, "source_name").agg(F.count("*").alias("added"))
-        return self._seen().join(kept, [BATCH, "source_name"], "left").select(
-            BATCH, "source_name", "total", F.coalesce("added", F.lit(0)).alias("added"))
+        kept = self.with_batches().groupBy(WRITER, BATCH, "source_name").agg(F.count("*").alias("added"))
+        return self._seen().join(kept, [WRITER, BATCH, "source_name"], "left").select(
+            WRITER, BATCH, "source_name", "total", F.coalesce("added", F.lit(0)).alias("added"))
 
     def metrics(self) -> DataFrame:
-        """batch_id, records seen and records added."""
-        return self.metrics_by_source().groupBy(BATCH).agg(
+        """writer, batch_id, records seen and records added."""
+        return self.metrics_by_source().groupBy(WRITER, BATCH).agg(
             F.sum("total").alias("total"), F.sum("added").alias("added"))
 
 
@@ -127,7 +144,7 @@ def article_rows(batch: DataFrame, now: Column | None = None) -> DataFrame:
         if field.name == "scrape_timestamp":
             if now is not None or field.name not in batch.columns:
                 return (F.current_timestamp() if now is None else now).alias(field.name)
-            return F.col(field.name)
+            return F.coalesce(F.col(field.name), F.current_timestamp()).alias(field.name)
         if field.name not in batch.columns:
             return F.lit("").cast(field.dataType).alias(field.name)
         if field.dataType == T.StringType():

@@ -19,9 +19,14 @@ INTERVAL = "3 hours"
 
 
 def ingest_pages(store: ArticleStore, pages: DataFrame, batch_id: int | None = None,
-                 sites: Iterable[Site] | None = None, now: Column | None = None) -> DataFrame:
+                 sites: Iterable[Site] | None = None, now: Column | None = None, **options) -> DataFrame:
     """Extract a page table and append what is new; returns the stored rows."""
-    return store.add(articles(spread(pages), sites), batch_id, now)
+    return store.add(articles(spread(pages), sites), batch_id, now, **options)
+
+
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark wrote into the checkpoint; a new checkpoint is a new writer."""
+    return spark.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata").first()["id"]
 
 
 def page_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -41,16 +46,18 @@ def start_ingest(store: ArticleStore, pages: DataFrame, checkpoint: str, once: b
 
     Keys never expire, so the store itself is the state: each micro-batch is
     de-duplicated against all other batches and overwrites its own folder, which
-    makes a replay harmless. ``once`` takes what is there and stops. With
+    makes a replay harmless. The stream writes under the id of its checkpoint, so
+    batch jobs and other streams may fill the same store. ``once`` takes what is there and stops. With
     ``export_to`` every batch is followed by an export into a folder of its own,
     so nobody reads a folder while it is replaced; the history names the newest.
     """
     store.create()
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        ingest_pages(store, batch, batch_id + 1, sites, now)
+        writer = _stream_id(store.spark, checkpoint)
+        ingest_pages(store, batch, batch_id + 1, sites, now, writer=writer)
         if export_to is not None:
-            export(store, f"{export_to.rstrip('/')}/batch-{batch_id + 1}", now=now)
+            export(store, f"{export_to.rstrip('/')}/{writer}/batch-{batch_id + 1}", now=now)
 
     writer = pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if once else {"processingTime": INTERVAL}

@@ -114,3 +114,19 @@ def test_plans(articles, spark, sf):
     scan = spark.read.parquet(f"{sf}/documents.parquet").withColumnRenamed("source", "source_name")
     pruned = plan(catalog.count_articles(scan, "src1"))
     assert "EqualTo(source,src1)" in pruned and "text" not in pruned.split("ReadSchema")[1]
+
+
+def test_pages_with_missing_and_equal_times(spark, monkeypatch):
+    """Rows without a time come last on every page, however the rows are found."""
+    from presswork.plans import paging
+
+    times = [None, "2025-01-01 00:00:00", "2025-01-02 00:00:00", None, "2025-01-02 00:00:00", None, "2025-01-01 10:00:00",
+             "2025-01-02 00:00:00.5"]
+    df = spark.createDataFrame(list(enumerate(times)), "ingest_seq long, t string").selectExpr(
+        "ingest_seq", "cast(t as timestamp) as scrape_timestamp")
+    want = [7, 2, 4, 6, 1, 0, 3, 5]
+    for most in (100_000, 0):
+        monkeypatch.setattr(paging, "TOP_K_ROWS", most)
+        for limit, offset in ((100, 2), (None, 2), (4, 2), (2, 5), (3, 0), (None, 0), (2, 8), (0, 1)):
+            got = [r.ingest_seq for r in paging.page(df, limit, offset).collect()]
+            assert got == want[offset:][:limit], (most, limit, offset)

@@ -46,7 +46,11 @@ def test_export_and_envelopes(spark, tmp_path):
     assert len(lines) == 3 and list(lines[0]) == PUBLIC_COLUMNS
     assert [tuple(r)[1:] for r in store.history().collect()] == [(str(tmp_path / "out"), 3)]
 
-    files.write_envelope(store.articles(), str(tmp_path / "env"), Q.now())
+    files.write_envelope(store.articles(), str(tmp_path / "parts"), Q.now())
+    (tmp_path / "env").mkdir()
+    whole = "".join(f.read_text() for f in sorted((tmp_path / "parts").glob("part-*")))
+    assert json.loads(whole)["article_count"] == 3
+    (tmp_path / "env" / "a.json").write_text(whole)
     back = files.read_envelope_strict(spark, str(tmp_path / "env")).orderBy("pos").drop("pos").collect()
     assert [r.asDict() for r in back] == lines
     new = spark.createDataFrame(
@@ -68,6 +72,53 @@ def test_export_and_envelopes(spark, tmp_path):
     assert broken.exists()
 
 
+def test_batch_then_streams(spark, sf, tmp_path):
+    """Batch jobs and two streams fill one store; nothing is lost, nothing doubled."""
+    pages = read_pages(spark, f"{sf}/pages.parquet")
+    store = ArticleStore(spark, str(tmp_path / "s")).create()
+    first = pages.filter("page_id < 20")
+    ingest.ingest_pages(store, first.unionByName(first), now=Q.now())
+    for part, checkpoint in ((1, "one"), (2, "two")):
+        folder = str(tmp_path / f"in{part}")
+        own = pages.filter(F.col("page_id").between(part * 15, part * 15 + 19))
+        own.unionByName(own).coalesce(1).write.parquet(folder)
+        for _ in range(2):  # the second start finds nothing new
+            running = ingest.start_ingest(
+                store, ingest.page_stream(spark, folder), str(tmp_path / checkpoint), once=True, now=Q.now())
+            running.awaitTermination()
+    whole = ArticleStore(spark, str(tmp_path / "w")).create()
+    ingest.ingest_pages(whole, pages.filter("page_id < 50"), now=Q.now())
+    assert stored(store) == stored(whole)
+    rows = store.articles()
+    assert rows.select("ingest_seq").distinct().count() == rows.count()
+    assert store.metrics().filter("total > 0").count() == 3
+
+
+def test_side_contents(spark, tmp_path):
+    store = ArticleStore(spark, str(tmp_path / "s")).create()
+    rows = [(1, "One", "", "https://x/1", "S"), (2, "Two", "", "https://x/2", "S"), (3, "Three", "own", "https://x/3", "S")]
+    batch = spark.createDataFrame(rows, "ingest_seq long, title string, content string, source_url string, source_name string")
+    from presswork.functions.ids import article_id
+    id_ = batch.filter("ingest_seq = 1").select(article_id(F.col("title"), F.col("source_url"))).first()[0]
+    side = spark.createDataFrame([(id_, "text"), (id_, "text"), (id_, "")], "id string, content string")
+    store.add(batch, now=Q.now(), content=side)
+    assert sorted(r.content for r in store.articles().collect()) == ["", "own", "text"]
+    files.export(store, str(tmp_path / "out"), now=Q.now())
+    bodies = sorted(r.content for r in spark.read.json(str(tmp_path / "out")).collect())
+    assert bodies[1:] == ["own", "text"] and "https://x/2" in bodies[0]
+
+
+def test_envelopes_of_other_shape(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"articles": [{"id": "1"}, {"id": "2"}]}')
+    (tmp_path / "b.json").write_text('{"articles": [{"id": "3"}]}')
+    got = files.read_envelope(spark, str(tmp_path)).orderBy("pos").collect()
+    assert [r.id for r in got] == ["1", "2", "3"]
+    (tmp_path / "c.json").write_text('{"articles": "none"}')
+    assert files.corrupt_envelopes(spark, str(tmp_path)).count() == 1
+    with pytest.raises(files.CorruptEnvelope):
+        files.read_envelope_strict(spark, str(tmp_path))
+
+
 def test_content_files(spark, tmp_path):
     folder = tmp_path / "content"
     folder.mkdir()

@@ -477,7 +477,7 @@ def stream_ingest(spark, sf):
 
 @query
 def stream_metrics(spark, sf):
-    return ingested(spark, sf).metrics().filter(F.col("total") > 0)
+    return ingested(spark, sf).metrics().filter(F.col("total") > 0).drop("writer")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
