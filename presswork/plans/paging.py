@@ -11,11 +11,12 @@ TOP_K_ROWS = 100_000
 ONE_PLACE_ROWS = 1_000
 
 TIME, SEQ = "scrape_timestamp", "ingest_seq"
+NO_TIME = -(1 << 62)
 
 
 def _when() -> Column:
-    """The time of a record; one without a time is older than all others."""
-    return F.coalesce(F.col(TIME), F.lit("0001-01-01 00:00:00").cast("timestamp"))
+    """The time of a record in microseconds; one without a time is older than all others."""
+    return F.coalesce(F.unix_micros(TIME), F.lit(NO_TIME))
 
 
 def newest_first(df: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def newest_first(df: DataFrame) -> DataFrame:
 
 
 def _time(value) -> Column:
-    return F.coalesce(F.lit(value).cast("timestamp"), F.lit("0001-01-01 00:00:00").cast("timestamp"))
+    return F.coalesce(F.unix_micros(F.lit(value).cast("timestamp")), F.lit(NO_TIME))
 
 
 def after(df: DataFrame, time, seq: int, inclusive: bool = False) -> DataFrame:
@@ -62,7 +63,7 @@ def row_at(df: DataFrame, offset: int):
     """
     keys = df.select(TIME, SEQ)
     levels = [
-        (F.date_trunc("hour", _when()), True), (F.date_trunc("second", _when()), True), (_when(), True),
+        *((F.floor(_when() / F.lit(size)).cast("long"), True) for size in (3_600_000_000, 1_000_000)), (_when(), True),
         *((F.shiftright(F.col(SEQ), bits), False) for bits in (40, 20, 0))]
     for bucket, descending in levels:
         if offset <= TOP_K_ROWS:
