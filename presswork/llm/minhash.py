@@ -13,8 +13,9 @@ From candidates to classes, without all pairs of a group:
 1. Equal sets collapse to their smallest id.
 2. Each shared band is a star: its members against its smallest id. Links are
    confirmed on the full sets and joined to components.
-3. Only members of a band that are still in different components are compared
-   with each other. A pair inside one component can't change the result.
+3. Members of a band that are still in different components are compared with each
+   other where the prefix filter of exact set joins lets them. A pair inside one
+   component can't change the result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from presswork.llm import common as C
@@ -33,6 +34,7 @@ from presswork.llm.shingles import shingle_sets
 CIRCLE_BITS = 22
 BANDS, ROWS = 32, 4
 WIDTH, PERCENT = 5, 75
+PARITY = [f"p{i}" for i in range(8)]
 
 _U = np.uint64
 _circle: dict[int, np.ndarray] = {}
@@ -99,12 +101,20 @@ def _set_maker(width: int):
             data, offsets = C.utf8(batch.column(1))
             rows = list(shingle_sets(data, offsets, width))
             lengths = np.array([len(x) for x in rows], np.int64)
-            flat = np.concatenate(rows).view(np.int64) if rows else np.zeros(0, np.int64)
+            flat = np.concatenate([np.zeros(0, _U), *rows]).view(np.int64)
+            bits = np.array([_parity(x) for x in rows], np.int64).reshape(-1, len(PARITY))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), C.list_array(flat, lengths, pa.int64())], ["doc_id", "shingles"])
+                [batch.column(0), C.list_array(flat, lengths, pa.int64()), *(pa.array(b) for b in bits.T.copy())],
+                ["doc_id", "shingles", *PARITY])
     return sets
 
 
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    """512 bits, each the parity of the shingles that fall on it; sets differ in at least as many shingles as bits."""
+    odd = np.bincount((shingles & _U(64 * len(PARITY) - 1)).astype(np.int64), minlength=64 * len(PARITY)) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _confirmer(percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,6 +145,34 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .mapInArrow(_confirmer(percent), "a long, b long"))
 
 
+def _prefix_pairs(sets: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that can reach the threshold, by the prefix filter.
+
+    With shingles ordered by rarity, two sets that reach it share one of the first
+    ``n - ceil(n * percent / 100) + 1`` of each. Shingles of one document come first and
+    need no row; a document whose prefix holds nothing else is out. Of the pairs that
+    meet, those go on whose sizes, places and parity bits allow the threshold.
+    """
+    rows = sets.join(apart, "doc_id").select("doc_id", "n_shingles", "component", F.explode("shingles").alias("s"))
+    often = rows.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = rows.join(often, "s")
+    alone = Window.partitionBy("doc_id")
+    free = F.col("n_shingles") - F.count("*").over(alone)
+    prefix = F.floor(F.col("n_shingles") * (100 - percent) / 100) + 1
+    kept = shared.withColumn("place", F.row_number().over(alone.orderBy("df", "s")) + free).filter(F.col("place") <= prefix)
+    kept = kept.select("doc_id", "n_shingles", "component", "s", "place").join(sets.select("doc_id", *PARITY), "doc_id")
+    kept = C.staged(kept, "minhash-prefixes")
+    x, y = kept.alias("x"), kept.alias("y")
+    need = f"ceil({percent} * (x.n_shingles + y.n_shingles) / {100 + percent})"
+    differ = " + ".join(f"bit_count(x.{p} ^ y.{p})" for p in PARITY)
+    pairs = x.join(y, "s").filter(
+        "x.doc_id > y.doc_id and x.component <> y.component"
+        f" and 100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)"
+        f" and 1 + least(x.n_shingles - x.place, y.n_shingles - y.place) >= {need}"
+        f" and {differ} <= x.n_shingles + y.n_shingles - 2 * {need}")
+    return pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH,
                     percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs(doc_id, text)``.
@@ -163,22 +201,19 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width
     wanted = members.select("doc_id").distinct()
     sets = C.staged(
         docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-        .mapInArrow(_set_maker(width), "doc_id long, shingles array<long>"), "minhash-sets")
+        .mapInArrow(_set_maker(width), f"doc_id long, shingles array<long>, {', '.join(f'{p} long' for p in PARITY)}"),
+        "minhash-sets")
 
     first = members.filter("doc_id <> center").select(F.col("doc_id").alias("a"), F.col("center").alias("b")).distinct()
     links = C.staged(_confirmed(first, sets, percent), "minhash-links")
     found = components(links)
 
-    # Members of one band that the stars left apart, without the pairs already tried.
+    # Members of one band that the stars left apart.
     own = members.join(found, members.doc_id == found.node, "left").select(
-        "band", "center", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+        "band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
     split = own.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    apart = own.filter("doc_id <> center").join(split.select("band"), "band", "left_semi")
-    x, y = apart.alias("x"), apart.alias("y")
-    pairs = x.join(y, "band").filter(
-        "x.doc_id > y.doc_id and x.component <> y.component"
-        f" and 100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)")
-    pairs = pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    apart = own.join(split.select("band"), "band", "left_semi").select("doc_id", "n_shingles", "component").distinct()
+    pairs = _prefix_pairs(sets, C.staged(apart, "minhash-apart"), percent)
     more = C.staged(_confirmed(pairs, sets, percent), "minhash-more-links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
