@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterable
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -79,10 +79,10 @@ def open_tags(html: Column, pattern: str | Column) -> Column:
 
 def attribute(tag: Column, name: str | Column) -> Column:
     """Value of an attribute of an open tag; '' when absent, null without a tag."""
-    pattern = F.concat(F.lit(r"(?is)\s"), _col(name), F.lit(r"""\s*=\s*(?:"([^"]*)"|'([^']*)')"""))
+    pattern = F.concat(F.lit(r"(?is)\s"), _col(name), F.lit(r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""))
 
     def value(t: Column) -> Column:
-        quoted = [or_empty(F.get(F.regexp_extract_all(t, pattern, group), F.lit(0))) for group in (1, 2)]
+        quoted = [or_empty(F.get(F.regexp_extract_all(t, pattern, group), F.lit(0))) for group in (1, 2, 3)]
         return F.when(t.isNotNull(), F.concat(*quoted))
 
     return let(tag, value)
@@ -201,7 +201,11 @@ BASIC_ENTITIES = [
 ]
 
 
-NAMED_ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+# The names that HTML also reads without a semicolon are those of Python's table without one.
+BARE_NAMES = sorted((name for name in html5 if not name.endswith(";")), key=lambda n: (-len(n), n))
+BARE_ENTITY = f"^({'|'.join(BARE_NAMES)})"
+NAMED_ENTITIES = (
+    {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"} | {n: html5[n] for n in BARE_NAMES})
 
 
 def decode_entities(text: Column) -> Column:
@@ -219,28 +223,31 @@ def decode_entities(text: Column) -> Column:
     names = F.from_json(F.lit(json.dumps(NAMED_ENTITIES)), "map<string,string>")
 
     def one(piece: Column) -> Column:
-        ref = F.regexp_extract(piece, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
-        digits = F.regexp_extract(ref, "^#([0-9]+)$", 1)
-        hexed = F.regexp_extract(ref, "^#[xX]([0-9a-fA-F]+)$", 1)
+        ref = F.regexp_extract(piece, "^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);", 1)
+        # Zeros in front don't count; no character has more digits than this.
+        digits = F.regexp_extract(ref, "^#0*([0-9]{1,7})$", 1)
+        hexed = F.regexp_extract(ref, "^#[xX]0*([0-9a-fA-F]{1,6})$", 1)
         code = F.when(hexed != "", F.conv(hexed, 16, 10)).when(digits != "", digits).cast("long")
         valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
         numeric = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
         char = F.when(F.startswith(ref, F.lit("#")), numeric).otherwise(F.try_element_at(names, ref))
         after = F.substring(piece, F.length(ref) + 2, F.length(piece))
-        return F.coalesce(F.concat(char, after), F.concat(F.lit("&"), piece))
+        bare = F.regexp_extract(piece, BARE_ENTITY, 1)
+        old = F.concat(F.try_element_at(names, bare), F.substring(piece, F.length(bare) + 1, F.length(piece)))
+        return F.coalesce(F.concat(char, after), F.when(bare != "", old), F.concat(F.lit("&"), piece))
 
     def general(value: Column) -> Column:
         return let(F.split(value, "&"), lambda pieces: F.concat(
             pieces[0], F.array_join(F.transform(tail(pieces), one), "")))
 
-    rare = "&(?!(?:lt|gt|quot|apos|#39|nbsp|middot|copy|amp);)(?:#|[A-Za-z])[A-Za-z0-9]*;"
+    rare = "&(?!(?:lt|gt|quot|apos|#39|nbsp|middot|copy|amp);)(?:#|[A-Za-z])"
     return let(text, lambda t: (
         F.when(~F.contains(t, F.lit("&")), t).when(t.rlike(rare), general(t)).otherwise(chain(t))))
 
 
 def text_of(fragment: Column) -> Column:
-    """Text of a fragment: tags dropped, entities decoded."""
-    return decode_entities(F.regexp_replace(fragment, "<[^>]*>", ""))
+    """Text of a fragment: tags dropped, entities decoded. A ``<`` that starts no tag is text."""
+    return decode_entities(F.regexp_replace(fragment, "<[a-zA-Z/!?][^>]*>", ""))
 
 
 def _upto_end(text: Column) -> Column:

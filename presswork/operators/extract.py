@@ -121,6 +121,7 @@ def image_of(page: Column, site: Column) -> Column:
 # -- bodies -----------------------------------------------------------------
 
 def without_site_noise(page: Column, site: Column) -> Column:
+    """A container without the noise of its site; what surrounds it may look like noise."""
     bare = F.regexp_replace(page, site["noise_tags"], F.lit(""))
     return F.aggregate(site["noise"], bare, lambda acc, n: H.without_elements(acc, n["open"], n["tag"]))
 
@@ -133,7 +134,7 @@ def container(page: Column, picks: Column) -> Column:
 def paragraph_body(page: Column, site: Column) -> Column:
     """Paragraphs of the first container that has enough of them, else null or ''."""
     def attempt(pick: Column) -> Column:
-        ps = H.paragraphs(H.first_element(scope_of(page, pick), pick["open"]))
+        ps = H.paragraphs(without_site_noise(H.first_element(scope_of(page, pick), pick["open"]), site))
         return H.let(ps, lambda p: (
             F.when(F.size(p) >= site["min_paragraphs"], H.join_text(p))
             .when(site["one_container"] & p.isNotNull(), F.lit(""))))
@@ -144,7 +145,7 @@ def substantial_body(page: Column, site: Column) -> Column:
     """Longer texts of headings, paragraphs and items of the wide container."""
     def texts(fragment: Column) -> Column:
         return H.join_text(H.texts_of(fragment, site["wide_open"]), site["wide_min"])
-    return texts(container(page, site["wide_containers"]))
+    return texts(without_site_noise(container(page, site["wide_containers"]), site))
 
 
 def body_of(page: Column, site: Column) -> Column:
@@ -167,7 +168,7 @@ def _field_columns(_context: SparkContext | None) -> tuple[Column, ...]:
         site["names_itself"].alias("names_itself"), site["gated"].alias("gated"),
         title_of(page, F.col("html"), url, site).alias("raw_title"),
         image_of(page, site).alias("image_url"),
-        body_of(without_site_noise(page, site), site).alias("raw_body"),
+        body_of(page, site).alias("raw_body"),
         F.col("html").isNull().alias("missing"))
 
 

@@ -16,14 +16,26 @@ from presswork.plans import skew
 from presswork.plans.rules import Site
 from presswork.plans.sites import SITES
 
-ANCHOR_HREF = r'(?is)<a\s[^>]*?href="([^"]*)"'
+# Attributes are skipped whole, so ``data-href`` or a quoted ``href=`` is no target.
+_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+ANCHOR_HREF = (
+    rf"""(?is)<a(?:\s+(?!href\s*=)[^\s=>"']+(?:\s*=\s*{_VALUE})?+)*+\s+href\s*=\s*"""
+    r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 # Above this many links per source, the limit is applied in two salted steps.
 TOP_N_PUSHDOWN = 1000
 
 
 def hrefs(html: Column) -> Column:
-    """Every anchor target of a page, in document order, repeats included."""
-    return F.regexp_extract_all(html, F.lit(ANCHOR_HREF), 1)
+    """Every anchor target of a page, in document order, repeats included.
+
+    Anchors in comments, scripts and styles don't count; references are decoded.
+    """
+    def targets(page: Column) -> Column:
+        quoted = [F.regexp_extract_all(page, F.lit(ANCHOR_HREF), group) for group in (1, 2, 3)]
+        return F.transform(F.arrays_zip(*(q.alias(n) for q, n in zip(quoted, "abc"))), lambda t: H.decode_entities(
+            F.concat(*(F.coalesce(t[n], F.lit("")) for n in "abc"))))
+
+    return H.let(H.without_noise(html, ["script", "style"]), targets)
 
 
 def numbered(df: DataFrame, links: Column, name: str, *keep: str) -> DataFrame:

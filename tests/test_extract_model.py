@@ -81,13 +81,18 @@ def model_image(root, site):
     return site.default_image
 
 
-def model_body(root, site):
+def without_noise(box, site):
     for noise in site.noise:
-        dom.drop(root, noise)
+        dom.drop(box, noise)
+    return box
+
+
+def model_body(root, site):
     for pick in site.containers:
         box = dom.first(root, css(pick))
         if box is None:
             continue
+        without_noise(box, site)
         ps = [p.text().strip() for p in dom.select(box, "p")]
         if len(ps) >= site.min_paragraphs:
             body = " ".join(p for p in ps if p)
@@ -99,6 +104,7 @@ def model_body(root, site):
     box = next((n for n in (dom.first(root, css(p)) for p in site.wide_containers) if n is not None), None)
     if box is None:
         return ""
+    without_noise(box, site)
     tags = site.wide_tags.split("|")
     texts = [n.text().strip() for n in box.walk() if n.tag in tags]
     return " ".join(t for t in texts if len(t) > site.wide_min)
