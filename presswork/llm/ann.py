@@ -12,7 +12,8 @@ on a bounded sample of ``SAMPLE`` nodes; every vector is indexed.
 
 A query starts at its own node (it is one of the indexed vectors) and greedily expands
 the best nodes of its beam that are not expanded yet, until no list of results
-changes. The beam is then scored in double precision on the original vectors.
+changes. Where lengths differ it starts at the longest vectors too, since those have
+the largest products. The beam is then scored in double precision on the original vectors.
 
 Graph and search use half-precision vectors; the exact scores at the end do not.
 """
@@ -37,6 +38,7 @@ ROUNDS = 1
 LOCAL = 32           # neighbours in either direction that meet at a node
 OFFERS = 8           # best of them that each is offered
 BEAM, EXPAND, MOST_HOPS = 64, 12, 6
+ENTRIES = 64         # longest vectors where queries also start, if lengths differ
 TOP = 20
 
 
@@ -282,12 +284,12 @@ def _query_units(width: int):
     return work
 
 
-def greedy_search(graph: DataFrame, units: DataFrame, queries: DataFrame, width: int) -> DataFrame:
+def greedy_search(graph: DataFrame, units: DataFrame, queries: DataFrame, width: int, entries: list[int]) -> DataFrame:
     """``query, beam``: the best nodes found for each of ``queries(query, vec)``, nodes themselves."""
     step = _beam_step(width + 1, BEAM, EXPAND, TOP)
     state = queries.mapInArrow(_query_units(width), "query long, unit binary").select(
         "query", "unit", *(F.array().cast(f"array<{t}>").alias(n) for n, t in (("beam", "long"), ("sim", "float"), ("done", "long"))),
-        F.array("query").alias("next"))
+        F.array("query", *map(F.lit, entries)).alias("next"))
     for hop in range(MOST_HOPS + 1):
         ahead = state.select("query", F.explode("next").alias("node"))
         near = ahead.join(graph.select("node", "near"), "node", "left").select(
@@ -328,7 +330,8 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP) -> DataFrame:
     width = first[0].w if first else 1
     nodes = whole.groupBy("vec").agg(F.min("vec_id").alias("node")).select("node", "vec")
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    largest = whole.agg(F.max(norm)).first()[0] or 1.0
+    lengths = whole.agg(F.max(norm).alias("largest"), F.min(norm).alias("least")).first()
+    largest = lengths.largest or 1.0
     units = C.staged(nodes.mapInArrow(_unit_maker(largest, width), "node long, vec array<float>, unit binary"), "ann-units")
     graph = neighbour_graph(units, units.count(), width + 1)
 
@@ -336,7 +339,10 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP) -> DataFrame:
     asked = members.filter(is_query)
     starts = asked.select(F.col("node").alias("query")).distinct().join(
         units.select(F.col("node").alias("query"), "vec"), "query").select("query", "vec")
-    found = greedy_search(graph, units, starts, width).select("query", F.explode("beam").alias("node"))
+    entries = []
+    if lengths.largest and lengths.least < 0.99 * largest:
+        entries = [r.node for r in units.orderBy(norm.desc(), "node").select("node").limit(ENTRIES).collect()]
+    found = greedy_search(graph, units, starts, width, entries).select("query", F.explode("beam").alias("node"))
     pairs = found.join(units.select(F.col("node").alias("query"), F.col("vec").alias("a")), "query").join(
         units.select("node", F.col("vec").alias("b")), "node").select("query", "node", "a", "b")
     scored = pairs.mapInArrow(_exact(width), "query long, node long, score double")
