@@ -111,6 +111,7 @@ def with_(body: str, **ctes: str) -> str:
 
 
 DOCS = V.duck(V.DOC_ARTICLES)
+BLANKS = V.duck(V.BLANK_ARTICLES)
 SIDE = V.duck(V.SIDE_CONTENT)
 SITES = V.duck(V.SITE_ARTICLES)
 SITE_PAGES = V.duck(V.SITE_PAGES)
@@ -370,7 +371,7 @@ SQL: dict[str, str] = {
     "page_total": docs(
         f"select count(*) as total, cast({Q.PAGE_OFFSET} as bigint) as \"offset\", cast({Q.PAGE_LIMIT} as bigint) as "
         f"\"limit\", cast(least(greatest(count(*) - {Q.PAGE_OFFSET}, 0), {Q.PAGE_LIMIT}) as bigint) as page_size from d"),
-    "export_rows": with_(f"select {PUBLIC} from f", d=DOCS, c=SIDE, f=FILLED),
+    "export_rows": with_(f"select {PUBLIC} from f", d=BLANKS, c=SIDE, f=FILLED),
     "dedup_greedy": with_("select ingest_seq, id from d join a using (ingest_seq)", d=DOCS, **greedy("a", "d")),
     "dedup_vs_store": with_(
         "select ingest_seq, id from d join b using (ingest_seq)", d=DOCS,
@@ -383,7 +384,7 @@ SQL: dict[str, str] = {
         "select ingest_seq, source_url from d where ingest_seq % 2 = 0 union all select min(ingest_seq), source_url "
         "from d where ingest_seq % 2 = 1 and source_url not in (select source_url from d where ingest_seq % 2 = 0) "
         "group by source_url"),
-    "content_backfill": with_("select ingest_seq, id, content from f", d=DOCS, c=SIDE, f=FILLED),
+    "content_backfill": with_("select ingest_seq, id, content from f", d=BLANKS, c=SIDE, f=FILLED),
     "fallback_image": sites(
         f"select ingest_seq, case when coalesce(image_url, '') = '' then '' when {fetchable('image_url')} then "
         f"image_url else coalesce({_by_source}, {_pool}[cast('0x' || substring(md5(id), 1, 8) as bigint) % "

@@ -392,7 +392,7 @@ def page_total(spark, sf):
 
 @query
 def export_rows(spark, sf):
-    filled = repair.backfill_content(doc_articles(spark, sf), V.view(spark, sf, V.SIDE_CONTENT))
+    filled = repair.backfill_content(V.view(spark, sf, V.BLANK_ARTICLES), V.view(spark, sf, V.SIDE_CONTENT))
     return catalog.export_view(filled)
 
 
@@ -425,7 +425,7 @@ def merge_by_url(spark, sf):
 
 @query
 def content_backfill(spark, sf):
-    return repair.backfill_content(doc_articles(spark, sf), V.view(spark, sf, V.SIDE_CONTENT)).select(
+    return repair.backfill_content(V.view(spark, sf, V.BLANK_ARTICLES), V.view(spark, sf, V.SIDE_CONTENT)).select(
         "ingest_seq", "id", "content")
 
 

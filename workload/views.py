@@ -7,38 +7,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-DOC_ARTICLES = """
+_DOCS = """
 select doc_id as ingest_seq,
-  substring(split_part(text, chr(10), 1), 1, 80) as title,
-  case when doc_id % 5 = 0 then '' else text end as content,
+  split_part(text, chr(10), 1) as title,
+  @CONTENT@ as content,
   source as source_name,
   concat('https://docs.example.com/', md5(text)) as source_url,
   case doc_id % 7 when 0 then '' when 1 then 'data:image/png;base64,AAAA' when 2 then '/media/pic.png'
     when 3 then 'https://cdn.example.com/Site-Logo.svg' when 4 then 'https://cdn.example.com/a/photo.JPEG?w=90'
     when 5 then 'HTTP://cdn.example.com/p.png' end as image_url,
-  md5(concat(substring(split_part(text, chr(10), 1), 1, 80), 'https://docs.example.com/', md5(text))) as id,
+  md5(concat(split_part(text, chr(10), 1), 'https://docs.example.com/', md5(text))) as id,
   timestamp '2025-01-01 00:00:00' + doc_id % 50 * interval 1 minute as scrape_timestamp
 from {documents}
 """
+DOC_ARTICLES = _DOCS.replace("@CONTENT@", "text")
+# The same with blank contents among them, for what fills them.
+BLANK_ARTICLES = _DOCS.replace("@CONTENT@", "case when doc_id % 5 = 0 then '' else text end")
 
 # One content per id: equal ids have equal URLs and hence equal texts.
 SIDE_CONTENT = """
 select id, content from (
-  select md5(concat(substring(split_part(text, chr(10), 1), 1, 80), 'https://docs.example.com/', md5(text))) as id,
+  select md5(concat(split_part(text, chr(10), 1), 'https://docs.example.com/', md5(text))) as id,
     text as content
   from {documents} where doc_id % 10 = 0)
 group by id, content
 """
 
-# Articles of known sources, with generic titles, missing URLs and odd texts.
+# Articles of known sources, with generic titles, missing URLs and odd texts. Every
+# document stands with its whole text; those of two in ten ids have a second row, whose
+# content is blank or short.
 SITE_ARTICLES = """
-select doc_id as ingest_seq,
+select case when short_ then -doc_id - 1 else doc_id end as ingest_seq,
   case when doc_id % 13 = 7 and doc_id % 4 = 0 then 'TheGamer' when doc_id % 13 = 7 and doc_id % 4 = 1 then 'The Gamer'
-    when doc_id % 4 = 2 then concat(' ', substring(text, 1, 30), chr(9), '- Site - ', cast(doc_id as varchar(20)), ' ')
-    when doc_id % 9 = 0 then ' UNTITLED ' else substring(text, 1, 40) end as title,
-  case when doc_id % 11 = 0 then '' when doc_id % 11 = 1 then substring(text, 1, 50)
-    when doc_id % 11 = 2 then concat(substring(text, 1, 20), chr(1), chr(127), chr(92), substring(text, 21, 30))
-    else text end as content,
+    when doc_id % 4 = 2 then concat(' ', split_part(text, chr(10), 1), chr(9), '- Site - ', cast(doc_id as varchar(20)), ' ')
+    when doc_id % 9 = 0 then ' UNTITLED ' else split_part(text, chr(10), 1) end as title,
+  case when short_ then case when doc_id % 11 = 0 then substring(text, 1, 50) else '' end
+    when doc_id % 11 = 2 then concat(text, chr(1), chr(127), chr(92), text) else text end as content,
   case doc_id % 13 when 0 then 'IGN' when 1 then 'GameSpot' when 2 then 'PCGamer' when 3 then 'Eurogamer'
     when 4 then 'Polygon' when 5 then 'Kotaku' when 6 then 'GameRant' when 7 then 'TheGamer' when 8 then 'WCCFTech'
     when 9 then 'Engadget' else source end as source_name,
@@ -49,7 +53,9 @@ select doc_id as ingest_seq,
     when 2 then 'https://cdn.example.com/icon-set/pic.png?x=1' when 3 then 'https://cdn.example.com/Site-Logo.svg'
     when 4 then 'https://cdn.example.com/a/photo.JPEG?w=90' when 5 then 'https://cdn.example.com/p.tar.webp' end as image_url,
   md5(text) as id
-from {documents}
+from (
+  select doc_id, text, source, false as short_ from {documents}
+  union all select doc_id, text, source, true as short_ from {documents} where doc_id % 10 < 2)
 """
 
 SITE_BASES = [
