@@ -18,6 +18,7 @@ from presswork.functions import html as H
 from presswork.functions import text as X
 from presswork.functions import urls as U
 from presswork.functions.ids import article_id, content_path, image_path
+from presswork.plans import skew
 from presswork.plans.rules import ANY_HOST, MAX_BROADCAST_SITES, Site, rules_frame
 from presswork.plans.sites import OTHER_HOSTS, SITES
 
@@ -29,14 +30,23 @@ def default_sites() -> list[Site]:
 
 
 def with_rules(pages: DataFrame, sites: Iterable[Site] | None = None, url: str = "url") -> DataFrame:
-    """Attach the ``site`` rules of each page's host; other hosts take the ``*`` row."""
+    """Attach the ``site`` rules of each page's host; other hosts take the ``*`` row.
+
+    A registry too large for a broadcast is joined by a shuffle, where the pages of other
+    hosts, mostly the bulk of a crawl, are spread over copies of their row.
+    """
     sites = list(default_sites() if sites is None else sites)
-    rules = rules_frame(pages.sparkSession, sites)
+    rules, other = rules_frame(pages.sparkSession, sites), F.lit(ANY_HOST)
     if len(sites) <= MAX_BROADCAST_SITES:
         rules = F.broadcast(rules)
+    else:
+        slots = F.when(F.col("host") == ANY_HOST, F.sequence(F.lit(0), F.lit(skew.SLOTS - 1))).otherwise(F.array(F.lit(-1)))
+        rules = rules.withColumn("slot", F.explode(slots)).select(
+            F.when(F.col("slot") < 0, F.col("host")).otherwise(F.concat(F.col("host"), F.col("slot"))).alias("host"), "site")
+        other = F.concat(other, F.pmod(F.xxhash64(url), F.lit(skew.SLOTS)).cast("string"))
     host = U.domain(F.col(url))
     known = host.isin([s.key() for s in sites if s.key() != ANY_HOST])
-    keyed = pages.withColumn("host", F.when(known, host).otherwise(F.lit(ANY_HOST)))
+    keyed = pages.withColumn("host", F.when(known, host).otherwise(other))
     return keyed.join(rules, "host").drop("host")
 
 

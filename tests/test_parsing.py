@@ -31,3 +31,12 @@ def test_wrapper_that_looks_like_noise(spark):
             "<p>Second para.</p></div></div>")
     pages = spark.createDataFrame([(1, "https://www.gamespot.com/articles/x/", page)], "page_id long, url string, html string")
     assert extract.fields(pages).first()["raw_body"] == "First para. Second para."
+
+
+def test_large_registry(spark, monkeypatch):
+    """Rules joined by a shuffle give every page the same site as those that are broadcast."""
+    urls = ["https://www.gamespot.com/a", "https://kotaku.com/b", "https://other.example/c", "https://more.example/d", None]
+    pages = spark.createDataFrame([(i, u, "<p>x") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    want = sorted(extract.with_rules(pages).select("page_id", "site.name").collect())
+    monkeypatch.setattr(extract, "MAX_BROADCAST_SITES", 0)
+    assert sorted(extract.with_rules(pages).select("page_id", "site.name").collect()) == want and len(want) == len(urls)
