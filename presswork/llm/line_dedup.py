@@ -29,15 +29,15 @@ from presswork.llm import common as C
 PERCENT = 80
 BUCKETS = 1 << 16
 CLASS_BITS = 6
-# Candidate lines are broadcast to fetch their words up to this many rows of 28 bytes;
-# beyond it the texts are shuffled for it.
-BROADCAST_LINES = 500_000
+# Candidate lines and settled sets are broadcast up to this many rows of 28 bytes;
+# beyond it the other side is shuffled.
+BROADCAST_LINES = 1_000_000
 
 SPACES = "[ \\t-\\r]+"
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), SPACES), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), SPACES), "")
 
 
 def _classes(docs: DataFrame) -> Column:
@@ -95,7 +95,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, classes: Colum
     y = full.select(F.col("sid").alias("earlier"), F.col("keys").alias("b"))
     common = F.size(F.array_intersect("a", "b"))
     both = pairs.join(x, "later").join(y, "earlier")
-    return both.filter(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("later").distinct()
+    out = C.staged(
+        both.filter(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("later").distinct(), "lines-late")
+    C.discard(places)
+    C.discard(full)
+    return out
 
 
 def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -108,30 +112,39 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     keyed = lines_of(docs).select("doc_id", "line_no", _keys(F.col("line"), classes).alias("keys"))
     n = F.size("keys")
     prefix = n - F.ceil(n * percent / 100).cast("int") + 1
-    lines = C.staged(keyed.filter(n > 0).select(
+    wide = C.staged(keyed.filter(n > 0).select(
         "doc_id", "line_no", F.xxhash64("keys").alias("sid"), n.alias("n"), _parity(F.col("keys")).alias("bits"),
         F.slice("keys", F.lit(1), prefix).alias("prefix")), "lines")
+    lines = C.staged(wide.select("doc_id", "line_no", "sid"), "line-ids")
+    full = wide.groupBy("sid").agg(F.min(F.struct("doc_id", "line_no", "n", "bits", "prefix")).alias("f"))
+    full = C.staged(full.select("sid", "f.*"), "line-sets")
+    sets = C.staged(full.select("sid", "doc_id", "line_no"), "line-firsts")
+    C.discard(wide)
 
-    sets = lines.groupBy("sid").agg(F.min(F.struct("doc_id", "line_no", "n", "bits", "prefix")).alias("f"))
-    sets = C.staged(sets.select("sid", "f.*"), "line-sets")
-    rows = sets.select("sid", F.posexplode("prefix").alias("i", "w"))
-    often = rows.groupBy("w").agg(F.count("*").alias("c")).filter("c > 1").select("w")
-    facts = sets.select("sid", "doc_id", "line_no", "n", "bits")
-    shared = C.staged(rows.join(often, "w").join(facts, "sid"), "line-prefixes")
+    rows = full.select("sid", "doc_id", "line_no", "n", "bits", F.posexplode("prefix").alias("i", "w"))
+    often = full.select(F.explode("prefix").alias("w")).groupBy("w").agg(F.count("*").alias("c")).filter("c > 1")
+    shared = C.staged(rows.join(often.select("w"), "w"), "line-prefixes")
+    C.discard(full)
 
     first = shared.groupBy("w").agg(F.min(F.struct("doc_id", "line_no", "sid", "n", "bits", "i")).alias("f"))
     first = first.select("w", "f.*")
     x, y = shared.alias("x"), first.alias("y")
     pairs = x.join(y, "w").filter(f"x.sid <> y.sid and {_may_match('x', 'y', percent)}")
     pairs = C.staged(pairs.select(F.col("x.sid").alias("later"), F.col("y.sid").alias("earlier")).distinct(), "line-stars")
-    settled = C.staged(_verified(pairs, sets, docs, classes, percent), "lines-settled")
-
-    open_ = shared.join(settled.withColumnRenamed("later", "sid"), "sid", "left_anti")
-    x, y = open_.alias("x"), shared.alias("y")
+    settled = _verified(pairs, sets, docs, classes, percent)
+
+    known = settled.select(F.col("later").alias("sid"), F.lit(True).alias("done"))
+    known = F.broadcast(known) if known.count() <= BROADCAST_LINES else known
+    marked = shared.join(known, "sid", "left").withColumn("open", F.col("done").isNull()).drop("done")
+    # Both sides are the same rows, so they are shuffled once; the condition reads both
+    # sides lest one of them is filtered before.
+    x, y = marked.alias("x"), marked.alias("y")
     more = x.join(y, "w").filter(
-        "struct(y.doc_id, y.line_no) < struct(x.doc_id, x.line_no) and " + _may_match("x", "y", percent))
+        "if(y.sid = x.sid, false, x.open) and struct(y.doc_id, y.line_no) < struct(x.doc_id, x.line_no)"
+        " and " + _may_match("x", "y", percent))
     more = more.select(F.col("x.sid").alias("later"), F.col("y.sid").alias("earlier")).distinct()
     more = C.staged(more.join(pairs, ["later", "earlier"], "left_anti"), "line-pairs")
+    C.discard(shared)
     late = _verified(more, sets, docs, classes, percent)
     gone = settled.unionByName(late).distinct().withColumnRenamed("later", "sid")
     kept = sets.select("sid", "doc_id", "line_no").join(gone, "sid", "left_anti")
