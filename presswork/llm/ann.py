@@ -7,12 +7,14 @@ node of the graph.
 NN-descent (Dong, Charikar, Li, WWW 2011) starts here from random-projection trees
 instead of random lists: nodes that share a leaf are compared with each other. Each
 round then joins, at every node, its neighbours in both directions with each other and
-merges what they find: neighbours of neighbours become neighbours. The trees are fitted
-on a bounded sample of ``SAMPLE`` nodes; every vector is indexed.
+merges what they find: neighbours of neighbours become neighbours. Rounds go on until
+less than ``DELTA`` of all list entries are new. The upper levels of the trees are fitted
+on a bounded sample of ``SAMPLE`` nodes; leaves that are still too large are split by
+further planes at the median of all their nodes. Every vector is indexed.
 
 A query starts at its own node (it is one of the indexed vectors) and greedily expands
-the best nodes of its beam that are not expanded yet, until no list of results
-changes. Where lengths differ it starts at the longest vectors too, since those have
+the best nodes of its beam that are not expanded yet, until no beam of any query holds
+such a node. Where lengths differ it starts at the longest vectors too, since those have
 the largest products. The beam is then scored in double precision on the original vectors.
 
 Graph and search use half-precision vectors; the exact scores at the end do not.
@@ -20,6 +22,7 @@ Graph and search use half-precision vectors; the exact scores at the end do not.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +34,13 @@ from presswork.llm import common as C
 
 SAMPLE = 8192
 TREES = 16
-LEAF = 2048          # nodes compared with each other; larger leaves are split by hash
-LEAST_SAMPLE = 8     # sampled nodes that a leaf needs, which bounds the depth
+LEAF = 2048          # nodes compared with each other; larger leaves are split by further planes
+LEAST_SAMPLE = 8     # sampled nodes that a leaf needs, which bounds the levels fitted on the sample
 DEGREE = 32
-ROUNDS = 1
+DELTA = 0.001        # share of new list entries below which the rounds end
 LOCAL = 32           # neighbours in either direction that meet at a node
 OFFERS = 8           # best of them that each is offered
-BEAM, EXPAND, MOST_HOPS = 64, 12, 6
+BEAM, EXPAND = 64, 12
 ENTRIES = 64         # longest vectors where queries also start, if lengths differ
 TOP = 20
 
@@ -111,11 +114,54 @@ def _planter(planes: np.ndarray, cuts: np.ndarray, width: int):
                 while inner and at[0] < inner:
                     at = 2 * at + 1 + ((x * planes[t, at]).sum(axis=1) > cuts[t, at])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(x), t, np.int32)), pa.array(at.astype(np.int32)), *batch.columns],
+                    [pa.array(np.full(len(x), t, np.int32)), pa.array(at), *batch.columns],
                     ["tree", "leaf", "node", "unit"])
     return work
 
 
+def _projector(width: int):
+    """The place of each node along a random direction of its own leaf."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = _matrix(batch.column(3), "<f2", width).astype("f4")
+            keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
+            leaves, of = np.unique(keys, axis=0, return_inverse=True)
+            planes = np.stack([np.random.Generator(np.random.PCG64([7, int(t), int(leaf)])).standard_normal(width)
+                               for t, leaf in leaves]).astype("f4")
+            value = (x * planes[of.ravel()]).sum(axis=1).astype("f8")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value)], ["tree", "leaf", "node", "unit", "value"])
+    return work
+
+
+_PLANTED = "tree int, leaf long, node long, unit binary"
+
+
+def _small_leaves(planted: DataFrame, width: int) -> DataFrame:
+    """``planted`` with every leaf of more than ``LEAF`` nodes split at medians until none is left.
+
+    Nodes on the median are dealt by hash, so a leaf of equal directions is split too.
+    """
+    done = []
+    for level in itertools.count():
+        sizes = planted.groupBy("tree", "leaf").count()
+        large = C.staged(sizes.filter(F.col("count") > LEAF).select("tree", "leaf"), f"ann-large-{level}")
+        if large.isEmpty():
+            break
+        done.append(planted.join(large, ["tree", "leaf"], "left_anti"))
+        placed = C.staged(planted.join(large, ["tree", "leaf"], "left_semi").select("tree", "leaf", "node", "unit").mapInArrow(
+            _projector(width), f"{_PLANTED}, value double"), f"ann-placed-{level}")
+        cuts = placed.groupBy("tree", "leaf").agg(F.percentile_approx("value", 0.5, 1000).alias("cut"))
+        tied = F.pmod(F.xxhash64("node", "tree", "leaf"), F.lit(2)) == 1
+        right = (F.col("value") > F.col("cut")) | (F.col("value") == F.col("cut")) & tied
+        planted = placed.join(cuts, ["tree", "leaf"]).select(
+            "tree", (2 * F.col("leaf") + 1 + right.cast("long")).alias("leaf"), "node", "unit")
+    for part in done:
+        planted = planted.unionByName(part)
+    return planted
+
+
 def _all_pairs_in(width: int, degree: int):
     def work(table: pa.Table) -> pa.Table:
         node = table.column("node").to_numpy()
@@ -143,6 +189,8 @@ def _merger(degree: int):
             for own_near, own_sim in zip(batch.column(1), batch.column(2)):
                 ids = np.concatenate([np.zeros(0, np.int64), *(x.values.to_numpy() for x in own_near)])
                 values = np.concatenate([np.zeros(0, "f4"), *(x.values.to_numpy() for x in own_sim)])
+                best = np.lexsort((-values, ids))  # a pair scored twice may differ in its last bit
+                ids, values = ids[best], values[best]
                 ids, first = np.unique(ids, return_index=True)
                 values = values[first]
                 order = np.lexsort((ids, -values))[:degree]
@@ -171,13 +219,8 @@ def _first_lists(units: DataFrame, count: int, width: int, degree: int) -> DataF
     wanted = max(0, int(np.ceil(np.log2(max(count, 1) / LEAF))))
     depth = min(wanted, max(0, int(np.log2(max(len(sample), 1) / LEAST_SAMPLE))))
     planes, cuts = _fit_trees(sample, depth, TREES if depth else 1)
-    planted = C.staged(rows.mapInArrow(
-        _planter(planes, cuts, width), "tree int, leaf int, node long, unit binary"), "ann-leaves")
-    sizes = planted.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / LEAF).alias("parts"))  # trees x leaves rows
-    part = F.pmod(F.xxhash64("node", "tree"), F.col("parts")).cast("int")
-    dealt = planted.join(F.broadcast(sizes), ["tree", "leaf"]).withColumn("part", part)
-    lists = dealt.select("tree", "leaf", "part", "node", "unit").groupBy("tree", "leaf", "part").applyInArrow(
-        _all_pairs_in(width, degree), _GRAPH)
+    planted = C.staged(rows.mapInArrow(_planter(planes, cuts, width), _PLANTED), "ann-leaves")
+    lists = _small_leaves(planted, width).groupBy("tree", "leaf").applyInArrow(_all_pairs_in(width, degree), _GRAPH)
     return _merged(lists, degree, "ann-first")
 
 
@@ -225,21 +268,39 @@ def _descend(graph: DataFrame, units: DataFrame, width: int, degree: int, step:
     return _merged(graph.unionByName(lists), degree, f"ann-round-{step}")
 
 
-def neighbour_graph(units: DataFrame, count: int, width: int, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
-    """``node, near, sim``: the ``degree`` nearest found of each node of ``units(node, unit)``."""
+def _new_share(graph: DataFrame, before: DataFrame) -> float:
+    """Share of the list entries of ``graph`` that ``before`` did not have."""
+    old = before.select("node", F.col("near").alias("old"))
+    seen = graph.join(old, "node", "left").agg(
+        F.sum(F.size(F.array_except("near", F.coalesce("old", F.array().cast("array<long>"))))).alias("new"),
+        F.sum(F.size("near")).alias("all")).first()
+    return (seen.new or 0) / max(seen.all or 0, 1)
+
+
+def neighbour_graph(units: DataFrame, count: int, width: int, degree: int = DEGREE, delta: float | None = None) -> DataFrame:
+    """``node, near, sim``: the ``degree`` nearest found of each node of ``units(node, unit)``.
+
+    Up to ``LEAF`` nodes the first lists are complete. The similarities of a list only grow,
+    so the rounds end.
+    """
+    delta = DELTA if delta is None else delta
     graph = _first_lists(units, count, width, degree)
-    for step in range(rounds if count > LEAF else 0):
-        graph = _descend(graph, units, width, degree, step)
+    for step in itertools.count() if count > LEAF else ():
+        before, graph = graph, _descend(graph, units, width, degree, step)
+        share = _new_share(graph, before)
+        C.discard(before)
+        if share < delta:
+            break
     return graph
 
 
 # -- search -----------------------------------------------------------------------------
 
-def _beam_step(width: int, beam: int, expand: int, top: int):
+def _beam_step(width: int, beam: int, expand: int):
     """New beam of each query from its old one and the scored candidates."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {k: [] for k in ("query", "unit", "beam", "sim", "done", "next", "changed")}
+            out = {k: [] for k in ("query", "unit", "beam", "sim", "done", "next")}
             for query, unit, old, sims, done, near, units in zip(*(c.to_pylist() for c in batch.columns)):
                 q = np.frombuffer(unit, "<f2").astype("f4")
                 ids, values = np.array(old or [], np.int64), np.array(sims or [], "f4")
@@ -258,17 +319,14 @@ def _beam_step(width: int, beam: int, expand: int, top: int):
                 out["sim"].append(values.tolist())
                 out["done"].append(sorted((done & set(ids.tolist())) | set(ahead)))
                 out["next"].append(ahead)
-                out["changed"].append(ids[:top].tolist() != (old or [])[:top])
             yield pa.RecordBatch.from_arrays([
                 pa.array(out["query"], pa.int64()), pa.array(out["unit"], pa.binary()),
                 *(pa.array(out[k], pa.list_(t)) for k, t in (
-                    ("beam", pa.int64()), ("sim", pa.float32()), ("done", pa.int64()), ("next", pa.int64()))),
-                pa.array(out["changed"], pa.bool_())], list(out))
+                    ("beam", pa.int64()), ("sim", pa.float32()), ("done", pa.int64()), ("next", pa.int64())))], list(out))
     return work
 
 
-_STATE = ("query long, unit binary, beam array<long>, sim array<float>, done array<long>, next array<long>, "
-          "changed boolean")
+_STATE = "query long, unit binary, beam array<long>, sim array<float>, done array<long>, next array<long>"
 
 
 def _query_units(width: int):
@@ -286,11 +344,11 @@ def _query_units(width: int):
 
 def greedy_search(graph: DataFrame, units: DataFrame, queries: DataFrame, width: int, entries: list[int]) -> DataFrame:
     """``query, beam``: the best nodes found for each of ``queries(query, vec)``, nodes themselves."""
-    step = _beam_step(width + 1, BEAM, EXPAND, TOP)
+    step = _beam_step(width + 1, BEAM, EXPAND)
     state = queries.mapInArrow(_query_units(width), "query long, unit binary").select(
         "query", "unit", *(F.array().cast(f"array<{t}>").alias(n) for n, t in (("beam", "long"), ("sim", "float"), ("done", "long"))),
         F.array("query", *map(F.lit, entries)).alias("next"))
-    for hop in range(MOST_HOPS + 1):
+    for hop in itertools.count():
         ahead = state.select("query", F.explode("next").alias("node"))
         near = ahead.join(graph.select("node", "near"), "node", "left").select(
             "query", F.explode(F.array_union(F.array("node"), F.coalesce("near", F.array().cast("array<long>")))).alias("node")).distinct()
@@ -298,8 +356,10 @@ def greedy_search(graph: DataFrame, units: DataFrame, queries: DataFrame, width:
             F.collect_list(F.struct("node", "u")).alias("c"))  # at most EXPAND * (DEGREE + 1)
         rows = state.select("query", "unit", "beam", "sim", "done").join(scored, "query", "left").select(
             "query", "unit", "beam", "sim", "done", F.col("c.node").alias("near"), F.col("c.u").alias("units"))
-        state = C.staged(rows.mapInArrow(step, _STATE), f"ann-hop-{hop}")
-        if state.filter("changed").isEmpty():
+        before, state = state, C.staged(rows.mapInArrow(step, _STATE), f"ann-hop-{hop}")
+        if hop:
+            C.discard(before)
+        if state.filter(F.size("next") > 0).isEmpty():
             break
     return state.select("query", "beam")
 

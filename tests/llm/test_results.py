@@ -369,6 +369,31 @@ def test_nearest_vectors(spark):
     assert hits / (20 * len(got)) > 0.9
 
 
+def test_graph_of_small_leaves_converges(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF", 64)
+    monkeypatch.setattr(ann, "SAMPLE", 32)
+    monkeypatch.setattr(ann, "TREES", 2)
+    rng = np.random.default_rng(12)
+    m = rng.standard_normal((4000, 12)).astype("f4")
+    m /= np.sqrt((m * m).sum(axis=1, keepdims=True))
+    m[:300] = m[0]  # one direction, as after rounding: ties are split as well
+    unit = np.hstack([m, np.zeros((len(m), 1), "f4")]).astype("<f2")
+    units = spark.createDataFrame([(i, bytearray(u.tobytes())) for i, u in enumerate(unit)], "node long, unit binary")
+    planted = units.selectExpr("0 as tree", "3L as leaf", "node", "unit")
+    leaves = {}
+    for r in ann._small_leaves(planted, 13).select("leaf", "node").collect():
+        leaves.setdefault(r.leaf, []).append(r.node)
+    assert sorted(n for own in leaves.values() for n in own) == list(range(4000))
+    assert max(map(len, leaves.values())) <= 64
+    found = {r.node: list(r.near) for r in ann.neighbour_graph(units, 4000, 13).collect()}
+    wide, hits = unit.astype("f8"), 0
+    for i in range(300, 4000, 10):
+        scores = wide @ wide[i]
+        scores[i] = -np.inf
+        hits += len(set(np.argsort(-scores)[:20].tolist()) & set(found[i]))
+    assert hits / (20 * 370) > 0.9
+
+
 # -- pipeline ---------------------------------------------------------------------------------
 
 def test_pipeline(spark, sf):
