@@ -1,6 +1,7 @@
 """Secret scan: candidates by shape, false positives removed by a random forest.
 
-A candidate is a word that holds a run of 8 or more token characters and a digit.
+A candidate is a run of 8 or more token characters, anywhere in a word and with or
+without digits; a word may hold several.
 Its features are the length of the value, character transitions (changes of class, and
 the mean log-frequency of its letter pairs in the words of the corpus), entropy, the
 share of its letter runs that are words of a dictionary, the path of its document, and
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswork.llm import common as C
+from presswork.plans import skew
 
 # The forest is fitted on at most so many labelled findings, those with the least hashes.
 TRAIN_ROWS = 20_000
@@ -28,8 +30,10 @@ TREES, DEPTH, SEED = 24, 6, 17
 PAIRS = 1024
 LEAST_WORD = 4
 THRESHOLD = 0.5
+HEAVY_FLOOR = 10_000  # rows of one value that are not worth spreading
 
-_VALUE = "([A-Za-z0-9+/_~-]{8,}=*)[^A-Za-z0-9]*$"
+# The slashes behind the scheme of a URL are no part of the run.
+_VALUE = "(?:(?<=//)|(?<![A-Za-z0-9+/_~-])(?!//))[A-Za-z0-9+/_~-]{8,}=*"
 _KEY = "(?i)key|secret|token|passw|pwd|auth|credential|private"
 _ASIDE = "(?i)test|example|sample|dummy|mock|doc"
 # Formats that issuers publish, for labels where none are given.
@@ -41,11 +45,11 @@ FEATURES = [
 
 
 def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id, place, path, before, word, after, value``, one row for each candidate word."""
+    """``doc_id, place, path, before, word, after, value, at``, one row for each run; ``at`` is its offset in the word."""
     words = F.split("text", "\\s+")
     near = F.transform(
         F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))),
-                 lambda x: (F.length(x["w"]) >= 8) & x["w"].rlike("[0-9]") & x["w"].rlike("[A-Za-z0-9+/_~-]{8}")),
+                 lambda x: (F.length(x["w"]) >= 8) & x["w"].rlike(_VALUE)),
         lambda x: F.struct(x["i"].alias("place"), x["w"].alias("word")))
     rows = docs.select(
         "doc_id", (F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")).alias("path"),
@@ -56,7 +60,22 @@ def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
         F.concat_ws(" ", F.slice("words", F.greatest(x["place"] - 1, F.lit(1)), F.least(x["place"], F.lit(2)))).alias("before"),
         F.coalesce(F.try_element_at("words", x["place"] + 2), F.lit("")).alias("after")))
     out = rows.select("doc_id", "path", F.explode(around).alias("c")).select("doc_id", "path", "c.*")
-    return out.withColumn("value", F.regexp_extract("word", _VALUE, 1)).filter(F.length("value") >= 8)
+    # Runs stand in order and apart, so each is found behind the end of the one before.
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<value:string,at:int>>").alias("runs"))
+    runs = F.aggregate(F.regexp_extract_all("word", F.lit(_VALUE), 0), start, lambda acc, v: F.struct(
+        (_found(v, acc["next"]) + F.length(v)).alias("next"),
+        F.concat(acc["runs"], F.array(F.struct(v.alias("value"), (_found(v, acc["next"]) - 1).alias("at")))).alias("runs")),
+        lambda acc: acc["runs"])
+    return out.withColumn("run", F.explode(runs)).select(*out.columns, "run.value", "run.at")
+
+
+def _found(value: Column, start: Column) -> Column:
+    """Place of ``value`` in the word, from 1, at or behind ``start``."""
+    return F.call_function("locate", value, F.col("word"), start)
+
+
+def _left() -> Column:
+    return F.expr("substring(word, 1, at)")
 
 
 def _plain(text: Column) -> Column:
@@ -107,59 +126,74 @@ def featured(found: DataFrame) -> DataFrame:
     signs = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(
         "value", "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A"), "[^0aA]", "_")
 
-    runs = found.select("value").distinct().select("value", F.explode(F.split(F.lower("value"), "[^\\p{L}]+")).alias("run"))
+    values = C.staged(skew.key_counts(found, "value"), "secret-values")
+    runs = values.select("value", F.explode(F.split(F.lower("value"), "[^\\p{L}]+")).alias("run"))
     known = runs.filter(F.length("run") >= LEAST_WORD).join(
         _dictionary(found).withColumn("hit", F.lit(1)), "run", "left").groupBy("value").agg(
         (F.sum(F.when(F.col("hit") == 1, F.length("run")).otherwise(0)) / F.first(F.length("value"))).alias("known"))
-    left = F.expr("substring(word, 1, greatest(instr(word, value) - 1, 0))")
     number = lambda c: c.cast("double")
-    return found.join(known, "value", "left").select(
-        *found.columns,
-        F.length("value").cast("double").alias("length"), _share("[^0-9]").alias("digits"), _share("[^A-Z]").alias("upper"),
-        _share("[^a-z]").alias("lower"), _share("[A-Za-z0-9]").alias("marks"),
+    own = C.staged(values.join(known, "value", "left").select(
+        "value", F.length("value").cast("double").alias("length"), _share("[^0-9]").alias("digits"),
+        _share("[^A-Z]").alias("upper"), _share("[^a-z]").alias("lower"), _share("[A-Za-z0-9]").alias("marks"),
         ((F.length(F.regexp_replace(signs, "(.)\\1+", "$1")) - 1) / F.length("value")).alias("changes"),
         _entropy().alias("entropy"), mean.alias("pairs"), F.coalesce("known", F.lit(0.0)).alias("known"),
-        number(F.col("value").rlike("^[0-9a-f]+$")).alias("is_hex"), number(F.col("value").rlike("^[0-9]+$")).alias("all_digits"),
-        number(F.col("before").rlike(_KEY)).alias("key_before"), number(left.rlike(_KEY)).alias("key_inside"),
-        number(F.col("before").rlike("[=:]\\s*$") | left.rlike("[=:][\"']?$")).alias("assigned"),
-        number(F.col("word").rlike("[\"'][A-Za-z0-9+/_~-]{8,}=*[\"']")).alias("quoted"),
-        number(F.col("path").rlike(_ASIDE)).alias("path_aside"),
-        number(F.col("word").rlike("/.*/|://|@|\\.[a-z]{2,4}$")).alias("path_like"),
-        number(_plain(F.element_at(F.split("before", " "), -1))).alias("plain_before"),
-        number(_plain(F.col("after"))).alias("plain_after"))
+        number(F.col("value").rlike("^[0-9a-f]+$")).alias("is_hex"),
+        number(F.col("value").rlike("^[0-9]+$")).alias("all_digits")), "secret-value-features")
+    heavy = C.staged(skew.heavy_keys(values, "value", HEAVY_FLOOR), "secret-heavy")
+    opening = F.expr("substring(word, at, 1)")
+    return skew.attach(found, own, "value", heavy, "doc_id").withColumns({
+        "key_before": number(F.col("before").rlike(_KEY)), "key_inside": number(_left().rlike(_KEY)),
+        "assigned": number(F.col("before").rlike("[=:]\\s*$") | _left().rlike("[=:][\"']?$")),
+        "quoted": number((F.col("at") > 0) & opening.isin("'", '"') & (opening == F.expr("substring(word, at + length(value) + 1, 1)"))),
+        "path_aside": number(F.col("path").rlike(_ASIDE)),
+        "path_like": number(F.col("word").rlike("/.*/|://|@|\\.[a-z]{2,4}$")),
+        "plain_before": number(_plain(F.element_at(F.split("before", " "), -1))),
+        "plain_after": number(_plain(F.col("after")))})
 
 
 def issued_labels(found: DataFrame) -> DataFrame:
-    """``doc_id, place, label`` by rule: published formats, and random values given to a key name.
+    """``doc_id, place, at, label`` by rule: published formats, and random values given to a key name.
 
     For corpora without labelled findings. A value given to a key counts when it holds
     three digits.
     """
-    left = F.concat_ws(" ", "before", F.expr("substring(word, 1, greatest(instr(word, value) - 1, 0))"))
+    left = F.concat_ws(" ", "before", _left())
     given = left.rlike(_KEY) & left.rlike("[=:][\\s\"']*$") & F.col("value").rlike("[0-9].*[0-9].*[0-9]")
-    return found.select("doc_id", "place", (F.col("value").rlike(_ISSUED) | given).cast("int").alias("label"))
+    return found.select("doc_id", "place", "at", (F.col("value").rlike(_ISSUED) | given).cast("int").alias("label"))
 
 
 def _forest(rows: DataFrame, labels: DataFrame):
     """The fitted forest, or the one label there is."""
-    labels = labels.filter("label is not null").orderBy(F.xxhash64("doc_id", "place"), "doc_id", "place").limit(TRAIN_ROWS)
-    train = rows.join(labels, ["doc_id", "place"]).select(*FEATURES, F.col("label").cast("double").alias("label"))
+    labels = labels.filter("label is not null").withColumn("label", F.col("label").cast("int"))
+    keys = [c for c in ("doc_id", "place", "at") if c in labels.columns]
+    totals = dict(labels.groupBy("label").count().collect())
+    # Secrets are rare among all runs, so each label is sampled on its own and weighs what it stands for.
+    picked = None
+    for label, total in sorted(totals.items()):
+        most = TRAIN_ROWS // len(totals)
+        own = labels.filter(F.col("label") == label).orderBy(F.xxhash64(*keys), *keys).limit(most)
+        own = own.withColumn("weight", F.lit(max(1.0, total / most)))
+        picked = own if picked is None else picked.unionByName(own)
+    if picked is None:
+        return 0.0
+    train = rows.join(F.broadcast(picked), keys).select(*FEATURES, F.col("label").cast("double").alias("label"), "weight")
     train = C.staged(train, "secret-training")
     seen = sorted(r.label for r in train.select("label").distinct().collect())
     if len(seen) < 2:
         return seen[0] if seen else 0.0
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(train)
     return RandomForestClassifier(
-        labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=SEED,
+        labelCol="label", weightCol="weight", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=SEED,
         cacheNodeIds=False).fit(ready)
 
 
 def scan_secrets(docs: DataFrame, labels=issued_labels, learn_from: Column | None = None, path: str | None = None) -> DataFrame:
-    """``doc_id, place, before, word, value, score, is_secret`` of all candidates in ``docs(doc_id, text)``.
+    """``doc_id, place, at, before, word, value, score, is_secret`` of all candidates in ``docs(doc_id, text)``.
 
-    ``labels`` are labelled findings ``(doc_id, place, label)``, or a function that gives
+    ``labels`` are labelled findings ``(doc_id, place, at, label)``, where a label without ``at`` holds
+    for all runs of its word, or a function that gives
     them for the candidates; they teach where ``learn_from``, a condition on ``doc_id``,
-    holds. ``place`` counts the words of the text from 0; ``path`` names a column with the
+    holds. ``place`` counts the words of the text from 0, ``at`` the characters of the word; ``path`` names a column with the
     path of the document.
 
     Null and empty texts have no candidates. Rows without an id are scanned but teach
@@ -178,5 +212,5 @@ def scan_secrets(docs: DataFrame, labels=issued_labels, learn_from: Column | Non
         ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
         scored = model.transform(ready).withColumn("score", vector_to_array("probability")[1])
     return scored.select(
-        "doc_id", "place", "before", "word", "value", F.round("score", 6).alias("score"),
+        "doc_id", "place", "at", "before", "word", "value", F.round("score", 6).alias("score"),
         (F.col("score") >= THRESHOLD).alias("is_secret"))

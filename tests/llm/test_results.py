@@ -348,6 +348,25 @@ def test_secrets_planted(spark, documents):
     assert {(r.doc_id, r.place) for r in got} == want
 
 
+def test_secrets_inside_words(spark, documents):
+    rng = random.Random(10)
+    signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    ghp = lambda: "ghp_" + "".join(rng.choice(signs) for _ in range(36))
+    plain = lambda: "ghp_" + "".join(rng.choice(signs[:52]) for _ in range(36))
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 12)))
+    shapes = ['{{"token":"{0}","user":"bob"}}', "https://{0}@host/repo.git", "x.example/?key={0}&v=1", "{0}</td>", "a;{0};{1};b", "{1}"]
+    rows, want = [], set()
+    for i in range(400):
+        words = [word() for _ in range(30)]
+        if i % 2 == 0:
+            shape, values = shapes[i // 2 % len(shapes)], (ghp(), plain())
+            words[7] = shape.format(*values)
+            want |= {(i, 7, words[7].index(v), v) for v in values if v in words[7]}
+        rows.append((i, " ".join(words)))
+    got = secrets.scan_secrets(documents(rows), learn_from=~held_out()).filter("is_secret").collect()
+    assert {(r.doc_id, r.place, r["at"], r.value) for r in got} == want
+
+
 def test_nearest_vectors(spark):
     rng = np.random.default_rng(11)
     m = rng.standard_normal((3000, 16)).astype("f4") * rng.uniform(0.8, 1.25, (3000, 1)).astype("f4")
