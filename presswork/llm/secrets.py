@@ -8,8 +8,7 @@ share of its letter runs that are words of a dictionary, the path of its documen
 the words around it. The forest is trained on labelled findings and gives each
 candidate the probability of being a secret.
 
-The dictionary and the pair table come from the words beside the candidates of the
-whole corpus. All of it is DataFrame code and Spark ML, without Python in the tasks.
+The dictionary and the pair table come from all words of all texts. All of it is DataFrame code and Spark ML, without Python in the tasks.
 """
 
 from __future__ import annotations
@@ -93,12 +92,18 @@ def _entropy() -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda acc, p: acc - F.when(p > 0, p * F.log2(p)).otherwise(0.0))
 
 
-def _pair_table(found: DataFrame) -> Column | None:
-    """Log-frequency of letter pairs in the words beside candidates, as one constant map."""
-    words = found.select(F.explode(F.split(F.lower(F.concat_ws(" ", "before", "after")), "[^a-z]+")).alias("w"))
-    pairs = words.filter(F.length("w") >= 2).select(
-        F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring("w", i, F.lit(2)))).alias("p"))
-    rows = pairs.groupBy("p").count().orderBy(F.desc("count"), "p").limit(PAIRS).collect()
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``run, n``: the runs of letters in all texts, in lower case, with how often they stand there."""
+    runs = docs.select(F.explode(F.split(F.lower("text"), "[^\\p{L}]+")).alias("run"))
+    return C.staged(runs.filter(F.col("run") != "").groupBy("run").agg(F.count("*").alias("n")), "secret-words")
+
+
+def _pair_table(words: DataFrame) -> Column | None:
+    """Log-frequency of the letter pairs of all words, as one constant map."""
+    parts = words.select(F.explode(F.split("run", "[^a-z]+")).alias("w"), "n").filter(F.length("w") >= 2)
+    pairs = parts.select(
+        F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring("w", i, F.lit(2)))).alias("p"), "n")
+    rows = pairs.groupBy("p").agg(F.sum("n").alias("count")).orderBy(F.desc("count"), "p").limit(PAIRS).collect()
     if not rows:
         return None
     total = sum(r["count"] for r in rows)
@@ -106,14 +111,13 @@ def _pair_table(found: DataFrame) -> Column | None:
     return F.str_to_map(F.lit(text), F.lit(","), F.lit(":"))
 
 
-def _dictionary(found: DataFrame) -> DataFrame:
-    words = found.select(F.explode(F.split(F.lower(F.concat_ws(" ", "before", "after")), "[^\\p{L}]+")).alias("run"))
-    return words.filter(F.length("run") >= LEAST_WORD).groupBy("run").count().filter("count > 1").select("run")
+def _dictionary(words: DataFrame) -> DataFrame:
+    return words.filter((F.length("run") >= LEAST_WORD) & (F.col("n") > 1)).select("run")
 
 
-def featured(found: DataFrame) -> DataFrame:
-    """``found`` with a column for each of ``FEATURES``; ``found`` is read more than once."""
-    table = _pair_table(found)
+def featured(found: DataFrame, words: DataFrame) -> DataFrame:
+    """``found`` with a column for each of ``FEATURES``, by the ``word_counts`` of all texts; both are read more than once."""
+    table = _pair_table(words)
     lowered = F.regexp_replace(F.lower("value"), "[^a-z]", "")
     pairs = F.transform(
         F.when(F.length(lowered) >= 2, F.sequence(F.lit(1), F.length(lowered) - 1)).otherwise(F.array().cast("array<int>")),
@@ -129,7 +133,7 @@ def featured(found: DataFrame) -> DataFrame:
     values = C.staged(skew.key_counts(found, "value"), "secret-values")
     runs = values.select("value", F.explode(F.split(F.lower("value"), "[^\\p{L}]+")).alias("run"))
     known = runs.filter(F.length("run") >= LEAST_WORD).join(
-        _dictionary(found).withColumn("hit", F.lit(1)), "run", "left").groupBy("value").agg(
+        _dictionary(words).withColumn("hit", F.lit(1)), "run", "left").groupBy("value").agg(
         (F.sum(F.when(F.col("hit") == 1, F.length("run")).otherwise(0)) / F.first(F.length("value"))).alias("known"))
     number = lambda c: c.cast("double")
     own = C.staged(values.join(known, "value", "left").select(
@@ -202,7 +206,7 @@ def scan_secrets(docs: DataFrame, labels=issued_labels, learn_from: Column | Non
     empty table.
     """
     found = C.staged(candidates(docs, path), "secret-candidates")
-    rows = C.staged(featured(found), "secret-features")
+    rows = C.staged(featured(found, word_counts(docs)), "secret-features")
     given = labels(found) if callable(labels) else labels
     given = given.filter("doc_id is not null")
     model = _forest(rows, given if learn_from is None else given.filter(learn_from))

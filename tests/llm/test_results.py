@@ -367,6 +367,22 @@ def test_secrets_inside_words(spark, documents):
     assert {(r.doc_id, r.place, r["at"], r.value) for r in got} == want
 
 
+def test_secret_statistics_cover_all_texts(spark, documents):
+    docs = documents(["harbour lantern meadow one two", "harbour two one lantern", "x harbour_lantern_meadow y"])
+    words = secrets.word_counts(docs)
+    assert {r.run: r.n for r in words.collect()} == {
+        "harbour": 3, "lantern": 3, "meadow": 2, "one": 2, "two": 2, "x": 1, "y": 1}
+    rows = secrets.featured(secrets.candidates(docs), words).filter("value = 'harbour_lantern_meadow'").collect()
+    assert len(rows) == 1 and abs(rows[0].known - 20 / 22) < 1e-9
+    counts = Counter()
+    for r in words.collect():
+        for i in range(len(r.run) - 1):
+            counts[r.run[i:i + 2]] += r.n
+    letters = "harbourlanternmeadow"
+    logs = [np.log(counts[p] / counts.total() if counts[p] else 1e-6) for p in map("".join, zip(letters, letters[1:]))]
+    assert abs(rows[0].pairs - np.mean(logs)) < 1e-5
+
+
 def test_nearest_vectors(spark):
     rng = np.random.default_rng(11)
     m = rng.standard_normal((3000, 16)).astype("f4") * rng.uniform(0.8, 1.25, (3000, 1)).astype("f4")
