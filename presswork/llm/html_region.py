@@ -2,7 +2,9 @@
 
 Words score positive and tags negative (Pasternack and Roth, "Extracting Article Text
 from the Web with Maximum Subsequence Segmentation", WWW 2009). Elements that carry no
-article text by their name, role or class are taken out first; a linear scan then
+article text by their name, role or class are taken out first, but no element for its
+class or id that holds an article or most of the words around it: layout wrappers have
+such names too. A linear scan then
 finds the contiguous run of highest score, and its blocks are the text.
 
 The weights come from labelled pages: pages that mark their article with ``article``
@@ -60,8 +62,9 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 Item = tuple[str, str, str, bool]  # kind ("text", "open", "close"), tag name, raw text, inside a link
 
 
-def _marked(rest: str) -> bool:
-    """Whether attributes mark an element that isn't article text."""
+def _marked(rest: str) -> set[str] | bool:
+    """Whether attributes mark an element that isn't article text; if only class and id do, their words."""
+    marks: set[str] = set()
     for name, a, b, c in _NAMED.findall(rest):
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -70,9 +73,31 @@ def _marked(rest: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if name in ("class", "id") and not DROPPED_WORDS.isdisjoint(w.lower() for w in _WORDS.findall(value)):
-            return True
-    return False
+        if name in ("class", "id"):
+            marks |= DROPPED_WORDS.intersection(w.lower() for w in _WORDS.findall(value))
+    return marks
+
+
+class _Page:
+    """Words, article elements and headings between two places of a page."""
+
+    def __init__(self, found: list[tuple]):
+        self.words, self.articles, self.headings = [0], [0], [0]
+        for kind, name, text, _ in found:
+            self.words.append(self.words[-1] + (len(text.split()) if kind == "text" else 0))
+            self.articles.append(self.articles[-1] + (kind == "open" and name in CONTENT))
+            self.headings.append(self.headings[-1] + (kind == "open" and name in ("h1", "h2")))
+
+    def keeps(self, marks: set[str], first: int, last: int, around: tuple[int, int]) -> bool:
+        """Whether the element from ``first`` to ``last`` stays in spite of its class or id.
+
+        It does when it holds an article, most of the words of the article or page
+        around it, or, marked as a header only, a heading.
+        """
+        held = lambda sums, a, b: sums[b + 1] - sums[a]
+        return (held(self.articles, first, last) > 0
+                or 2 * held(self.words, first, last) > held(self.words, *around)
+                or marks == {"header"} and held(self.headings, first, last) > 0)
 
 
 def items(page: str) -> tuple[list[Item], list[bool]]:
@@ -95,18 +120,31 @@ def items(page: str) -> tuple[list[Item], list[bool]]:
     out, inside = [], []
     linked = article = 0
     i, n = 0, len(found)
+    sums: _Page | None = None
+    around = [(0, n - 1)]  # the page and the articles around the place
     while i < n:
         kind, name, text, rest = found[i]
         if kind == "open" and name not in EMPTY:
             # An open tag without an end hides nothing but itself.
             drop = name in DROPPED or (name == "header" and not article)
-            if (drop or (rest and name not in ("html", "body", *CONTENT) and _marked(rest))) and i in ends:
+            if not drop and rest and i in ends and name not in ("html", "body", *CONTENT):
+                drop = _marked(rest)
+                if drop and drop is not True:
+                    sums = sums or _Page(found)
+                    while around[-1][1] < i:
+                        around.pop()
+                    drop = not sums.keeps(drop, i, ends[i], around[-1])
+            if drop and i in ends:
                 out.append(("close", name, "", False))
                 inside.append(article > 0)
                 i = ends[i] + 1
                 continue
             linked += name == "a"
             article += name in CONTENT
+            if name in CONTENT and i in ends:
+                while around[-1][1] < i:
+                    around.pop()
+                around.append((i, ends[i]))
         elif kind == "close":
             linked = max(0, linked - (name == "a"))
             article = max(0, article - (name in CONTENT))

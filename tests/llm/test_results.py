@@ -312,6 +312,19 @@ def test_page_regions(spark):
     assert text == "Title here now\nif a < b & c para one with linked words more.\nx y z\nSecond para here goes."
 
 
+@pytest.mark.parametrize("before, after", [
+    ('<div class="content with-sidebar">', "</div>"), ('<div id="wrap-no-header">', "</div>"),
+    ('<div class="row ad-free"><article>', "</article></div>"), ('<section class="share tags">', "</section>"),
+    ('<article><div class="content with-sidebar">', "</div></article>")])
+def test_marked_wrappers_keep_the_article(before, after):
+    words = "one two three four five six seven eight nine ten "
+    page = (f"<html><body><nav>{'menu ' * 40}</nav>" if before.startswith("<article") else "<html><body>") + (
+        f'{before}<div class="post-header"><h1>The title</h1></div><p>{words * 3}</p>'
+        f'<div class="related-links">see also this</div><p>{words * 2}</p>{after}<div class="ad">Buy now</div></body></html>')
+    text = html_region.extract(page, html_region.DEFAULTS)
+    assert text == "\n".join(["The title", (words * 3).strip(), (words * 2).strip()])
+
+
 def test_best_region_is_maximal():
     rng = random.Random(8)
     weights = {"word": 1.0, "linked": 0.2, "p": -1.5, "a": -2.0}
