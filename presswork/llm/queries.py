@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from presswork.llm import ann, html_region, lattice, line_dedup, minhash, mixing, secrets, tokenfile, toxicity, winnow
+from presswork.llm import (
+    ann, html_region, lattice, licenses, line_dedup, minhash, mixing, periodic, secrets, tokenfile, toxicity, winnow)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -88,3 +89,16 @@ def op1_secret_forest(spark, sf_dir):
 @query
 def op7_nn_descent(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op12_license_diagonals(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_license_diagonals"] = licenses.sql()
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    return periodic.scan_runs(periodic.with_loops(table(spark, sf_dir, "documents")))
