@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from presswork.llm import (
-    ann, html_region, lattice, licenses, line_dedup, minhash, mixing, periodic, secrets, tokenfile, toxicity, winnow)
+    ann, html_region, lattice, licenses, line_dedup, minhash, mixing, negatives, periodic, secrets, tokenfile, toxicity, winnow)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -91,6 +91,13 @@ def op7_nn_descent(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query
+def op11_hard_negatives(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 @query
 def op12_license_diagonals(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
