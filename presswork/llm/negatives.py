@@ -330,3 +330,26 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, scale: int = SCALE, po
                      F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
     return far.join(near, ["anchor_id", "of"]).select(
         "anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")
+
+
+def sql(every: int = 100) -> str:
+    """DuckDB SQL over ``embeddings``, with every 7th label moved on by one and every ``every``-th row an anchor."""
+    return f"""
+    with rows as materialized (
+        select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+               list_transform(embedding, lambda x: floor({SCALE} * x::double)::bigint) as v
+        from embeddings where label is not null and embedding is not null and len(list_filter(
+            embedding, lambda x: x is null or not isfinite(x))) = 0),
+    scores as materialized (
+        select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same,
+               list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::bigint as score
+        from rows a join rows b on a.vec_id <> b.vec_id where a.vec_id % {every} = 0),
+    positives as (
+        select * from scores where same
+        qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= {POSITIVES})
+    select p.anchor_id, p.vec_id as positive_id,
+           row_number() over (partition by p.anchor_id, p.vec_id order by n.score desc, n.vec_id)::integer as rank,
+           n.vec_id as negative_id, p.score as positive_score, n.score as negative_score
+    from positives p join scores n on p.anchor_id = n.anchor_id and not n.same
+         and {LOW} * p.score <= 100 * n.score and 100 * n.score <= {HIGH} * p.score
+    qualify rank <= {NEGATIVES}"""

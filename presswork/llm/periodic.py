@@ -334,3 +334,54 @@ def with_loops(docs: DataFrame) -> DataFrame:
         "array_join(slice(concat(slice(words, 1, int(a)), flatten(array_repeat(slice(words, int(a + 1), int(p)),"
         " int(ceil((n - a) / p))))), 1, int(n)), ' ')")
     return rows.select("doc_id", F.when(F.col("chosen") & (F.col("n") > 0), text).otherwise(F.col("text")).alias("text"))
+
+
+def sql() -> str:
+    """DuckDB SQL for ``scan_runs(with_loops(documents))``.
+
+    Equal words are paired and paired places become intervals; a run falls when one of a
+    smaller period holds it. CRC-32 is taken byte by byte from its table.
+    """
+    bit = "case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end"
+    table = f"list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)), lambda c, k: {bit}))"
+    return f"""
+    with crc as materialized (select {table} as t),
+    ids as (
+        select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w,
+               xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(doc_id::varchar) + 1),
+                   lambda i: ascii(substr(doc_id::varchar, i, 1))::bigint)),
+                   lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) as h
+        from documents, crc),
+    looped as (
+        select *, len(w) as n, h // 10 as g from ids),
+    placed as (
+        select *, case when h % 10 = 0 and n > 0 then g % n end as a from looped),
+    blocks as (select *, 1 + (n - a) // (3 + g % 8) as p from placed),
+    docs as materialized (
+        select r, doc_id, n, case when a is null then w else list_transform(range(0, n),
+            lambda i: w[case when i >= a then a + (i - a) % p else i end + 1]) end as w from blocks),
+    words as materialized (select r, n, i, w[i + 1] as word from docs, unnest(range(0, n)) u(i)),
+    pairs as (
+        select x.r, x.i, y.i - x.i as period from words x join words y
+        on x.r = y.r and x.word = y.word and y.i > x.i and {LEAST_TIMES} * (y.i - x.i) <= x.n),
+    numbered as (select *, i - row_number() over (partition by r, period order by i) as island from pairs),
+    stretches as (
+        select r, period, min(i) as start, count(*) + period as length from numbered group by r, period, island),
+    repeated as materialized (
+        select r, period, start, length from stretches where length >= {LEAST_WORDS} and length >= {LEAST_TIMES} * period),
+    runs as materialized (
+        select * from repeated x where not exists (
+            select 1 from repeated y where y.r = x.r and y.period < x.period
+            and y.start <= x.start and y.start + y.length >= x.start + x.length)),
+    listed as (
+        select r, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as runs,
+               first({{'s': start, 'l': length, 'p': period}} order by length desc, start, period) as best
+        from runs group by r),
+    dropped as (select distinct r, i from runs, unnest(range(start + period, start + length)) u(i)),
+    kept as (
+        select r, string_agg(word, ' ' order by i) as body
+        from words left join (select r, i, true as gone from dropped) d using (r, i) where gone is null group by r)
+    select doc_id, n as n_words, coalesce(n_runs, 0) as n_runs, best.s as start, best.l as length, best.p as period,
+           1000 * best.l // best.p as exponent_milli, sha256(coalesce(runs, '')) as runs_sha256,
+           sha256(coalesce(body, '')) as collapsed_sha256
+    from docs left join listed using (r) left join kept using (r)"""

@@ -98,6 +98,9 @@ def op11_hard_negatives(spark, sf_dir):
     return negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
 
 
+SQL["op11_hard_negatives"] = negatives.sql()
+
+
 @query
 def op12_license_diagonals(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
@@ -109,3 +112,6 @@ SQL["op12_license_diagonals"] = licenses.sql()
 @query
 def op13_periodic_runs(spark, sf_dir):
     return periodic.scan_runs(periodic.with_loops(table(spark, sf_dir, "documents")))
+
+
+SQL["op13_periodic_runs"] = periodic.sql()
