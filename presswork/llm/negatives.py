@@ -166,6 +166,8 @@ class Anchors(Block):
         vectors reach is a guess at what ``k`` of all reach; what ``k`` of the sample reach is proven.
         """
         ladder = np.tile(self.low.min(1)[:, None], (1, 3))
+        if not len(sample.ids):
+            return ladder
         anchor, window, _, score = self.best(sample, k, same, np.full(len(self.ids), _NONE))
         for place, rank in enumerate((max(int(np.ceil(2 * share * k)), 1), k)):
             if rank > k:
