@@ -10,8 +10,8 @@ It is found in rounds (Blelloch, Fineman, Shun: "Greedy sequential maximal
 independent set and matching are parallel on average", SPAA 2012): accept every
 record that is the earliest at both its keys, drop the records that share a key
 with it, repeat on the rest. Rounds grow with the logarithm squared of the batch
-for records in random order; a long chain of alternating keys takes more rounds,
-never a wrong answer.
+for records in random order. What is left after a few rounds has long chains of
+alternating keys; they are settled by pointer doubling.
 """
 
 from __future__ import annotations
@@ -74,40 +74,98 @@ def _known(store_keys: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     return store_keys.filter(F.col(key).isNotNull()).join(wanted, key, "left_semi").distinct()
 
 
+class Undecided:
+    """The earliest records of the (URL, title) pairs of a batch that nothing has decided yet.
+
+    Only keys travel: ``ingest_seq`` (unique), the URL and the title key. Every step is
+    cut off from its lineage by a reliable checkpoint.
+    """
+
+    def __init__(self, batch: DataFrame, heavy_floor: int = skew.HEAVY_FLOOR):
+        ensure_checkpoint_dir(batch.sparkSession)
+        self.rows = _collapsed(batch).checkpoint()
+        total = self.rows.count()
+        self.heavy = {key: skew.heavy_or_none(self.rows, total, key, heavy_floor) for key in (URL, TITLE)}
+
+    def drop_known(self, known: dict[str, DataFrame]) -> None:
+        """Leave out the records with a URL of ``known[URL]`` or a title key of ``known[TITLE]``, each key once."""
+        for key in (URL, TITLE):
+            self.rows = skew.drop_matching(self.rows, known[key], key, self.heavy[key], SEQ)
+        self.rows = self.rows.checkpoint()
+
+    def settle(self, max_rounds: int | None = None) -> DataFrame:
+        """``ingest_seq`` of the records that win; decides on all of them."""
+        steps = _Steps(max_rounds)
+        rest, won = self.rows, []
+        while not rest.isEmpty():
+            steps.one_more()
+            first = {key: rest.groupBy(key).agg(F.min(SEQ).alias(SEQ)) for key in (URL, TITLE)}
+            winners = first[URL].join(first[TITLE], SEQ).checkpoint()
+            if len(won) >= PLAIN_ROUNDS:
+                winners = _chain_winners(rest, first, winners, steps)
+            won.append(winners)
+            for key in (URL, TITLE):
+                rest = skew.drop_matching(rest, winners, key, self.heavy[key], SEQ)
+            rest = rest.checkpoint()
+        return reduce(DataFrame.unionByName, [w.select(SEQ) for w in won]) if won else rest.select(SEQ)
+
+
+# Rounds before chains are looked for; records in random order rarely need more.
+PLAIN_ROUNDS = 3
+
+
+class _Steps:
+    """Counts the steps that end in a checkpoint."""
+
+    def __init__(self, most: int | None):
+        self.most, self.count = most, 0
+
+    def one_more(self) -> None:
+        if self.most is not None and self.count >= self.most:
+            raise RuntimeError(f"undecided records after {self.most} rounds")
+        self.count += 1
+
+
+def _chain_winners(rest: DataFrame, first: dict[str, DataFrame], winners: DataFrame, steps: _Steps) -> DataFrame:
+    """``winners`` and all records that a chain of single rivals leads back to one of them.
+
+    A record that is the second at one of its keys and the first at the other has one
+    earlier rival, and wins exactly when this rival doesn't. Such records point at their
+    rivals; the pointers are doubled until they reach a record with no such pointer, so a
+    chain of any length takes the logarithm of it. A record wins at an even distance
+    from a winner.
+    """
+    links = []
+    for key, other in ((URL, TITLE), (TITLE, URL)):
+        later = rest.join(first[key].select(SEQ), SEQ, "left_anti")
+        second = later.groupBy(key).agg(F.min(SEQ).alias("_own"))
+        pairs = second.join(first[key], key).select(F.col("_own").alias(SEQ), F.col(SEQ).alias("_to"))
+        links.append(pairs.join(first[other].select(SEQ), SEQ, "left_semi"))
+    links = links[0].unionByName(links[1]).withColumn("_odd", F.lit(1)).checkpoint()
+    while True:
+        steps.one_more()
+        on = links.select(F.col(SEQ).alias("_to"), F.col("_to").alias("_next"), F.col("_odd").alias("_more"))
+        moved = links.join(on, "_to", "left").checkpoint()
+        links = moved.select(SEQ, F.coalesce("_next", "_to").alias("_to"),
+                             F.col("_odd").bitwiseXOR(F.coalesce("_more", F.lit(0))).alias("_odd"))
+        if moved.filter("_next is not null").isEmpty():
+            break
+    good = links.filter("_odd = 0").join(winners.select(F.col(SEQ).alias("_to")), "_to", "left_semi").select(SEQ)
+    return winners.unionByName(rest.join(good, SEQ, "left_semi").select(*winners.columns)).checkpoint()
+
+
 def accepted_keys(batch: DataFrame, store: DataFrame | None = None,
                   heavy_floor: int = skew.HEAVY_FLOOR, max_rounds: int | None = None) -> DataFrame:
     """``ingest_seq`` of the accepted records.
 
-    Only keys travel: the batch needs ``ingest_seq`` (unique), ``source_url``,
-    ``title`` and ``source_name``. Each round is cut off from its lineage by a
-    reliable checkpoint. ``max_rounds`` makes a longer run fail instead.
+    The batch needs ``ingest_seq`` (unique), ``source_url``, ``title`` and
+    ``source_name``. ``max_rounds`` makes a longer run fail instead.
     """
-    ensure_checkpoint_dir(batch.sparkSession)
-    rest = _collapsed(batch).checkpoint()
-    total = rest.count()
-    heavy = {key: skew.heavy_or_none(rest, total, key, heavy_floor) for key in (URL, TITLE)}
-
+    undecided = Undecided(batch, heavy_floor)
     if store is not None:
         stored = store.select(*_key_columns())
-        for key in (URL, TITLE):
-            known = _known(stored.select(key), rest, key)
-            rest = skew.drop_matching(rest, known, key, heavy[key], SEQ)
-        rest = rest.checkpoint()
-
-    rounds: list[DataFrame] = []
-    while not rest.isEmpty():
-        if max_rounds is not None and len(rounds) >= max_rounds:
-            raise RuntimeError(f"undecided records after {max_rounds} rounds")
-        first = [rest.groupBy(key).agg(F.min(SEQ).alias(SEQ)) for key in (URL, TITLE)]
-        winners = first[0].join(first[1], SEQ).checkpoint()
-        rounds.append(winners)
-        for key in (URL, TITLE):
-            rest = skew.drop_matching(rest, winners, key, heavy[key], SEQ)
-        rest = rest.checkpoint()
-
-    if not rounds:
-        return rest.select(SEQ)
-    return reduce(DataFrame.unionByName, [r.select(SEQ) for r in rounds])
+        undecided.drop_known({key: _known(stored.select(key), undecided.rows, key) for key in (URL, TITLE)})
+    return undecided.settle(max_rounds)
 
 
 # Most sequence numbers (8 bytes each) that are broadcast.

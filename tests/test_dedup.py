@@ -80,6 +80,29 @@ def test_long_chain(spark):
         accepted(spark, rows, max_rounds=2)
 
 
+def test_chain_in_logarithmic_rounds(spark):
+    n = 10_000
+    rows = [(i, f"u{(i + 1) // 2}", f"t{i // 2}", "s") for i in range(n)]
+    assert accepted(spark, rows, max_rounds=20) == list(range(0, n, 2)) == sequential(rows)
+
+
+def test_chains_with_side_records(spark):
+    """Chains that branch, end in groups, cross and carry records that have two earlier rivals."""
+    rnd = random.Random(3)
+    rows = []
+    for c in range(6):
+        length = rnd.randrange(20, 60)
+        chain = [(f"u{c}-{(i + 1) // 2}", f"t{c}-{i // 2}") for i in range(length)]
+        for u, t in chain:
+            rows.append((u, t))
+            if rnd.random() < 0.25:
+                rows.append((u, f"x{rnd.randrange(40)}"))
+            if rnd.random() < 0.2:
+                rows.append((f"u{rnd.randrange(6)}-{rnd.randrange(20)}", t))
+    rows = [(i, u, t, "s") for i, (u, t) in enumerate(rows)]
+    assert accepted(spark, rows) == sequential(rows)
+
+
 def test_twice_is_once_and_batches_join(spark):
     rows = [(i, f"u{i * 7 % 20}", f"t{i * 5 % 23}", "s") for i in range(60)]
     df = spark.createDataFrame(rows, SCHEMA)
