@@ -39,7 +39,7 @@ def title_key(title: Column, source: Column) -> Column:
     return F.when(both, F.concat(F.length(source).cast("string"), F.lit(":"), source, title))
 
 
-def _key_columns() -> list[Column]:
+def key_columns() -> list[Column]:
     return [
         url_key(F.col("source_url")).alias(URL),
         title_key(F.col("title"), F.col("source_name")).alias(TITLE)]
@@ -59,7 +59,7 @@ def _collapsed(batch: DataFrame) -> DataFrame:
 
     Copies collapse before the shuffle.
     """
-    pairs = batch.select(SEQ, *_key_columns()).groupBy(URL, TITLE).agg(F.min(SEQ).alias(SEQ))
+    pairs = batch.select(SEQ, *key_columns()).groupBy(URL, TITLE).agg(F.min(SEQ).alias(SEQ))
     return _with_own_title(pairs)
 
 
@@ -163,7 +163,7 @@ def accepted_keys(batch: DataFrame, store: DataFrame | None = None,
     """
     undecided = Undecided(batch, heavy_floor)
     if store is not None:
-        stored = store.select(*_key_columns())
+        stored = store.select(*key_columns())
         undecided.drop_known({key: _known(stored.select(key), undecided.rows, key) for key in (URL, TITLE)})
     return undecided.settle(max_rounds)
 
@@ -196,8 +196,8 @@ def greedy_dedup(batch: DataFrame, store: DataFrame | None = None,
 def existing_in(batch: DataFrame, store: DataFrame, heavy_floor: int = skew.HEAVY_FLOOR) -> DataFrame:
     """``ingest_seq`` of the records whose URL, or title and source, the store has."""
     ensure_checkpoint_dir(batch.sparkSession)
-    keys = _with_own_title(batch.select(SEQ, *_key_columns())).checkpoint()
-    stored = store.select(*_key_columns())
+    keys = _with_own_title(batch.select(SEQ, *key_columns())).checkpoint()
+    stored = store.select(*key_columns())
     absent, total = keys, keys.count()
     for key in (URL, TITLE):
         known = _known(stored.select(key), keys, key)

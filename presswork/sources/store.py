@@ -1,79 +1,117 @@
-"""The article store: Parquet, one folder per writer and batch.
+"""The article store: Parquet parts, a key index, and commits that say which are valid.
 
-A batch is written by overwriting its own folder with what is new against all
-other batches, so a batch that is run again replaces itself and nothing else.
-Batch jobs and every stream are writers of their own: their numbers never meet.
+Every batch brings a part of articles, a part of the key index and a part of counts, and
+becomes visible by one commit (``sources/commits.py``). Readers take the list of parts of
+the newest commit; parts are never changed, so nobody reads half of anything.
+
+The key index has one row for each (kind, key) of the stored articles, in buckets by the
+hash of the key; a part has a bucket for every ``keys_per_bucket`` of its keys. A batch
+reads the buckets that its own keys fall into, so what it reads follows the batch, not
+the store. Parts are merged as they become many: the index and the counts by tiers, so
+that there are logarithmically many of them, the articles up to parts of ``part_rows``.
+
+Writers may run at the same time. Each works out its new articles against the state it
+found; if another commit came first, it looks up its remaining records in the index parts
+added since, decides again and tries the next number. So the store is what the same
+batches give one after the other, in the order of their commits.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from presswork.functions.ids import article_id
-from presswork.operators.dedup import greedy_dedup
+from presswork.operators.dedup import SEQ, TITLE, URL, Undecided, key_columns, keep_rows
 from presswork.operators.repair import content_from
 from presswork.schema import ARTICLE_SCHEMA, HISTORY_SCHEMA
 from presswork.session import scratch_path
+from presswork.sources.commits import CommitLog
 
 WRITER, BATCH = "writer", "batch_id"
 # The writer of batches that name no other.
 BATCH_JOBS = "batch"
 _PLACE = [T.StructField(WRITER, T.StringType()), T.StructField(BATCH, T.LongType())]
 STORE_SCHEMA = T.StructType([*ARTICLE_SCHEMA.fields, *_PLACE])
-_METRICS = [T.StructField("source_name", T.StringType()), T.StructField("total", T.LongType())]
-METRICS_SCHEMA = T.StructType([*_METRICS, *_PLACE])
+METRICS_SCHEMA = T.StructType([T.StructField("source_name", T.StringType()), T.StructField("total", T.LongType()), *_PLACE])
+# ``key`` is the MD5 of the key's text, ``bucket`` the part's folder of it.
+KEY_SCHEMA = T.StructType([
+    T.StructField("kind", T.StringType()), T.StructField("key", T.BinaryType()), T.StructField("bucket", T.IntegerType())])
+
+# Keys in a bucket, articles in a part that is merged no further, parts of a size that are merged.
+KEYS_PER_BUCKET = 1_000_000
+PART_ROWS = 4_000_000
+FAN = 8
+# Rows in a file, and row groups small enough to be worth skipping.
+FILE_ROWS = 500_000
+# Lookups by id or URL skip row groups by these filters, listings by the order of the rows.
+_SKIPPING = {
+    "parquet.bloom.filter.enabled#id": "true", "parquet.bloom.filter.enabled#source_url": "true",
+    "parquet.bloom.filter.adaptive.enabled": "true", "parquet.block.size": str(16 << 20)}
+_EMPTY = {"version": 0, "last_seq": -1, "writers": {}, "articles": [], "keys": [], "metrics": []}
 
 
 class ArticleStore:
     """Paths and operations of one store below ``root``."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, keys_per_bucket: int = KEYS_PER_BUCKET,
+                 part_rows: int = PART_ROWS, fan: int = FAN):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.articles_path = f"{self.root}/articles"
         self.history_path = f"{self.root}/export_history"
-        self.metrics_path = f"{self.root}/ingest_metrics"
+        self.log = CommitLog(spark, f"{self.root}/commits")
+        self.keys_per_bucket, self.part_rows, self.fan = keys_per_bucket, part_rows, fan
 
-    def _path(self, path: str):
-        """(file system, path) as Hadoop objects."""
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
+    # -- state ------------------------------------------------------------------
 
     def _exists(self, path: str) -> bool:
-        system, target = self._path(path)
+        system, target = self.log.file_system(path)
         return system.exists(target)
 
-    def _empty(self, schema: T.StructType) -> DataFrame:
-        return self.spark.createDataFrame([], schema)
+    def _delete(self, path: str) -> None:
+        system, target = self.log.file_system(path)
+        system.delete(target, True)
 
     def create(self) -> "ArticleStore":
-        """Write the empty datasets that are not there yet."""
-        first = self._folder(BATCH_JOBS, 0)
-        if not self._exists(self.articles_path):
-            self._empty(ARTICLE_SCHEMA).write.parquet(f"{self.articles_path}/{first}")
+        """The first commit and an empty history, unless they are there."""
+        if self.log.latest() is None:
+            self.log.commit(_EMPTY)
         if not self._exists(self.history_path):
-            self._empty(HISTORY_SCHEMA).write.parquet(self.history_path)
-        if not self._exists(self.metrics_path):
-            self._empty(T.StructType(_METRICS)).write.parquet(f"{self.metrics_path}/{first}")
+            self.spark.createDataFrame([], HISTORY_SCHEMA).write.mode("ignore").parquet(self.history_path)
         return self
 
-    @staticmethod
-    def _folder(writer: str, batch_id: int) -> str:
-        return f"{WRITER}={writer}/{BATCH}={batch_id}"
+    def state(self) -> dict:
+        found = self.log.latest()
+        if found is None:
+            raise FileNotFoundError(f"no store at {self.root}: create() makes one")
+        return found
+
+    def clear(self, *side_data: str) -> None:
+        """An empty store from the next commit on, and an empty history.
+
+        ``side_data`` are the folders of the contents and images that belong to the
+        articles; they are removed. Parts of the old state stay until ``vacuum``.
+        """
+        while not self.log.commit({**_EMPTY, "version": self.state()["version"] + 1}):
+            pass
+        self.spark.createDataFrame([], HISTORY_SCHEMA).write.mode("overwrite").parquet(self.history_path)
+        for path in side_data:
+            self._delete(path)
 
-    def clear(self) -> None:
-        """Replace all datasets by empty ones."""
-        for path, schema in ((self.articles_path, STORE_SCHEMA), (self.metrics_path, METRICS_SCHEMA)):
-            empty = self._empty(schema)
-            empty.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(WRITER, BATCH).parquet(path)
-            empty.drop(WRITER, BATCH).write.mode("overwrite").parquet(f"{path}/{self._folder(BATCH_JOBS, 0)}")
-        self._empty(HISTORY_SCHEMA).write.mode("overwrite").parquet(self.history_path)
+    def _read(self, parts: list[dict], schema: T.StructType) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        paths = [f"{self.root}/{p['path']}" for p in parts]
+        # Folders below this one are columns: parts of the index have their buckets there.
+        base = paths[0].rsplit("/", 1)[0]
+        return self.spark.read.schema(schema).option("basePath", base).parquet(*paths).select(*schema.names)
 
-    def with_batches(self) -> DataFrame:
+    def with_batches(self, state: dict | None = None) -> DataFrame:
         """All articles with the writer and batch that brought them."""
-        return self.spark.read.schema(STORE_SCHEMA).parquet(self.articles_path)
+        return self._read((state or self.state())["articles"], STORE_SCHEMA)
 
     def articles(self) -> DataFrame:
         return self.with_batches().drop(WRITER, BATCH)
@@ -81,53 +119,139 @@ class ArticleStore:
     def history(self) -> DataFrame:
         return self.spark.read.schema(HISTORY_SCHEMA).parquet(self.history_path)
 
-    def _seen(self) -> DataFrame:
-        return self.spark.read.schema(METRICS_SCHEMA).parquet(self.metrics_path)
-
     def next_batch(self, writer: str = BATCH_JOBS) -> int:
-        """A batch number no earlier batch of the writer has, even one that brought nothing new."""
-        return (self._seen().filter(F.col(WRITER) == writer).agg(F.max(BATCH)).first()[0] or 0) + 1
+        """The number after the writer's last committed batch."""
+        return self.state()["writers"].get(writer, 0) + 1
+
+    # -- the key index ----------------------------------------------------------
+
+    def _write_keys(self, keys: DataFrame, rows: int) -> dict:
+        """An index part of ``(kind, key)`` rows."""
+        buckets = 1 << max(-(-rows // self.keys_per_bucket) - 1, 0).bit_length()
+        path = f"keys/part={uuid.uuid4().hex}"
+        dealt = keys.select("kind", "key", _bucket(F.col("key"), buckets).alias("bucket"))
+        dealt = dealt.coalesce(1) if buckets == 1 else dealt.repartition("bucket")
+        dealt.write.partitionBy("bucket").parquet(f"{self.root}/{path}")
+        return {"path": path, "rows": rows, "buckets": buckets}
+
+    def known_keys(self, keys: DataFrame, parts: list[dict]) -> DataFrame:
+        """The rows ``(kind, key)`` of ``keys`` that the index parts have.
+
+        Reads the buckets that ``keys`` fall into. What is collected is their numbers,
+        at most one for every ``keys_per_bucket`` rows of the largest part.
+        """
+        found = self.spark.createDataFrame([], T.StructType(KEY_SCHEMA.fields[:2]))
+        most = max((p["buckets"] for p in parts), default=0)
+        if not most:
+            return found
+        hit = {r[0] for r in keys.select(_bucket(F.col("key"), most)).distinct().collect()}
+        for buckets in sorted({p["buckets"] for p in parts}):
+            wanted = sorted({b % buckets for b in hit})
+            have = self._read([p for p in parts if p["buckets"] == buckets], KEY_SCHEMA)
+            found = found.unionByName(have.filter(F.col("bucket").isin(wanted)).select("kind", "key"))
+        return keys.join(found, ["kind", "key"], "left_semi")
+
+    # -- adding -----------------------------------------------------------------
+
+    def begin(self, batch: DataFrame, batch_id: int | None = None, now: Column | None = None,
+              writer: str = BATCH_JOBS, content: DataFrame | None = None, **options) -> "Pending":
+        """Work ``batch`` out against the state of now; its ``commit`` makes it part of the store."""
+        return Pending(self, batch, batch_id, now, writer, content, **options)
 
     def add(self, batch: DataFrame, batch_id: int | None = None, now: Column | None = None,
             writer: str = BATCH_JOBS, content: DataFrame | None = None, **options) -> DataFrame:
         """Append what is new in ``batch`` and return it as stored.
 
-        The batch is computed once, into a scratch table in the shared folder; its
-        keys, its counts and its accepted rows are then column-pruned reads. Rows are
-        numbered anew in the order of their ``ingest_seq``, after all that the store
-        has, so rows that came with one number stay apart and the numbers of the whole
-        store are unique. Blank contents are looked up in ``content(id, content)``.
+        Rows are numbered anew in the order of their ``ingest_seq``, after all that the
+        store has, so the numbers of the whole store are unique. Blank contents are looked
+        up in ``content(id, content)``. A ``batch_id`` that is not above the writer's last
+        one is a batch that runs again: nothing is added, what it brought is returned.
         """
-        batch_id = self.next_batch(writer) if batch_id is None else batch_id
-        staged = scratch_path(self.spark, "batch")
-        own = (F.col(WRITER) == writer) & (F.col(BATCH) == batch_id)
-        others = self.with_batches().filter(~own)
-        last = others.agg(F.max("ingest_seq")).first()[0]
-        rows = article_rows(batch, now)
-        rows = rows if content is None else content_from(rows, content)
-        with_ingest_seq(rows, "ingest_seq", "source_url", "title", start=0 if last is None else last + 1).select(
-            *ARTICLE_SCHEMA.names).write.parquet(staged)
-        try:
-            rows = self.spark.read.schema(ARTICLE_SCHEMA).parquet(staged)
-            fresh = greedy_dedup(rows, others, **options)
-            folder = self._folder(writer, batch_id)
-            fresh.sortWithinPartitions(F.desc("scrape_timestamp"), "ingest_seq").write.mode(
-                "overwrite").parquet(f"{self.articles_path}/{folder}")
-            rows.groupBy("source_name").agg(F.count("*").alias("total")).write.mode(
-                "overwrite").parquet(f"{self.metrics_path}/{folder}")
-        finally:
-            system, target = self._path(staged)
-            system.delete(target, True)
-        return self.with_batches().filter(own)
+        pending = self.begin(batch, batch_id, now, writer, content, **options)
+        added = pending.commit()
+        self.merge_parts()
+        return added
 
-    def metrics_by_source(self) -> DataFrame:
-        """writer, batch_id, source_name, records seen and records added.
+    # -- merging ----------------------------------------------------------------
 
-        What was added is counted in the store, so a batch that ran twice still
-        shows what it brought the first time.
+    def _due(self, parts: list[dict], most_rows: int | None) -> list[dict]:
+        """``fan`` parts of one size class, the smallest class that has so many; full ones stay."""
+        tiers: dict[int, list[dict]] = {}
+        for part in parts:
+            if most_rows is None or part["rows"] < most_rows:
+                tier, size = 0, part["rows"]
+                while size >= self.fan:
+                    tier, size = tier + 1, size // self.fan
+                tiers.setdefault(tier, []).append(part)
+        return next((tiers[t] for t in sorted(tiers) if len(tiers[t]) >= self.fan), [])
+
+    def merge_parts(self) -> int:
+        """Merge parts until no kind has ``fan`` of a size; returns the number of merges.
+
+        A merge that finds one of its parts gone, because somebody else merged it, is dropped.
         """
-        kept = self.with_batches().groupBy(WRITER, BATCH, "source_name").agg(F.count("*").alias("added"))
-        return self._seen().join(kept, [WRITER, BATCH, "source_name"], "left").select(
+        merges = 0
+        for kind, write, most in (("articles", self._merge_articles, self.part_rows), ("keys", self._merge_keys, None),
+                                  ("metrics", self._merge_metrics, None)):
+            while due := self._due(self.state()[kind], most):
+                merged, paths = write(due), {p["path"] for p in due}
+                while True:
+                    state = self.state()
+                    if not paths <= {p["path"] for p in state[kind]}:
+                        break
+                    rest = [p for p in state[kind] if p["path"] not in paths]
+                    if self.log.commit({**state, "version": state["version"] + 1, kind: [*rest, merged]}):
+                        merges += 1
+                        break
+        return merges
+
+    def _merge_articles(self, parts: list[dict]) -> dict:
+        return self._write_articles(self._read(parts, STORE_SCHEMA), sum(p["rows"] for p in parts))
+
+    def _write_articles(self, rows: DataFrame, count: int) -> dict:
+        """A part laid out by source and time, newest first."""
+        path, files = f"articles/{uuid.uuid4().hex}", max(-(-count // FILE_ROWS), 1)
+        order = ["source_name", F.desc("scrape_timestamp"), SEQ]
+        rows = rows.coalesce(1) if files == 1 else rows.repartitionByRange(files, *order)
+        rows.sortWithinPartitions(*order).write.options(**_SKIPPING).parquet(f"{self.root}/{path}")
+        return {"path": path, "rows": count}
+
+    def _merge_keys(self, parts: list[dict]) -> dict:
+        return self._write_keys(self._read(parts, KEY_SCHEMA), sum(p["rows"] for p in parts))
+
+    def _merge_metrics(self, parts: list[dict]) -> dict:
+        return self._write_metrics(self._read(parts, METRICS_SCHEMA), sum(p["rows"] for p in parts))
+
+    def _write_metrics(self, rows: DataFrame, count: int) -> dict:
+        path = f"metrics/{uuid.uuid4().hex}"
+        rows.coalesce(1).write.parquet(f"{self.root}/{path}")
+        return {"path": path, "rows": count}
+
+    def vacuum(self, hours: float = 168) -> int:
+        """Remove parts that the newest state lacks and that are older than ``hours``; returns their number.
+
+        Readers and writers that began before that need them no more; commits stay, they are small.
+        """
+        state, removed = self.state(), 0
+        valid = {p["path"] for kind in ("articles", "keys", "metrics") for p in state[kind]}
+        limit = self.spark._jvm.java.lang.System.currentTimeMillis() - int(hours * 3_600_000)
+        for kind in ("articles", "keys", "metrics"):
+            system, folder = self.log.file_system(f"{self.root}/{kind}")
+            for found in system.listStatus(folder) if system.exists(folder) else []:
+                name = f"{kind}/{found.getPath().getName()}"
+                if name not in valid and found.getModificationTime() < limit:
+                    system.delete(found.getPath(), True)
+                    removed += 1
+        return removed
+
+    # -- counts -----------------------------------------------------------------
+
+    def metrics_by_source(self) -> DataFrame:
+        """writer, batch_id, source_name, records seen and records added, the latter counted in the store."""
+        state = self.state()
+        kept = self.with_batches(state).groupBy(WRITER, BATCH, "source_name").agg(F.count("*").alias("added"))
+        seen = self._read(state["metrics"], METRICS_SCHEMA)
+        return seen.join(kept, [WRITER, BATCH, "source_name"], "left").select(
             WRITER, BATCH, "source_name", "total", F.coalesce("added", F.lit(0)).alias("added"))
 
     def metrics(self) -> DataFrame:
@@ -136,6 +260,98 @@ class ArticleStore:
             F.sum("total").alias("total"), F.sum("added").alias("added"))
 
 
+class Pending:
+    """A batch that is worked out against one state of a store.
+
+    The batch is computed once, into a scratch table in the shared folder; its keys, its
+    counts and its accepted rows are then column-pruned reads.
+    """
+
+    def __init__(self, store: ArticleStore, batch: DataFrame, batch_id: int | None, now: Column | None,
+                 writer: str, content: DataFrame | None, broadcast_rows: int | None = None, **options):
+        self.store, self.writer, self.batch_id = store, writer, batch_id
+        self.keep = {} if broadcast_rows is None else {"broadcast_rows": broadcast_rows}
+        self.seen: set[str] = set()
+        self.staged = scratch_path(store.spark, "batch")
+        if self._done(store.state()):
+            return
+        rows = article_rows(batch, now)
+        rows = rows if content is None else content_from(rows, content)
+        with_ingest_seq(rows, SEQ, "source_url", "title").select(*ARTICLE_SCHEMA.names).write.parquet(self.staged)
+        self.rows = store.spark.read.schema(ARTICLE_SCHEMA).parquet(self.staged)
+        self.undecided = Undecided(self.rows, **options)
+        self._look_up(store.state())
+
+    def _done(self, state: dict) -> bool:
+        return self.batch_id is not None and self.batch_id <= state["writers"].get(self.writer, 0)
+
+    def _look_up(self, state: dict) -> None:
+        """Leave out the records whose keys the index parts not seen before have."""
+        parts = [p for p in state["keys"] if p["path"] not in self.seen]
+        self.seen |= {p["path"] for p in parts}
+        if not parts:
+            return
+        texts = self.undecided.rows.select(F.explode(_texts()).alias("k")).select("k.*").filter("key is not null").distinct()
+        texts = texts.checkpoint()
+        known = self.store.known_keys(texts.select("kind", "key"), parts)
+        known = texts.join(known, ["kind", "key"], "left_semi").checkpoint()
+        self.undecided.drop_known({
+            key: known.filter(F.col("kind") == kind).select(F.col("text").alias(key)) for kind, key in (("u", URL), ("t", TITLE))})
+
+    def commit(self) -> DataFrame:
+        """Store what is new and return it as stored; again after every commit that came first."""
+        store = self.store
+        while True:
+            state = store.state()
+            if self._done(state):
+                own = (F.col(WRITER) == self.writer) & (F.col(BATCH) == self.batch_id)
+                added = store.with_batches(state).filter(own)
+                break
+            self._look_up(state)
+            batch_id = state["writers"].get(self.writer, 0) + 1 if self.batch_id is None else self.batch_id
+            place = [F.lit(self.writer).alias(WRITER), F.lit(batch_id).cast("long").alias(BATCH)]
+            accepted = self.undecided.settle().checkpoint()
+            fresh = keep_rows(self.rows, accepted, **self.keep)
+            numbered = (F.col(SEQ) + (state["last_seq"] + 1)).alias(SEQ)
+            parts, count = {"articles": [], "keys": [], "metrics": []}, accepted.count()
+            if count:
+                part = store._write_articles(fresh.select(numbered, *ARTICLE_SCHEMA.names[1:], *place), count)
+                parts["articles"].append(part)
+                stored = store._read([part], STORE_SCHEMA)
+                last = stored.agg(F.max(SEQ)).first()[0]
+                # A title key that is null is none; urls are unique here, and so are titles.
+                keys = stored.select(*key_columns()).select(F.explode(_texts()).alias("k")).select("k.kind", "k.key")
+                keys = keys.filter("key is not null")
+                parts["keys"].append(store._write_keys(keys, keys.count()))
+            totals = self.rows.groupBy("source_name").agg(F.count("*").alias("total")).select("source_name", "total", *place)
+            totals = totals.checkpoint()
+            if sources := totals.count():
+                parts["metrics"].append(store._write_metrics(totals, sources))
+            if store.log.commit({
+                    **state, "version": state["version"] + 1, "last_seq": last if count else state["last_seq"],
+                    "writers": {**state["writers"], self.writer: batch_id},
+                    **{kind: [*state[kind], *new] for kind, new in parts.items()}}):
+                added = store._read(parts["articles"], STORE_SCHEMA)
+                break
+            for part in sum(parts.values(), []):
+                store._delete(f"{store.root}/{part['path']}")
+        store._delete(self.staged)
+        return added
+
+
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def _texts() -> Column:
+    """The keys of a record as ``(kind, key, text)``; a record's own number in place of a title is none."""
+    def one(kind: str, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
+
+    title = F.when(~F.startswith(F.col(TITLE), F.lit("#")), F.col(TITLE))
+    return F.array(one("u", F.col(URL)), one("t", title))
+
+
 def article_rows(batch: DataFrame, now: Column | None = None) -> DataFrame:
     """The batch in the store's schema: missing texts are '', the id is derived."""
     def one(field: T.StructField) -> Column:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +39,157 @@ def test_create_add_clear(spark, sf, tmp_path):
     assert store.articles().count() == 0 and store.metrics().count() == 0 and store.next_batch() == 1
 
 
+def links(store):
+    return sorted(r["source_url"] for r in store.articles().collect())
+
+
+def batch_of(spark, rows):
+    return spark.createDataFrame(rows, "ingest_seq long, source_url string, title string, source_name string")
+
+
+def test_writers_that_start_together(spark, tmp_path):
+    """What the first commit rejects of the second batch gives way to records that only it had kept out."""
+    one = [(1, "u1", "t1", "s"), (2, "u9", "t9", "s")]
+    two = [(1, "u1", "t2", "s"), (2, "u2", "t2", "s"), (3, "u2", "t3", "s"), (4, None, "", "s")]
+    store = ArticleStore(spark, str(tmp_path / "s")).create()
+    first, second, third = (store.begin(batch_of(spark, rows), now=Q.now()) for rows in (one, two, two))
+    assert sorted(r.source_url for r in first.commit().collect()) == ["u1", "u9"]
+    assert sorted(r.source_url for r in second.commit().collect()) == ["", "u2"]
+    assert third.commit().collect() == []
+    assert links(store) == ["", "u1", "u2", "u9"]
+    batches = sorted((r.batch_id, r.total, r.added) for r in store.metrics().collect())
+    assert batches == [(1, 2, 2), (2, 4, 2), (3, 4, 0)]
+    rows = store.articles()
+    assert rows.select("ingest_seq").distinct().count() == rows.count() == 4
+
+
+def test_threads_fill_one_store(spark, sf, tmp_path):
+    batch = Q.doc_articles(spark, sf)
+    store = ArticleStore(spark, str(tmp_path / "s"), fan=2).create()
+    with ThreadPoolExecutor(4) as pool:  # overlapping batches, each its own writer
+        list(pool.map(lambda k: ArticleStore(spark, store.root, fan=2).add(
+            batch.filter(F.col("ingest_seq").between(k * 30, k * 30 + 79)), writer=f"w{k}", now=Q.now()), range(4)))
+    stored_urls = links(store)
+    assert len(set(stored_urls)) == len(stored_urls)
+    wanted = {r.source_url for r in batch.filter("ingest_seq < 170").collect()}
+    assert set(stored_urls) <= wanted
+    titles = [(r.title, r.source_name) for r in store.articles().collect() if r.title]
+    assert len(set(titles)) == len(titles)
+    # Nothing is missing: whatever is not stored has a key that is.
+    have = set(titles)
+    for r in batch.filter("ingest_seq < 170").collect():
+        assert r.source_url in set(stored_urls) or (r.title, r.source_name) in have
+    rows = store.articles()
+    assert rows.select("ingest_seq").distinct().count() == rows.count()
+    assert {r.writer for r in store.metrics().collect()} == {"w0", "w1", "w2", "w3"}
+
+
+def read_bytes(df):
+    """Bytes of the files that the scans of ``df`` chose."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    text = [plan.toString()]
+    total, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        metrics = node.metrics()
+        if metrics.contains("filesSize") and node.nodeName().startswith("Scan parquet"):
+            total += metrics.apply("filesSize").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        if node.nodeName() == "ReusedExchange":
+            todo.append(node.child())
+    assert total, text
+    return total
+
+
+def test_a_batch_reads_the_buckets_it_hits(spark, tmp_path):
+    """The index bytes of a small batch stay level while the store grows tenfold."""
+    def rows(start, n):
+        return spark.range(start, start + n).select(
+            F.col("id").alias("ingest_seq"), F.concat(F.lit("https://x/"), "id").alias("source_url"),
+            F.concat(F.lit("t"), "id").alias("title"), F.lit("s").alias("source_name"))
+
+    store = ArticleStore(spark, str(tmp_path / "s"), keys_per_bucket=2000).create()
+    seen = []
+    for start, n in ((0, 20_000), (20_000, 180_000)):
+        store.add(rows(start, n), now=Q.now())
+        few = spark.range(3).select(F.lit("u").alias("kind"), F.unhex(F.md5(F.concat(F.lit("https://x/"), "id"))).alias("key"))
+        found = store.known_keys(few, store.state()["keys"][-1:] if start else store.state()["keys"])
+        seen.append(read_bytes(found))
+    assert store.articles().count() == 200_000
+    assert [p["buckets"] for p in store.state()["keys"]] == [32, 256]
+    assert seen[1] < 2 * seen[0]
+    assert store.add(rows(0, 3), now=Q.now()).count() == 0
+
+
+def test_small_parts_are_merged(spark, tmp_path):
+    store = ArticleStore(spark, str(tmp_path / "s"), fan=4).create()
+    before = store.articles()
+    for k in range(18):
+        rows = [(i, f"u{k}-{i}", f"t{k}-{i}", "s") for i in range(2)] + [(9, "u0-0", "other", "s")]
+        store.add(batch_of(spark, rows), now=Q.now())
+        if k == 8:
+            middle, urls = store.articles(), links(store)
+    state = store.state()
+    assert links(store) == sorted({f"u{k}-{i}" for k in range(18) for i in range(2)})
+    assert all(len(state[kind]) <= 9 for kind in ("articles", "keys", "metrics"))
+    assert sum(p["rows"] for p in state["articles"]) == 36
+    # A reader of an older state still finds its parts; they go when they are old enough.
+    assert sorted(r.source_url for r in middle.collect()) == urls and before.count() == 0
+    assert store.vacuum() == 0 and store.vacuum(hours=-1) > 20
+    assert len(links(store)) == 36 and store.metrics().count() == 18
+    assert store.metrics().filter("added = 2 and total = 3").count() == 18
+
+
+def test_lookups_skip_row_groups(spark, tmp_path):
+    from presswork.operators import catalog
+    store = ArticleStore(spark, str(tmp_path / "s"), fan=100).create()
+    for k in range(4):
+        store.add(spark.range(5000).select(
+            F.col("id").alias("ingest_seq"), F.concat(F.lit(f"https://x/{k}/"), "id").alias("source_url"),
+            F.concat(F.lit(f"t{k}-"), "id").alias("title"), F.lit(f"s{k}").alias("source_name")), now=Q.now())
+    whole = store.articles()
+    one = whole.filter("title = 't2-77'").first()["id"]
+    found = catalog.article_by_id(whole, one)
+    assert [r.id for r in found.collect()] == [one]
+    assert scanned_rows(found) <= 5000
+    assert scanned_rows(catalog.of_source(whole, "s1")) <= 5000
+
+
+def scanned_rows(df):
+    """Rows that came out of the scans of ``df``: those of the row groups that were not skipped."""
+    df.collect()
+    todo, total = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("Scan parquet"):
+            total += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+    return total
+
+
+def test_clear_takes_side_data_along(spark, tmp_path):
+    store = ArticleStore(spark, str(tmp_path / "s")).create()
+    store.add(seed_articles(spark, Q.now()))
+    files.write_content(store.articles(), str(tmp_path / "content"))
+    (tmp_path / "images").mkdir()
+    (tmp_path / "images" / "a.jpg").write_bytes(b"x")
+    store.clear(str(tmp_path / "content"), str(tmp_path / "images"), str(tmp_path / "absent"))
+    assert store.articles().count() == 0 and store.history().count() == 0
+    assert not (tmp_path / "content").exists() and not (tmp_path / "images").exists()
+    assert store.add(seed_articles(spark, Q.now())).count() == 3
+
+
 def test_export_and_envelopes(spark, tmp_path):
     store = ArticleStore(spark, str(tmp_path / "s")).create()
     store.add(seed_articles(spark, Q.now()))

@@ -377,6 +377,13 @@ SQL: dict[str, str] = {
         "select ingest_seq, id from d join b using (ingest_seq)", d=DOCS,
         e="select * from d where ingest_seq % 2 = 0", o="select * from d where ingest_seq % 2 = 1",
         **greedy("a", "e"), st="select d.* from d join a using (ingest_seq)", **greedy("b", "o", "st")),
+    "dedup_chain": (
+        "select doc_id as ingest_seq from (select doc_id, doc_id - row_number() over (order by doc_id) as g from documents) "
+        "qualify row_number() over (partition by g order by doc_id) % 2 = 1"),
+    "store_two_writers": with_(
+        "select id, source_url from d join a using (ingest_seq) union all select id, source_url from d join b using (ingest_seq)",
+        d=DOCS, e="select * from d where ingest_seq % 2 = 0", o="select * from d where ingest_seq % 2 = 1",
+        **greedy("a", "e"), st="select d.* from d join a using (ingest_seq)", **greedy("b", "o", "st")),
     "exists_in_store": with_(
         "select ingest_seq from o where u in (select u from e) or t in (select t from e where t is not null)",
         d=DOCS, e=f"select {KEYS} from d where ingest_seq % 2 = 0", o=f"select {KEYS} from d where ingest_seq % 2 = 1"),

@@ -411,6 +411,27 @@ def dedup_vs_store(spark, sf):
     return dedup.greedy_dedup(odd(articles), store).select("ingest_seq", "id")
 
 
+@query
+def dedup_chain(spark, sf):
+    """Neighbouring documents share a URL or a title in turn, so every second one of a row of them is kept."""
+    url = F.concat(F.lit("https://docs.example.com/"), F.expr("(doc_id + 1) div 2"))
+    title = F.concat(F.lit("Part "), F.expr("doc_id div 2"))
+    chain = spark.read.parquet(f"{sf}/documents.parquet").select(
+        F.col("doc_id").alias("ingest_seq"), url.alias("source_url"), title.alias("title"), F.lit("docs").alias("source_name"))
+    return dedup.accepted_keys(chain)
+
+
+@query
+def store_two_writers(spark, sf):
+    """Two writers work out their batches against the same empty store, then commit one after the other."""
+    articles = doc_articles(spark, sf)
+    store = ArticleStore(spark, scratch_path(spark, "store")).create()
+    first, second = store.begin(even(articles)), store.begin(odd(articles), writer="other")
+    first.commit()
+    second.commit()
+    return store.articles().select("id", "source_url")
+
+
 @query
 def exists_in_store(spark, sf):
     articles = doc_articles(spark, sf)
