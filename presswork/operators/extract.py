@@ -19,7 +19,7 @@ from presswork.functions import text as X
 from presswork.functions import urls as U
 from presswork.functions.ids import article_id, content_path, image_path
 from presswork.plans import skew
-from presswork.plans.rules import ANY_HOST, MAX_BROADCAST_SITES, Site, rules_frame
+from presswork.plans.rules import ANY_HOST, MAX_BROADCAST_BYTES, Site, registry_bytes, rules_frame
 from presswork.plans.sites import OTHER_HOSTS, SITES
 
 JSONLD = r"""(?is)<script\s(?:[^>]*\s)?type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script\s*>"""
@@ -37,16 +37,16 @@ def with_rules(pages: DataFrame, sites: Iterable[Site] | None = None, url: str =
     """
     sites = list(default_sites() if sites is None else sites)
     rules, other = rules_frame(pages.sparkSession, sites), F.lit(ANY_HOST)
-    if len(sites) <= MAX_BROADCAST_SITES:
-        rules = F.broadcast(rules)
+    hosts = rules.select("host", F.col("host").alias("_known")).filter(F.col("host") != ANY_HOST)
+    if registry_bytes(sites) <= MAX_BROADCAST_BYTES:
+        rules, hosts = F.broadcast(rules), F.broadcast(hosts)
     else:
         slots = F.when(F.col("host") == ANY_HOST, F.sequence(F.lit(0), F.lit(skew.SLOTS - 1))).otherwise(F.array(F.lit(-1)))
         rules = rules.withColumn("slot", F.explode(slots)).select(
             F.when(F.col("slot") < 0, F.col("host")).otherwise(F.concat(F.col("host"), F.col("slot"))).alias("host"), "site")
         other = F.concat(other, F.pmod(F.xxhash64(url), F.lit(skew.SLOTS)).cast("string"))
-    host = U.domain(F.col(url))
-    known = host.isin([s.key() for s in sites if s.key() != ANY_HOST])
-    keyed = pages.withColumn("host", F.when(known, host).otherwise(other))
+    keyed = pages.withColumn("host", U.domain(F.col(url))).join(hosts, "host", "left")
+    keyed = keyed.withColumn("host", F.coalesce("_known", other)).drop("_known")
     return keyed.join(rules, "host").drop("host")
 
 

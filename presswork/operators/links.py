@@ -6,15 +6,16 @@ from collections.abc import Iterable
 from functools import lru_cache
 
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from presswork.functions import html as H
 from presswork.functions import urls as U
 from presswork.operators.extract import scope_of, with_rules
 from presswork.plans import skew
-from presswork.plans.rules import Site
+from presswork.plans.rules import MAX_BROADCAST_BYTES, Site, registry_bytes
 from presswork.plans.sites import SITES
+from presswork.session import ensure_checkpoint_dir
 
 # Attributes are skipped whole, so ``data-href`` or a quoted ``href=`` is no target.
 _VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
@@ -134,6 +135,47 @@ def known_links(spark, sites: dict[str, Site] | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "source_name string, pos long, link string")
 
 
+def listing_paths(spark: SparkSession, sites: Iterable[Site]) -> DataFrame:
+    """host, path, source_name, path_rank: the listing paths of the sites, in the order they are tried."""
+    rows, seen = [], set()
+    for s in sites:
+        for rank, path in enumerate(s.paths):
+            # Two paths that lead to one page count as the first of them.
+            if (s.key(), path.rstrip("/")) not in seen:
+                seen.add((s.key(), path.rstrip("/")))
+                rows.append((s.key(), path.rstrip("/"), s.name, rank))
+    return spark.createDataFrame(rows, "host string, path string, source_name string, path_rank int")
+
+
+def path_of(url: Column) -> Column:
+    """Path of a URL without slashes at its end; null with a query, which names another page."""
+    path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    return F.when(~F.contains(url, F.lit("?")), F.regexp_replace(path, "/+$", ""))
+
+
+def cascade(pages: DataFrame, sites: Iterable[Site] | None = None, limit: int | None = None) -> DataFrame:
+    """source_name, path_rank, page_id, pos, link: article links of every site with listing paths.
+
+    Pages at a listing path of their site are its listings. The first path on which any
+    link is found counts for the site; sites without any have their known links, without
+    rank and page. ``limit`` is for each site. The pages are read once; what is kept of them
+    before the choice are links.
+    """
+    spark, sites = pages.sparkSession, list(SITES.values() if sites is None else sites)
+    ensure_checkpoint_dir(spark)
+    paths = listing_paths(spark, sites)
+    if registry_bytes(sites) <= MAX_BROADCAST_BYTES:
+        paths = F.broadcast(paths)
+    at = pages.select("page_id", "url", "html", U.domain(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    listed = with_rules(at.join(paths, ["host", "path"]).drop("host", "path", "source_name"), sites)
+    found = listed.select("page_id", "path_rank", F.col("site")["name"].alias("source_name"),
+                          _site_links(SparkContext._active_spark_context).alias("links"))
+    found = numbered(found, F.col("links"), "link", "source_name", "path_rank", "page_id").checkpoint()
+    wanted = listing_paths(spark, sites).select("source_name").distinct()
+    chosen = first_path(found, wanted, known_links(spark, {s.name: s for s in sites}))
+    return top_n_per_source(chosen, limit, "page_id", "pos").select("source_name", "path_rank", "page_id", "pos", "link")
+
+
 def top_n_per_source(links: DataFrame, n: int | None, *order: str) -> DataFrame:
     """The first ``n`` rows of each source in the given order, numbered from 1.
 

@@ -182,8 +182,17 @@ def _row(site: Site) -> tuple:
     )
 
 
-# A registry larger than this is joined without a broadcast hint.
-MAX_BROADCAST_SITES = 10_000
+# A registry of more bytes than this is joined without a broadcast hint.
+MAX_BROADCAST_BYTES = 8 << 20
+
+
+def registry_bytes(sites: Iterable[Site]) -> int:
+    """About how much the rules of the sites weigh: their texts, and 16 bytes for every value."""
+    def weight(value) -> int:
+        if isinstance(value, str):
+            return 16 + len(value.encode())
+        return 16 + sum(map(weight, value)) if isinstance(value, (list, tuple)) else 16
+    return sum(weight(_row(site)) for site in sites)
 
 
 def rules_frame(spark: SparkSession, sites: Iterable[Site]) -> DataFrame:

@@ -19,6 +19,7 @@ batches give one after the other, in the order of their commits.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,21 +136,21 @@ class ArticleStore:
         return {"path": path, "rows": rows, "buckets": buckets}
 
     def known_keys(self, keys: DataFrame, parts: list[dict]) -> DataFrame:
-        """The rows ``(kind, key)`` of ``keys`` that the index parts have.
+        """The rows of ``keys``, by ``(kind, key)``, that the index parts have.
 
         Reads the buckets that ``keys`` fall into. What is collected is their numbers,
         at most one for every ``keys_per_bucket`` rows of the largest part.
         """
-        found = self.spark.createDataFrame([], T.StructType(KEY_SCHEMA.fields[:2]))
         most = max((p["buckets"] for p in parts), default=0)
         if not most:
-            return found
+            return keys.limit(0)
         hit = {r[0] for r in keys.select(_bucket(F.col("key"), most)).distinct().collect()}
+        found = []
         for buckets in sorted({p["buckets"] for p in parts}):
             wanted = sorted({b % buckets for b in hit})
             have = self._read([p for p in parts if p["buckets"] == buckets], KEY_SCHEMA)
-            found = found.unionByName(have.filter(F.col("bucket").isin(wanted)).select("kind", "key"))
-        return keys.join(found, ["kind", "key"], "left_semi")
+            found.append(have.filter(F.col("bucket").isin(wanted)).select("kind", "key"))
+        return keys.join(reduce(DataFrame.unionByName, found), ["kind", "key"], "left_semi")
 
     # -- adding -----------------------------------------------------------------
 
@@ -293,8 +294,7 @@ class Pending:
             return
         texts = self.undecided.rows.select(F.explode(_texts()).alias("k")).select("k.*").filter("key is not null").distinct()
         texts = texts.checkpoint()
-        known = self.store.known_keys(texts.select("kind", "key"), parts)
-        known = texts.join(known, ["kind", "key"], "left_semi").checkpoint()
+        known = self.store.known_keys(texts, parts).checkpoint()
         self.undecided.drop_known({
             key: known.filter(F.col("kind") == kind).select(F.col("text").alias(key)) for kind, key in (("u", URL), ("t", TITLE))})
 

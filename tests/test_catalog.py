@@ -130,3 +130,22 @@ def test_pages_with_missing_and_equal_times(spark, monkeypatch):
         for limit, offset in ((100, 2), (None, 2), (4, 2), (2, 5), (3, 0), (None, 0), (2, 8), (0, 1)):
             got = [r.ingest_seq for r in paging.page(df, limit, offset).collect()]
             assert got == want[offset:][:limit], (most, limit, offset)
+
+
+def test_listing_cascade(spark):
+    """First path with a link, by the site's own order; slashes count nothing, queries are other pages."""
+    from presswork.plans.rules import Site
+    sites = [Site(name="A", base="https://www.a.example", paths=("/news", "/", "", "/more"), items=("a",), known_links=("https://k/1",)),
+             Site(name="B", base="https://b.example", paths=("/x",), items=("a",), known_links=("https://k/2", "https://k/3")),
+             Site(name="C", base="https://c.example", items=("a",), paths=("/c",))]
+    page = "<a href='/{0}-1'>x</a><a href='/{0}-2'>y</a><a href='/{0}-1'>x</a>"
+    rows = [(1, "https://a.example/news/", "<p>no link</p>"), (2, "https://www.a.example", page.format("root")),
+            (3, "https://a.example/more", page.format("more")), (4, "https://a.example/news?page=2", page.format("q")),
+            (5, "https://b.example/other", page.format("o")), (6, "https://b.example/x", None), (7, None, page.format("n")),
+            (8, "https://z.example/news", page.format("z"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(map(tuple, links.cascade(pages, sites).select("source_name", "path_rank", "page_id", "link").collect()), key=str)
+    assert got == [("A", 1, 2, "https://www.a.example/root-1"), ("A", 1, 2, "https://www.a.example/root-2"),
+                   ("B", None, None, "https://k/2"), ("B", None, None, "https://k/3")]
+    assert [r.link for r in links.cascade(pages, sites, 1).orderBy("source_name").collect()] == ["https://www.a.example/root-1", "https://k/2"]
+    assert links.cascade(pages.filter("false"), sites).count() == 3

@@ -8,6 +8,7 @@ Results over ``site_pages`` are derived from how that view builds its pages.
 from __future__ import annotations
 
 from presswork.operators.repair import IMAGE_POOL, IMAGE_REPAIR_DEFAULT, SOURCE_IMAGES
+from presswork.plans.sites import SITES as SITE_RULES
 from presswork.sources.seed import SEED
 from workload import queries as Q
 from workload import views as V
@@ -207,6 +208,27 @@ def distinct_in_order(links: str) -> str:
 BASE_OF_URL = "regexp_extract(url, '^[a-zA-Z]+://[^/?#]*')"
 ABSOLUTE_HREFS = f"list_transform({HREFS}, lambda h: {absolute('h', BASE_OF_URL)})"
 
+# Links that the item rules of the known sites find: which marks of the listing view a
+# site looks for follows from the number of the site and of the page.
+_WORDS = """regexp_extract_all(html, '<li><a href="/([^"]*)"', 1)"""
+SITE_LINK_LIST = f"""case when k in (1, 6) then [] when v = 0 and (k in (0, 2) or h <> 0)
+  then list_transform(w, lambda x: base || '/news/' || x) when v = 1 then list_transform(w, lambda x: base || '/articles/2024/' || x)
+  when v = 3 then list_transform(w, lambda x: 'https://other.example.com/news/' || x) else [] end"""
+SITE_NAMES = {i: site.name for i, base in enumerate(V.SITE_BASES) for site in SITE_RULES.values() if site.base == base}
+SITE_LINKED = (
+    f"select page_id, k, source_name, case when k = 0 then l else list_filter(l, lambda x, i: list_position(l, x) = i) end as l "
+    f"from (select *, {SITE_LINK_LIST} as l from (select page_id, page_id % 10 as k, page_id % 4 as v, page_id % 3 as h, "
+    f"{_WORDS} as w, case page_id % 10 " + " ".join(f"when {i} then '{b}'" for i, b in enumerate(V.SITE_BASES)) + " end as base, "
+    "case page_id % 10 " + " ".join(f"when {i} then {q(n)}" for i, n in SITE_NAMES.items()) + " end as source_name from pages))")
+# Listing paths without slashes at their ends, the first of equal ones.
+_LISTED = [(site.name, site.key(), rank, path.rstrip("/")) for site in SITE_RULES.values() for rank, path in enumerate(site.paths)
+           if path.rstrip("/") not in [p.rstrip("/") for p in site.paths[:rank]]]
+SITE_LISTED = "select * from (values " + ", ".join(
+    f"({q(n)}, {q(h)}, {r}, {q(p)})" for n, h, r, p in _LISTED) + ") v(source_name, host, path_rank, path)"
+SITE_KNOWN = "select * from (values " + ", ".join(
+    f"({q(site.name)}, {pos}, {q(link)})" for site in SITE_RULES.values() for pos, link in enumerate(site.known_links)
+) + ") v(source_name, pos, link)"
+
 # -- pages of the known sites ------------------------------------------------
 
 _N = "cast(page_id as varchar)"
@@ -295,6 +317,16 @@ SQL: dict[str, str] = {
         "'/start' from l2 where source_name not in (select source_name from f)",
         l=LISTINGS, l2=f"select *, {domain('url')} as source_name from l",
         f=numbered(HREFS, "link", "source_name, path_rank, page_id", "l2")),
+    "site_listing_links": f"select page_id, source_name, unnest(range(len(l))) as pos, unnest(l) as link from ({SITE_LINKED})",
+    "site_path_cascade": with_(
+        f"select source_name, path_rank, page_id, pos, link from (select *, row_number() over (partition by source_name "
+        f"order by page_id, pos) as rn from c) where rn <= {Q.SITE_LINKS}",
+        p=SITE_LISTED, u=V.duck(V.SITE_PATH_LISTINGS), s=SITE_LINKED,
+        f=f"select s.source_name, path_rank, page_id, unnest(range(len(l))) as pos, unnest(l) as link from s join u using (page_id) "
+          f"join p on p.source_name = s.source_name and path = regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), "
+          f"'/+$', '') where not contains(url, '?')",
+        c=f"select * from f where path_rank = (select min(path_rank) from f g where g.source_name = f.source_name) union all "
+          f"select source_name, null, null, pos, link from ({SITE_KNOWN}) where source_name not in (select source_name from f)"),
     "title_cascade": f"select page_id, {SITE_TITLE} as title from ({SITE_CASES})",
     "jsonld_title": f"select page_id, {LD} as headline from (select page_id, page_id % 7 as m from pages)",
     "image_cascade": f"select page_id, {SITE_IMAGE} as image_url from ({SITE_CASES})",

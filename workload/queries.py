@@ -30,6 +30,7 @@ SOURCE = "src3"
 KEYWORD = "En%que"
 WANTED_SITES = ["src1", "src5", "src7", "nosuch"]
 HEALTH_SOURCES = [f"src{i}" for i in range(0, 40, 3)]
+SITE_LINKS = 12
 PAGE_LIMIT, PAGE_OFFSET, LIST_OFFSET, TOP_N = 20, 40, 100, 3
 MUST, MUST_NOT = "/news/|/articles/", "/tag/|/author/"
 def now() -> Column:
@@ -142,6 +143,13 @@ def path_cascade(spark, sf):
     return links.first_path(found, wanted, known).select("source_name", "path_rank", "link")
 
 
+@query
+def site_path_cascade(spark, sf):
+    """Article links of the known sites by their own listing paths and known links, some for each site."""
+    listed = spread(V.view(spark, sf, V.SITE_PATH_LISTINGS))
+    return links.cascade(listed, limit=SITE_LINKS).select("source_name", "path_rank", "page_id", "pos", "link")
+
+
 @query
 def title_cascade(spark, sf):
     return extract.fields(site_pages(spark, sf)).select("page_id", F.col("raw_title").alias("title"))

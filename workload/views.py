@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from presswork.plans.sites import SITES
+
 _DOCS = """
 select doc_id as ingest_seq,
   split_part(text, chr(10), 1) as title,
@@ -128,6 +130,20 @@ select page_id, {_BASE} as url,
 from {{pages}}
 """
 
+_PATHS = [site.paths for base in SITE_BASES for site in SITES.values() if site.base == base]
+_NO_PATH = f"concat('/page/', {_ID})"
+_PATH = "case page_id % 10 " + " ".join(
+    f"when {k} then case cast(floor(page_id / 10) as bigint) % 6 " + " ".join(
+        f"when {j} then '{path}'" for j, path in enumerate(paths)) + f" else {_NO_PATH} end"
+    for k, paths in enumerate(_PATHS[:9])) + f" else {_NO_PATH} end"
+
+# The same listings under the paths of their sites, some with a slash, a fragment or a
+# query behind; one site in ten has no page at any of its paths.
+SITE_PATH_LISTINGS = f"""
+select page_id, html, concat(url, {_PATH}, case page_id % 11 when 3 then '/' when 4 then '#top'
+  when 5 then '?page=2' else '' end) as url from ({SITE_LISTINGS})
+"""
+
 # Image bytes by document: a signature and a filler that grows with the text.
 IMAGE_BYTES = """
 select concat('img/', cast(doc_id as varchar(20)), '.bin') as path,
