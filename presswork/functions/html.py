@@ -26,25 +26,44 @@ BLOCK_TAGS = (
     "p|div|ul|ol|li|dl|table|h1|h2|h3|h4|h5|h6|section|article|aside|main|nav|"
     "header|footer|form|figure|blockquote|pre|hr"
 )
-PARAGRAPH_OPEN = r"(?i)<p(?:\s[^>]*)?>"
-PARAGRAPH_END = rf"(?i)<(?:/(?:{BLOCK_TAGS}|body|html)\s*>|(?:{BLOCK_TAGS})(?:\s[^>]*)?/?>)"
+# What follows the name of a tag: attributes, each skipped whole with its value in double,
+# single or no quotes, up to the end of the tag. A quote that never closes is no quote.
+# Nothing in it is tried twice.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
+_ATTRIBUTE = rf"[^\s=>/]++(?:\s*+=\s*+{_VALUE}?+)?+"
+TAG_END = rf"""(?=[\s/>])(?:[^>"']*+>|(?:[\s/=]++|{_ATTRIBUTE})*+>)"""
+PARAGRAPH_OPEN = rf"(?i)<p{TAG_END}"
+PARAGRAPH_END = rf"(?i)<(?:/(?:{BLOCK_TAGS}|body|html)\s*>|(?:{BLOCK_TAGS}){TAG_END})"
+ANY_TAG = rf"""<(?:[a-zA-Z/!?][^>"']*+>|[a-zA-Z][^\s/>]*+{TAG_END}|[/!?][^>]*+>)"""
+
+
+def _attribute_before(name: str) -> str:
+    """The name of a tag's attribute, with the attributes in front of it skipped whole."""
+    return rf"""(?=[\s/])(?:[\s/=]++|(?!{name}\s*=){_ATTRIBUTE})*+(?<=[\s/"']){name}\s*+=\s*+"""
 
 
 def open_tag(tag: str, attr: str | None = None, op: str = "word", value: str = "") -> str:
     """Pattern of an open tag. ``op``: attribute ``is``, ``has`` or has the ``word``.
 
-    ``tag`` may be ``*`` for any element.
+    ``tag`` may be ``*`` for any element. Values may have any kind of quotes or none.
     """
     name = "[a-z][a-z0-9]*" if tag == "*" else tag
     if attr is None:
-        return rf"(?i)<{name}(?:\s[^>]*)?>"
+        return rf"(?i)<{name}{TAG_END}"
     v = re.escape(value)
-    inner = {
-        "is": v,
-        "has": rf"[^\"']*{v}[^\"']*",
-        "word": rf"(?:[^\"']*\s)?{v}(?:\s[^\"']*)?",
-    }[op]
-    return rf"(?i)<{name}\s(?:[^>]*\s)?{attr}\s*=\s*[\"']{inner}[\"'][^>]*>"
+
+    def inner(other: str) -> str:
+        """The value, ``other`` being what else may stand there."""
+        return {"is": v, "has": f"{other}*{v}{other}*", "word": rf"(?:{other}*\s)?{v}(?:\s{other}*)?"}[op]
+
+    bare = rf"""[^\s"'>]*{v}[^\s>]*""" if op == "has" else v
+    return tag_where(name, attr, inner('[^"]'), inner("[^']"), bare)
+
+
+def tag_where(name: str, attr: str, double: str, single: str, bare: str) -> str:
+    """Pattern of an open tag whose attribute has a value of these patterns, by kind of quotes."""
+    values = rf""""{double}"|'{single}'|{bare}(?=[\s>])"""
+    return rf"(?i)<{name}{_attribute_before(attr)}(?:{values})(?:[\s/=]++|{_ATTRIBUTE})*+>"
 
 
 def _col(pattern: str | Column) -> Column:
@@ -63,7 +82,7 @@ def tail(items: Column) -> Column:
 
 def noise_pattern(tags: Iterable[str]) -> str:
     """Pattern of comments and of whole elements of the given tags."""
-    parts = ["!--.*?-->", *(rf"{t}(?:\s[^>]*)?>.*?</{t}\s*>" for t in tags)]
+    parts = ["!--.*?-->", *(rf"{t}{TAG_END}.*?</{t}\s*>" for t in tags)]
     return f"(?is)<(?:{'|'.join(parts)})"
 
 
@@ -77,13 +96,17 @@ def open_tags(html: Column, pattern: str | Column) -> Column:
     return F.regexp_extract_all(html, _col(pattern), 0)
 
 
+# Finds the value of the attribute that is put for the sign.
+_ATTRIBUTE_OF = r"(?is)^<[a-z][^\s/>]*+" + _attribute_before("@") + r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))"""
+
+
 def attribute(tag: Column, name: str | Column) -> Column:
     """Value of an attribute of an open tag; '' when absent, null without a tag."""
-    pattern = F.concat(F.lit(r"(?is)\s"), _col(name), F.lit(r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""))
+    pattern = F.replace(F.lit(_ATTRIBUTE_OF), F.lit("@"), _col(name))
 
     def value(t: Column) -> Column:
-        quoted = [or_empty(F.get(F.regexp_extract_all(t, pattern, group), F.lit(0))) for group in (1, 2, 3)]
-        return F.when(t.isNotNull(), F.concat(*quoted))
+        return let(pattern, lambda p: F.when(t.isNotNull(), F.concat(
+            *(F.call_function("regexp_extract", t, p, F.lit(group)) for group in (1, 2, 3)))))
 
     return let(tag, value)
 
@@ -105,6 +128,11 @@ def _same_tag_pieces(text: Column, name: Column, limit: int = -1) -> Column:
     return _cut_before(text, F.concat(F.lit("(?i)</?"), name, F.lit(r"[\s/>]")), limit)
 
 
+def _behind_tag(segment: Column) -> Column:
+    """What follows the tag that starts ``segment``."""
+    return F.regexp_replace(segment, f"^{ANY_TAG}", "")
+
+
 def _closes(piece: Column) -> Column:
     return F.startswith(piece, F.lit("</"))
 
@@ -134,23 +162,30 @@ def _balanced(segment: Column) -> Column:
             F.struct(p[0].alias("inner"), F.lit(True).alias("closed"))
         ).otherwise(let(_same_tag_pieces(body, name), counted)))
 
-    return let(F.regexp_replace(segment, "^<[^>]*>", ""), flat_or_counted)
+    return let(_behind_tag(segment), flat_or_counted)
 
 
-def _element(segments: Column, i: Column) -> Column:
-    """Inner HTML of the element that opens segment ``i`` (counted from 0).
+def _from(segments: Column, i: Column, done: Callable[[Column, Column], Column]) -> Column:
+    """The first result of ``done(text, last)`` that is not null, for texts that start with segment ``i``.
 
-    The following segments are read only when the element does not end in its own.
+    The texts have one, two, four and more segments, so no more is read than twice what
+    is needed; ``last`` tells that there are no more.
     """
-    last = F.size(segments)
+    size = F.size(segments)
+    counts = F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    enough = F.filter(counts, lambda n: (n == 1) | (F.call_function("shiftright", n, F.lit(1)) < size - i))
+
+    def attempt(found: Column, n: Column) -> Column:
+        text = F.when(n == 1, F.element_at(segments, i + 1)).otherwise(F.array_join(F.slice(segments, i + 1, n), ""))
+        return F.when(found.isNotNull(), found).otherwise(done(text, n >= size - i))
 
-    def attempt(found: Column, end: Column) -> Column:
-        text = F.when(end == i + 1, F.element_at(segments, i + 1)).otherwise(
-            F.array_join(F.slice(segments, i + 1, last), ""))
-        closed = let(_balanced(text), lambda b: F.when(b["closed"] | (end == last), b["inner"]))
-        return F.when(found.isNotNull(), found).otherwise(closed)
+    return F.aggregate(enough, F.lit(None).cast("string"), attempt)
 
-    return F.aggregate(F.array(i + 1, last), F.lit(None).cast("string"), attempt)
+
+def _element(segments: Column, i: Column) -> Column:
+    """Inner HTML of the element that opens segment ``i`` (counted from 0)."""
+    return _from(segments, i, lambda text, last: let(
+        _balanced(text), lambda b: F.when(b["closed"] | last, b["inner"])))
 
 
 def _segments(html: Column, pattern: str | Column) -> Column:
@@ -167,8 +202,16 @@ def first_element(html: Column, pattern: str | Column) -> Column:
     return let(F.get(_cut_before(html, _col(pattern), 2), F.lit(1)), lambda s: _balanced(s)["inner"])
 
 
+# Marks of tags are kept in strings of this length.
+_MARKS = 256
+
+
 def without_elements(html: Column, pattern: Column, name: Column) -> Column:
-    """The page with every element of the pattern cut out, nested ones included."""
+    """The page with every element of the pattern cut out, nested ones included.
+
+    One pass over the tags of the name marks each as outside, inside or closing; marks are
+    collected in strings of bounded length, so a page costs the time of its tags.
+    """
 
     def step(acc: Column, piece: Column) -> Column:
         opens = ~F.startswith(piece, F.lit("</"))
@@ -177,16 +220,18 @@ def without_elements(html: Column, pattern: Column, name: Column) -> Column:
             F.when(acc["depth"] > 0, acc["depth"] + F.when(opens, 1).otherwise(-1))
             .when(matches, 1).otherwise(0))
         mark = F.when(depth > 0, "i").when(acc["depth"] > 0, "c").otherwise("o")
-        return F.struct(depth.alias("depth"), F.concat(acc["marks"], mark).alias("marks"))
+        return let(F.length(acc["marks"]) == _MARKS, lambda full: F.struct(
+            depth.alias("depth"), F.when(full, mark).otherwise(F.concat(acc["marks"], mark)).alias("marks"),
+            F.when(full, F.concat(acc["full"], F.array(acc["marks"]))).otherwise(acc["full"]).alias("full")))
 
     def cut(pieces: Column) -> Column:
-        start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("marks"))
-        marks = F.aggregate(tail(pieces), start, step, lambda acc: acc["marks"])
+        start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("marks"), F.array().cast("array<string>").alias("full"))
+        marks = F.aggregate(tail(pieces), start, step, lambda acc: F.concat(acc["full"], F.array(acc["marks"])))
 
         def kept(m: Column) -> Column:
             return F.transform(tail(pieces), lambda p, i: let(
-                F.substring(m, i + 1, F.lit(1)),
-                lambda k: F.when(k == "o", p).when(k == "c", F.regexp_replace(p, "^[^>]*>", "")).otherwise("")))
+                F.substring(F.get(m, F.floor(i / _MARKS).cast("int")), i % _MARKS + 1, F.lit(1)),
+                lambda k: F.when(k == "o", p).when(k == "c", _behind_tag(p)).otherwise("")))
 
         return F.concat(pieces[0], F.array_join(let(marks, kept), ""))
 
@@ -247,7 +292,7 @@ def decode_entities(text: Column) -> Column:
 
 def text_of(fragment: Column) -> Column:
     """Text of a fragment: tags dropped, entities decoded. A ``<`` that starts no tag is text."""
-    return decode_entities(F.regexp_replace(fragment, "<[a-zA-Z/!?][^>]*>", ""))
+    return decode_entities(F.regexp_replace(fragment, ANY_TAG, ""))
 
 
 def _upto_end(text: Column) -> Column:
@@ -268,11 +313,8 @@ def texts_of(fragment: Column, pattern: str | Column) -> Column:
     """Text of every matching element, stripped, nested elements repeated."""
 
     def paragraph(segments: Column, i: Column) -> Column:
-        own = F.element_at(segments, i + 1)
-        rest = F.array_join(F.slice(segments, i + 1, F.size(segments)), "")
-        text = let(F.regexp_replace(own, "^<[^>]*>", ""), lambda t: F.when(
-            t.rlike(PARAGRAPH_END), t).otherwise(F.regexp_replace(rest, "^<[^>]*>", "")))
-        return _upto_end(text)
+        return _upto_end(_from(segments, i, lambda text, last: let(
+            _behind_tag(text), lambda t: F.when(last | t.rlike(PARAGRAPH_END), t))))
 
     def one(segments: Column) -> Callable[[Column, Column], Column]:
         return lambda segment, i: strip(text_of(F.when(

@@ -22,7 +22,7 @@ from presswork.plans import skew
 from presswork.plans.rules import ANY_HOST, MAX_BROADCAST_BYTES, Site, registry_bytes, rules_frame
 from presswork.plans.sites import OTHER_HOSTS, SITES
 
-JSONLD = r"""(?is)<script\s(?:[^>]*\s)?type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script\s*>"""
+JSONLD = "(?s)" + H.tag_where("script", "type", *[r"application/ld\+json"] * 3) + r"(.*?)</script\s*>"
 
 
 def default_sites() -> list[Site]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from presswork.functions.html import tag_where
 from presswork.plans.rules import ANY_HOST, Image, Site, Title
 
 
@@ -24,9 +25,10 @@ OG_IMAGE = ("meta[property='og:image']", "meta[name='twitter:image']")
 RASTER = r"[.]jpg|[.]png|[.]webp"
 NO_LOGO = r"[.]svg|logo"
 NO_AUTHOR = r"[.]svg|logo|author|bio|w=90"
-BODY_BUT_NOT_CHROME = (
-    r"(?i)<div\s(?![^>]*class\s*=\s*[\"'](?:[^\"']*\s)?(?:nav|header|footer|menu)[\s\"'])"
-    r"(?:[^>]*\s)?class\s*=\s*[\"'][^\"']*body[^\"']*[\"'][^>]*>")
+_CHROME = "(?:nav|header|footer|menu)"
+BODY_BUT_NOT_CHROME = tag_where(
+    "div", "class", rf"""(?!(?:[^"]*\s)?{_CHROME}[\s"])[^"]*body[^"]*""", rf"""(?!(?:[^']*\s)?{_CHROME}[\s'])[^']*body[^']*""",
+    rf"""(?!{_CHROME}[\s>])[^\s"'>]*body[^\s>]*""")
 IGN_ATTRS = ("data-src", "srcset", "src")
 
 SITES: dict[str, Site] = {
