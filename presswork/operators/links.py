@@ -22,8 +22,12 @@ _VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
 ANCHOR_HREF = (
     rf"""(?is)<a(?:\s+(?!href\s*=)[^\s=>"']+(?:\s*=\s*{_VALUE})?+)*+\s+href\s*=\s*"""
     r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-# Above this many links per source, the limit is applied in two salted steps.
+# Above this many links per source, rows are numbered over sorted ranges.
 TOP_N_PUSHDOWN = 1000
+# Rows in a task that sorts.
+TASK_ROWS = 1_000_000
+# Rows (source, range, offset) that are broadcast.
+BROADCAST_OFFSETS = 500_000
 
 
 def hrefs(html: Column) -> Column:
@@ -176,18 +180,41 @@ def cascade(pages: DataFrame, sites: Iterable[Site] | None = None, limit: int |
     return top_n_per_source(chosen, limit, "page_id", "pos").select("source_name", "path_rank", "page_id", "pos", "link")
 
 
-def top_n_per_source(links: DataFrame, n: int | None, *order: str) -> DataFrame:
+def top_n_per_source(links: DataFrame, n: int | None, *order: str, task_rows: int = TASK_ROWS) -> DataFrame:
     """The first ``n`` rows of each source in the given order, numbered from 1.
 
     Spark cuts every map task's share of a source to ``n`` rows before the
-    shuffle as long as ``n`` is small. A larger ``n`` is first cut per salt, so
-    that no task sorts a whole heavy source. Without ``n`` rows are not numbered.
+    shuffle as long as ``n`` is small. For a larger ``n`` see ``numbered_by_source``.
+    Without ``n`` rows are not numbered.
     """
     if n is None:
         return links
     if n > TOP_N_PUSHDOWN:
-        salted = links.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(skew.SLOTS)))
-        by_salt = Window.partitionBy("source_name", "_salt").orderBy(*order)
-        links = salted.withColumn("_rn", F.row_number().over(by_salt)).filter(F.col("_rn") <= n).drop("_rn", "_salt")
+        return numbered_by_source(links, *order, task_rows=task_rows).filter(F.col("rn") <= n)
     by_source = Window.partitionBy("source_name").orderBy(*order)
     return links.withColumn("rn", F.row_number().over(by_source)).filter(F.col("rn") <= n)
+
+
+def numbered_by_source(links: DataFrame, *order: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``links`` with ``rn``, the place of each row in the order of its source, from 1.
+
+    Rows are sorted by source and order over ranges of about ``task_rows`` rows at most, so
+    a source is in as many tasks as it needs. A row's number is its place in its range,
+    plus what the ranges before hold of its source. The ranges are written to the
+    checkpoint folder, so that counting and numbering see the same ones.
+    """
+    spark = links.sparkSession
+    ensure_checkpoint_dir(spark)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(least, -(-2 * links.count() // task_rows))  # ranges are cut by a sample, hence the 2
+    ranged = links.repartitionByRange(ranges, "source_name", *order).sortWithinPartitions("source_name", *order)
+    # The number has the range in its upper bits, the place in it in the lower 33.
+    ranged = ranged.withColumn("_place", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright(F.col("_place"), 33)
+    parts = ranged.groupBy("source_name", part.alias("_part")).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("source_name").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("source_name", "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    offsets = offsets.withColumnRenamed("source_name", "_source").checkpoint()
+    side = F.broadcast(offsets) if offsets.count() <= BROADCAST_OFFSETS else offsets
+    placed = ranged.join(side, ranged["source_name"].eqNullSafe(offsets["_source"]) & (part == offsets["_part"]))
+    return placed.select(*links.columns, (F.col("_place") + F.col("_shift") + 1).alias("rn"))

@@ -73,11 +73,12 @@ def _with_side(articles: DataFrame, side: DataFrame, heavy_floor: int) -> DataFr
     """Articles with ``_side``, the content the side has for their id; one row for each article.
 
     The side is first cut down to the ids that are asked for, then to one content per
-    id: of several the last in text order, so a blank one never wins.
+    id: of several the last in text order, so a blank one never wins. Texts meet the narrow
+    rows in a shuffle; however few ids there are, no text is broadcast by number of rows.
     """
     counts = skew.key_counts(articles, "id")
     asked = side.join(counts.select("id"), "id", "left_semi").groupBy("id").agg(F.max("content").alias("_side"))
-    return skew.attach(articles, asked, "id", skew.heavy_keys(counts, "id", heavy_floor), "ingest_seq")
+    return skew.attach_wide(articles, asked, "id", counts, "ingest_seq", heavy_floor)
 
 
 def _split_blank(articles: DataFrame) -> tuple[DataFrame, DataFrame]:

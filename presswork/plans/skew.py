@@ -74,3 +74,21 @@ def attach(rows: DataFrame, side: DataFrame, key: str, heavy: DataFrame, spread_
         .join(cold, [key, "_slot"], "left"))
     picked = F.coalesce("_hot", "_cold")
     return joined.select(*rows.columns, *(picked[c].alias(c) for c in columns))
+
+
+def attach_wide(rows: DataFrame, side: DataFrame, key: str, counts: DataFrame, spread_by: str,
+                floor: int = HEAVY_FLOOR) -> DataFrame:
+    """Left join with a side of wide rows, one for each key, none of which is broadcast.
+
+    ``counts`` has the number of ``rows`` of each key, ``_n``. A heavy key is dealt over as
+    many slots as it has ``floor`` rows and its side row is copied to each of them, so there
+    are fewer copies than ``rows / floor``. What is broadcast are the heavy keys.
+    """
+    total = counts.agg(F.sum("_n")).scalar()
+    heavy = counts.filter((F.col("_n") > floor) & (F.col("_n") * HEAVY_KEYS > total)).select(
+        key, F.ceil(F.col("_n") / floor).cast("int").alias("_slots"))
+    heavy = F.broadcast(heavy)
+    slots = F.coalesce("_slots", F.lit(1))
+    dealt = rows.join(heavy, key, "left").withColumn("_slot", F.pmod(F.xxhash64(spread_by), slots).cast("int")).drop("_slots")
+    copies = side.join(heavy, key, "left").withColumn("_slot", F.explode(F.sequence(F.lit(0), slots - 1))).drop("_slots")
+    return dealt.join(copies.hint("merge"), [key, "_slot"], "left").drop("_slot")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import sqlite3
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from presswork.operators import catalog, links, repair
@@ -149,3 +150,44 @@ def test_listing_cascade(spark):
                    ("B", None, None, "https://k/2"), ("B", None, None, "https://k/3")]
     assert [r.link for r in links.cascade(pages, sites, 1).orderBy("source_name").collect()] == ["https://www.a.example/root-1", "https://k/2"]
     assert links.cascade(pages.filter("false"), sites).count() == 3
+
+
+def test_numbering_over_ranges(spark):
+    """A million links of one source are numbered without a task of more than a hundredth of them."""
+    n = 1_000_000
+    links_ = spark.range(n + 1000).select(
+        F.when(F.col("id") < n, "hot").when(F.col("id") < n + 900, F.concat(F.lit("s"), F.col("id") % 7)).alias("source_name"),
+        (F.col("id") * 7919 % 1_000_003).alias("pos"), F.col("id").alias("link"))
+    got = links.top_n_per_source(links_, n, "pos", task_rows=n // 100)
+    sizes = got.groupBy(F.spark_partition_id().alias("p")).count()
+    assert sizes.agg(F.max("count")).first()[0] <= n // 100
+    want = links_.withColumn("want", F.row_number().over(Window.partitionBy("source_name").orderBy("pos")))
+    both = got.join(want.select("link", "want"), "link")
+    assert both.filter("rn = want").count() == n + 1000
+    cut = links.top_n_per_source(links_, 1500, "pos", task_rows=50_000)
+    assert {r.source_name: r["count"] for r in cut.groupBy("source_name").count().collect()}["hot"] == 1500
+    assert cut.agg(F.max("rn")).first()[0] == 1500
+    assert links.top_n_per_source(links_.filter("false"), 5000, "pos").count() == 0
+
+
+@pytest.mark.parametrize("floor", [3, 10 ** 6])
+def test_texts_are_never_broadcast(spark, floor):
+    """Side texts reach the articles by a shuffle, also those of an id that many rows have."""
+    articles = spark.range(60).select(
+        F.col("id").alias("ingest_seq"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("a"), "id")).alias("id"),
+        F.when(F.col("id") % 5 == 0, "own").alias("content"), F.lit("u").alias("source_url"))
+    side = spark.createDataFrame([("hot", "warm"), ("hot", "text"), ("a1", "one"), ("a3", ""), ("zz", "no")], "id string, content string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        filled = repair.content_from(articles, side, floor)
+        rows = filled.collect()
+        plan = filled._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(rows) == 60
+    assert {r.content for r in rows if r.id == "hot" and r.ingest_seq % 5} == {"warm"}
+    assert {r.content for r in rows if r.id == "a1"} == {"one"}
+    # What goes into a broadcast has no text in it.
+    blocks = plan.split("BroadcastExchange")[1:]
+    assert blocks and not any("content" in line or "_side" in line for block in blocks for line in block.splitlines()[:1])
+    assert "BroadcastHashJoin [id" in plan and "SortMergeJoin [id" in plan
