@@ -109,6 +109,68 @@ def export(store: ArticleStore, path: str, content: DataFrame | None = None, now
     ).write.mode("append").parquet(store.history_path)
 
 
+def export_days(store: ArticleStore, path: str, added: DataFrame | None = None, now: Column | None = None,
+                content: DataFrame | None = None) -> None:
+    """Public records as JSON Lines, a folder for each day of the store's times, and a row of history.
+
+    With ``added``, rows that a batch brought, only the days they fall on are read and
+    written again, whole; the other folders stay as they are. Without it all days are
+    written. Files of a day are newest first. The count in the history is the store's.
+    Replacing a day's folder is not atomic for those who read it at that moment.
+    """
+    articles = store.articles()
+    day = F.to_date("scrape_timestamp")
+    if added is not None:
+        days = [r[0] for r in added.select(day.alias("day")).distinct().orderBy("day").collect()]  # at most one row a day
+        if days:
+            # The bounds let the scan skip row groups, the list makes them exact.
+            articles = articles.filter(
+                (F.col("scrape_timestamp") >= F.lit(days[0])) & (F.col("scrape_timestamp") < F.date_add(F.lit(days[-1]), 1))
+                & day.isin(days))
+        else:
+            articles = articles.limit(0)
+    articles = with_default_body(articles) if content is None else backfill_content(articles, content)
+    order = [F.desc("scrape_timestamp"), "ingest_seq"]
+    rows = articles.withColumn("_day", day).repartitionByRange("_day", *order).sortWithinPartitions("_day", *order)
+    rows.select(*public_columns(rows), F.date_format("_day", "yyyy-MM-dd").alias("day")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic" if added is not None else "static").partitionBy("day").json(path)
+    stamp = F.current_timestamp() if now is None else now
+    total = sum(p["rows"] for p in store.state()["articles"])
+    store.spark.range(1).select(
+        stamp.alias("timestamp"), F.lit(path).alias("filename"), F.lit(total).cast("long").alias("article_count")
+    ).write.mode("append").parquet(store.history_path)
+
+
+def read_days(spark: SparkSession, path: str) -> DataFrame:
+    """The public records of ``export_days``."""
+    return spark.read.schema(ENVELOPE_SCHEMA["articles"].dataType.elementType).json(path).select(*PUBLIC_COLUMNS)
+
+
+def read_envelope_lines(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Article rows of envelopes that hold one article a line, as ``write_envelope`` writes them.
+
+    Such a file, of any size, is split like any text; no task reads it whole. ``pos`` grows
+    in the order of files by name and of lines in them. A line that is neither an article
+    nor the head or end of an envelope makes ``strict`` reading fail, and is passed over
+    otherwise.
+    """
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(F.trim(F.col("value")).alias("value"), place.alias("place"))
+    lines = lines.filter(~F.col("value").rlike(r'^(?:\{\s*"scrape_timestamp".*"articles"\s*:\s*\[\s*)?(?:\]\s*\})?$'))
+    article = ENVELOPE_SCHEMA["articles"].dataType.elementType
+    # A comma may stand at either end of the line.
+    parsed = F.from_json(F.regexp_replace("value", r"^,\s*|\s*,$", ""), article.add("_bad", "string"), {
+        "columnNameOfCorruptRecord": "_bad"})
+    rows = lines.select("place", parsed.alias("a"))
+    broken = F.col("a").isNull() | F.col("a._bad").isNotNull()
+    if strict:
+        rows = rows.filter(F.when(broken, F.raise_error(F.lit(f"not an article in {path}")).cast("boolean")).otherwise(True))
+    else:
+        rows = rows.filter(~broken)
+    return rows.orderBy("place").select(
+        F.monotonically_increasing_id().alias("pos"), *(or_empty(F.col("a")[name]).alias(name) for name in PUBLIC_COLUMNS))
+
+
 def write_content(articles: DataFrame, path: str, mode: str = "append") -> None:
     """The content side dataset: article_id, content."""
     articles.select(F.col("id").alias("article_id"), "content").write.mode(mode).parquet(path)

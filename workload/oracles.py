@@ -158,6 +158,11 @@ def greedy(name: str, rows: str, store: str | None = None, rounds: int = 8) -> d
     return ctes
 
 
+# Even documents, then odd ones against what is kept of the even ones.
+TWO_BATCHES = {
+    "d": DOCS, "e": "select * from d where ingest_seq % 2 = 0", "o": "select * from d where ingest_seq % 2 = 1",
+    **greedy("a", "e"), "st": "select d.* from d join a using (ingest_seq)", **greedy("b", "o", "st")}
+
 # -- plain pages ------------------------------------------------------------
 
 ARTICLE = rf"regexp_extract({without('html', NOISE)}, '(?is)<article(?:\s[^>]*)?>(.*?)</article', 1)"
@@ -289,6 +294,7 @@ FILLED = (
     "select ingest_seq, d.id, title, source_name, source_url, image_url, scrape_timestamp, "
     f"case when not {blank('d.content')} then d.content when not {blank('c.content')} then c.content "
     "else 'Visit the source for more information: ' || source_url end as content from d left join c on d.id = c.id")
+EXPORT_BODY = f"case when {blank('content')} then 'Visit the source for more information: ' || source_url else content end"
 _like = Q.KEYWORD.lower()
 _pool = "[" + ", ".join(map(q, IMAGE_POOL)) + "]"
 _by_source = "case source_name " + " ".join(f"when {q(k)} then {q(v)}" for k, v in SOURCE_IMAGES.items()) + " end"
@@ -414,8 +420,18 @@ SQL: dict[str, str] = {
         "qualify row_number() over (partition by g order by doc_id) % 2 = 1"),
     "store_two_writers": with_(
         "select id, source_url from d join a using (ingest_seq) union all select id, source_url from d join b using (ingest_seq)",
-        d=DOCS, e="select * from d where ingest_seq % 2 = 0", o="select * from d where ingest_seq % 2 = 1",
-        **greedy("a", "e"), st="select d.* from d join a using (ingest_seq)", **greedy("b", "o", "st")),
+        **TWO_BATCHES),
+    "export_incremental": with_(
+        f"select {PUBLIC} from (select * exclude (content, scrape_timestamp), {EXPORT_BODY} as content, "
+        "scrape_timestamp + to_days(cast(ingest_seq % 6 as integer)) as scrape_timestamp "
+        "from d where ingest_seq in (select ingest_seq from a union all select ingest_seq from b))", **TWO_BATCHES),
+    "export_history": with_(
+        "select timestamp '2025-06-01 12:00:00' as timestamp, 'export-0' as name, count(*) as article_count from a union all "
+        "select timestamp '2025-06-01 12:00:00', 'export-1', (select count(*) from a) + count(*) from b", **TWO_BATCHES),
+    "envelope_round_trip": docs(f"select {PUBLIC} from (select * exclude (content), {EXPORT_BODY} as content from d)"),
+    "corrupt_envelopes": docs(
+        "select id, title from d where ingest_seq // 200 % 3 <> 0 union all "
+        "select distinct 'envelope ' || (ingest_seq // 200), '' from d where ingest_seq // 200 % 3 = 0"),
     "exists_in_store": with_(
         "select ingest_seq from o where u in (select u from e) or t in (select t from e where t is not null)",
         d=DOCS, e=f"select {KEYS} from d where ingest_seq % 2 = 0", o=f"select {KEYS} from d where ingest_seq % 2 = 1"),

@@ -15,6 +15,7 @@ from presswork.functions.images import image_kind, image_ok
 from presswork.operators import catalog, dedup, extract, links, repair
 
 from presswork.session import scratch_path
+from presswork.sources import files
 from presswork.sources.pages import read_pages, spread
 from presswork.sources.seed import seed_articles
 from presswork.sources.store import ArticleStore
@@ -440,6 +441,58 @@ def store_two_writers(spark, sf):
     return store.articles().select("id", "source_url")
 
 
+def two_batches(spark: SparkSession, sf: str) -> tuple[ArticleStore, DataFrame, DataFrame]:
+    """An empty store and two batches of documents, whose times are spread over some days."""
+    articles = doc_articles(spark, sf).withColumn("scrape_timestamp", F.expr(
+        "scrape_timestamp + make_interval(0, 0, 0, cast(ingest_seq % 6 as int))"))
+    store = ArticleStore(spark, scratch_path(spark, "store")).create()
+    return store, even(articles), odd(articles)
+
+
+@query
+def export_incremental(spark, sf):
+    """An export by days that follows the store batch by batch, read back."""
+    store, first, second = two_batches(spark, sf)
+    path = scratch_path(spark, "export")
+    for batch in (first, second):
+        files.export_days(store, path, store.add(batch), now=now())
+    return files.read_days(spark, path)
+
+
+@query
+def export_history(spark, sf):
+    """What the history says of an export after each of two batches."""
+    store, first, second = two_batches(spark, sf)
+    for place, batch in enumerate((first, second)):
+        store.add(batch)
+        files.export(store, scratch_path(spark, f"export-{place}"), now=now())
+    name = F.regexp_extract("filename", "(export-[0-9])[^/]*$", 1)
+    return store.history().select("timestamp", name.alias("name"), "article_count")
+
+
+@query
+def envelope_round_trip(spark, sf):
+    """The catalogue as one nested envelope, read back line by line."""
+    path = scratch_path(spark, "envelope")
+    files.write_envelope(doc_articles(spark, sf), path, now())
+    return files.read_envelope_lines(spark, path).drop("pos")
+
+
+@query
+def corrupt_envelopes(spark, sf):
+    """Envelopes of up to 200 documents, every third one broken off: the records of the others, and the broken ones."""
+    path = scratch_path(spark, "envelopes")
+    record = F.struct("id", "title", "content", "source_name", "source_url")
+    articles = doc_articles(spark, sf).withColumn("k", F.expr("ingest_seq div 200"))
+    grouped = articles.groupBy("k").agg(F.to_json(F.struct(
+        F.lit("x").alias("scrape_timestamp"), F.collect_list(record).alias("articles"))).alias("value"))
+    text = F.when(F.col("k") % 3 == 0, F.expr("left(value, length(value) - 5)")).otherwise(F.col("value"))
+    grouped.select(text.alias("value"), "k").write.partitionBy("k").text(path)
+    broken = files.corrupt_envelopes(spark, path).select(
+        F.concat(F.lit("envelope "), F.regexp_extract("file", "k=([0-9]+)", 1)).alias("id"), F.lit("").alias("title"))
+    return files.read_envelope(spark, path).select("id", "title").unionByName(broken)
+
+
 @query
 def exists_in_store(spark, sf):
     articles = doc_articles(spark, sf)
