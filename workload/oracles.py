@@ -290,6 +290,11 @@ SITE_IMAGE = f"""case k
 
 # -- catalog helpers --------------------------------------------------------
 
+# Bodies of the view's pages: which container a page has follows from its number, so three
+# sites find none, two take every paragraph, and the others need more than one; of these
+# the ones that know a wider container take its longer texts, an h2 heading among them.
+SITE_BODY = f"""case when k in (2, 5, 6) then '' when k in (0, 1) or (len(ps) > 1 and {joined('ps', 0)} <> '') then {joined('ps', 0)}
+  when k in (3, 7, 8) then {joined("list_prepend(case when h = 2 then own_heading else '' end, ps)", 30)} else '' end"""
 FILLED = (
     "select ingest_seq, d.id, title, source_name, source_url, image_url, scrape_timestamp, "
     f"case when not {blank('d.content')} then d.content when not {blank('c.content')} then c.content "
@@ -340,6 +345,16 @@ SQL: dict[str, str] = {
         f"select page_id, reason from (select page_id, case when k = 0 then null when not {valid_title('title')} then "
         f"'invalid title' when not {valid_image('image')} then 'invalid image' end as reason from (select *, "
         f"{SITE_TITLE} as title, {SITE_IMAGE} as image from ({SITE_CASES}))) where reason is not null"),
+    "site_records": (
+        f"select page_id as ingest_seq, id, title, {default_body('body', 'title', 'source_name', 'url')} as content, source_name, "
+        f"url as source_url, image as image_url, case when image = '' then '' when {fetchable('image')} then 'images/' || id || "
+        f"{suffix('image')} else 'images/' || id || '.jpg' end as local_image_path, 'content/' || id || '.txt' as local_content_path "
+        f"from (select *, md5({clean('raw_title')} || url) as id, {clean('raw_title')} as title, case when k in (3, 4, 5, 7, 8, 9) and "
+        f"{blank('raw_body')} then 'This article from ' || source_name || ' discusses ' || raw_title || '. Visit ' || url || "
+        f"' to read the full article.' else raw_body end as body from (select c.*, {SITE_TITLE} as raw_title, {SITE_IMAGE} as image, "
+        f"{SITE_BODY} as raw_body, case k " + " ".join(f"when {i} then {q(n)}" for i, n in SITE_NAMES.items()) + " end as source_name "
+        f"from ({SITE_CASES}) c join (select page_id, ps, {H1} as own_heading from (select *, {PARAGRAPHS} as ps from pages)) f using (page_id))) "
+        f"where k = 0 or ({valid_title('raw_title')} and {valid_image('image')})"),
     "body_paragraphs": (
         f"select page_id, case when len(ps) > 1 then {joined('ps', 0)} else '' end as body from ({PAGE_FIELDS})"),
     "body_substantial": f"select page_id, {joined('ps', 30)} as body from ({PAGE_FIELDS})",
