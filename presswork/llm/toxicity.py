@@ -1,24 +1,25 @@
 """Toxicity by nearest labelled examples, exact TF-IDF cosine, block-max index.
 
-Terms are words and the first 4 and 5 letters of longer words, so inflected and
-compounded forms meet. From the labelled examples come the terms: those that stand in
-toxic examples significantly (two-proportion z) and several times more often than in
-clean ones, so that words which are merely common in long texts stay out. Their
-document frequencies are counted over all documents. A document's vector is
-``(1 + ln tf) * ln((1 + N) / (1 + df)) + 1``-weighted and has length 1.
+Terms are all words of the labelled examples. Their document frequencies are counted over
+all documents. A document's vector has the weights ``(1 + ln tf) * (ln((1 + N) / (1 + df)) + 1)``
+and length 1; words that no example has count for its length, as words of one document.
+Significance only weighs: words, and first 4 and 5 letters of longer words, that stand in
+toxic examples significantly (two-proportion z) and several times more often than in clean
+ones count ``BOOST`` times, so that a few telling words aren't lost in a long text.
 
 The index is an inverted list for each term, ordered by example and cut into blocks
 that know their largest weight (Ding and Suel, "Faster Top-k Document Retrieval Using
-Block-Max Indexes", SIGIR 2011). A query visits blocks in the order of their bounds and
-stops at the first bound below the k-th best cosine, so the neighbours are exact.
+Block-Max Indexes", SIGIR 2011). A query scores the blocks of the highest bounds first,
+then all others whose bound reaches the k-th best cosine so far, so the neighbours are exact.
 
-The score is the similarity-weighted share of toxic neighbours, each example weighted
-by how many labelled rows of its class it stands for, shrunk towards the share of
-toxic rows; a document without any term gets the share of toxic rows among examples
-without any. ``doc_id``, ``lang``, ``source`` and the document's own label take no part.
+The score is the share of toxic neighbours, each weighted by its nearness,
+``cos^2 / (1 - cos^2 + NEAR)``, and by how many labelled rows of its class it stands for,
+shrunk towards the share of toxic rows; a document without any term gets the share of
+toxic rows among examples without any. ``doc_id``, ``lang``, ``source`` and the document's
+own label take no part.
 
 The examples are a bounded sample: at most ``EXAMPLES`` of each class, those with the
-least hashes of their id.
+least hashes of their id. Every document is searched against all of them.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,12 @@ from pyspark.sql import functions as F
 from presswork.llm import common as C
 
 EXAMPLES = 4000      # most examples of each class
-TERMS = 4096         # most terms of the vocabulary
-LEAST_TOXIC = 3      # toxic examples that a term needs
-LEAST_Z = 5.0
-LEAST_LIFT = 6.0     # share of toxic examples with the term to that of clean ones
+LEAST_Z = 5.0        # a telling term's significance,
+LEAST_LIFT = 6.0     # share of toxic examples with it to that of clean ones,
+BOOST = 30.0         # and weight
+NEAR = 0.02
 NEIGHBOURS = 15
+FIRST = 8            # blocks that are scored before the others are looked at
 BLOCK = 64
 SHRINK = 1.0         # weight of the overall share among the votes
 REMEMBERED = 400_000
@@ -62,102 +64,130 @@ def terms_of(token: str) -> list[str]:
 
 
 class Vectors:
-    """Term counts of texts over a fixed vocabulary."""
+    """Term counts of texts over a vocabulary."""
 
     def __init__(self, vocabulary: list[str]):
         self.places = {t: i for i, t in enumerate(vocabulary)}
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def counts(self, text: str) -> dict[int, int]:
+    def counts(self, text: str) -> tuple[dict[int, int], list[int]]:
+        """Occurrences of the terms, and of each word that is none."""
         out: dict[int, int] = {}
-        known = self.known
+        others: dict[str, int] = {}
+        known, places = self.known, self.places
         for token, n in Counter(text.lower().split()).items():
             own = known.get(token)
             if own is None:
                 if len(known) >= REMEMBERED:
                     known.clear()
-                own = known[token] = tuple(self.places[t] for t in terms_of(token) if t in self.places)
+                terms = terms_of(token)
+                own = known[token] = tuple(places[t] for t in terms if t in places) if not terms or terms[0] in places else (
+                    -1, *(places[t] for t in terms if t in places))
             for i in own:
-                out[i] = out.get(i, 0) + n
-        return out
+                if i < 0:
+                    word = token.strip(_EDGES)
+                    others[word] = others.get(word, 0) + n
+                else:
+                    out[i] = out.get(i, 0) + n
+        return out, list(others.values())
+
+
+def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all spans, one after the other."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
 @dataclass
 class Index:
-    """Inverted lists of the examples with the largest weight of each block."""
+    """Inverted lists of the examples, in blocks that know their largest weight."""
 
-    idf: np.ndarray
+    factors: np.ndarray    # idf of each term, times its boost
+    foreign: float         # idf of a word that no example has
     ids: np.ndarray        # doc_id of each example
     toxic: np.ndarray      # 0.0 or 1.0
     weight: np.ndarray     # labelled rows that the example stands for
     plain: float           # share of toxic rows without any term
     overall: float
-    lists: list[tuple] = field(default_factory=list)   # examples, weights, block borders
-    tops: np.ndarray | None = None                     # terms x blocks
-
-    def vector(self, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        v = (1 + np.log(counts)) * self.idf[places]
-        return v / np.sqrt((v * v).sum())
+    examples: np.ndarray   # postings by term, block and example
+    weights: np.ndarray
+    terms: np.ndarray      # first block entry of each term, and the end
+    blocks: np.ndarray     # of each entry: its block,
+    starts: np.ndarray     # its first posting, and the end,
+    tops: np.ndarray       # its largest weight
+
+    def vector(self, places: np.ndarray, counts: np.ndarray, others: np.ndarray) -> np.ndarray:
+        v = (1 + np.log(counts)) * self.factors[places]
+        rest = ((1 + np.log(others)) * self.foreign) if len(others) else np.zeros(1)
+        return v / np.sqrt((v * v).sum() + (rest * rest).sum())
 
     def nearest(self, places: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest positive cosine, ties to the earlier example."""
-        bounds = query @ self.tops[places]
-        order = np.argsort(-bounds, kind="stable")
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in order:
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1] - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for place, q in zip(places, query):
-                at, weights, borders = self.lists[place]
-                i, j = borders[b], borders[b + 1]
-                scores[at[i:j] - b * BLOCK] += q * weights[i:j]
-            hit = np.flatnonzero(scores > 0)
-            best_at, best = np.concatenate([best_at, hit + b * BLOCK]), np.concatenate([best, scores[hit]])
-            keep = np.lexsort((best_at, -best))[:k]
-            best_at, best = best_at[keep], best[keep]
-        return best_at, best
-
-    def score(self, places: np.ndarray, counts: np.ndarray, k: int) -> tuple[float, list[tuple]]:
+        lengths = self.terms[places + 1] - self.terms[places]
+        entries, q = _spans(self.terms[places], lengths), np.repeat(query, lengths)
+        bounds = np.bincount(self.blocks[entries], q * self.tops[entries], -(-len(self.ids) // BLOCK))
+
+        def scored(chosen: np.ndarray) -> np.ndarray:
+            own = chosen[self.blocks[entries]]
+            e = entries[own]
+            sizes = self.starts[e + 1] - self.starts[e]
+            at = _spans(self.starts[e], sizes)
+            return np.bincount(self.examples[at], np.repeat(q[own], sizes) * self.weights[at], len(self.ids))
+
+        first = np.zeros(len(bounds), bool)
+        first[np.argsort(-bounds, kind="stable")[:FIRST]] = True
+        scores = scored(first)
+        kth = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
+        rest = ~first & (bounds > 0) & (bounds >= kth - 1e-9)
+        if rest.any():
+            scores += scored(rest)
+            kth = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
+        hit = np.flatnonzero((scores > 0) & (scores >= kth))
+        hit = hit[np.lexsort((hit, -scores[hit]))[:k]]
+        return hit, scores[hit]
+
+    def score(self, places: np.ndarray, counts: np.ndarray, others: np.ndarray, k: int) -> tuple[float, list[tuple]]:
         if not len(self.ids):
             return self.overall, []
         if not len(places):
             return self.plain, []
-        at, cosine = self.nearest(places, self.vector(places, counts), k)
+        at, cosine = self.nearest(places, self.vector(places, counts, others), k)
         if not len(at):
             return self.plain, []
-        votes = cosine * cosine * self.weight[at]
-        votes = votes / self.weight[at].mean()
+        square = np.minimum(cosine, 1.0) ** 2
+        votes = square / (1 - square + NEAR) * self.weight[at] / self.weight[at].mean()
         score = (float((votes * self.toxic[at]).sum()) + SHRINK * self.overall) / (float(votes.sum()) + SHRINK)
         return min(max(score, 0.0), 1.0), [
             (int(self.ids[i]), int(self.toxic[i]), float(c)) for i, c in zip(at[:3], cosine[:3])]
 
 
-def build_index(rows: list[tuple], df: np.ndarray, n_docs: int) -> Index:
-    """Index over ``(doc_id, toxic, weight, places, counts)`` rows."""
-    rows = sorted(rows, key=lambda r: (r[0], r[1], list(r[3]), list(r[4])))
-    idf = np.log((1 + n_docs) / (1 + df)) + 1
+def build_index(rows: list[tuple], df: np.ndarray, n_docs: int, boost: np.ndarray | None = None) -> Index:
+    """Index over ``(doc_id, toxic, weight, places, counts)`` rows; examples of a class stand together."""
+    rows = sorted(rows, key=lambda r: (r[1], r[0], list(r[3]), list(r[4])))
+    factors = (np.log((1 + n_docs) / (1 + df)) + 1) * (1.0 if boost is None else boost)
     total = sum(r[2] for r in rows)
     overall = sum(r[1] * r[2] for r in rows) / total if total else 0.0
     bare = [r for r in rows if not len(r[3])]
     plain = (sum(r[1] * r[2] for r in bare) + overall) / (sum(r[2] for r in bare) + 1)
+    none = np.zeros(0, np.int64)
     index = Index(
-        idf, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float),
-        np.array([r[2] for r in rows], float), plain, overall)
-    postings: list[list] = [[] for _ in idf]
-    for example, (_, _, _, places, counts) in enumerate(rows):
-        if len(places):
-            places = np.asarray(places, np.int64)
-            for place, w in zip(places, index.vector(places, np.asarray(counts, float))):
-                postings[place].append((example, w))
-    blocks = -(-max(len(rows), 1) // BLOCK)
-    index.tops = np.zeros((len(idf), blocks))
-    for place, entries in enumerate(postings):
-        at = np.array([e for e, _ in entries], np.int64)
-        weights = np.array([w for _, w in entries])
-        index.lists.append((at, weights, np.searchsorted(at, np.arange(blocks + 1) * BLOCK)))
-        if len(at):
-            np.maximum.at(index.tops[place], at // BLOCK, weights)
+        factors, math.log((1 + n_docs) / 2) + 1, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float),
+        np.array([r[2] for r in rows], float), plain, overall, none, none, none, none, none, none)
+    term = [np.asarray(r[3], np.int64) for r in rows]
+    weights = [index.vector(p, np.asarray(r[4], float), none) if len(p) else np.zeros(0) for p, r in zip(term, rows)]
+    example = np.repeat(np.arange(len(rows)), [len(p) for p in term])
+    term, weights = np.concatenate([none, *term]), np.concatenate([np.zeros(0), *weights])
+    order = np.lexsort((example, term))
+    term, index.examples, index.weights = term[order], example[order], weights[order]
+    # An entry for each term and block that has postings.
+    block = index.examples // BLOCK
+    fresh = np.ones(len(term), bool)
+    fresh[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+    begin = np.flatnonzero(fresh)
+    index.starts, index.blocks = np.append(begin, len(term)), block[begin]
+    index.tops = np.maximum.reduceat(index.weights, begin) if len(begin) else np.zeros(0)
+    index.terms = np.searchsorted(term[begin], np.arange(len(factors) + 1))
     return index
 
 
@@ -194,20 +224,35 @@ def _term_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         "c": pa.array([clean[n] for n in names], pa.int64())})
 
 
-def choose_terms(texts: DataFrame, most: int = TERMS) -> list[str]:
-    """The vocabulary from ``texts(text, toxic)``, terms of the highest z first."""
+def choose_terms(texts: DataFrame) -> tuple[list[str], np.ndarray]:
+    """All words of ``texts(text, toxic)`` and the telling first letters, with their boosts."""
     sizes = dict(texts.groupBy("toxic").count().collect())
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    if not n1 or not n0:
-        return []
-    seen = texts.mapInArrow(_term_counter, "term string, t long, c long").groupBy("term").agg(
+    seen = texts.select("text", "toxic").mapInArrow(_term_counter, "term string, t long, c long").groupBy("term").agg(
         F.sum("t").alias("t"), F.sum("c").alias("c"))
-    pooled = (F.col("t") + F.col("c")) / (n1 + n0)
-    spread = F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
-    z = F.when(spread > 0, (F.col("t") / n1 - F.col("c") / n0) / spread)
-    top = seen.filter(F.col("t") >= LEAST_TOXIC).withColumn("z", z).filter(
-        (F.col("z") >= LEAST_Z) & (F.col("t") / n1 >= LEAST_LIFT * (F.col("c") + 0.5) / n0))
-    return [r.term for r in top.orderBy(F.desc("z"), "term").limit(most).select("term").collect()]
+    telling = F.lit(False)
+    if n1 and n0:
+        pooled = (F.col("t") + F.col("c")) / (n1 + n0)
+        spread = F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
+        z = F.when(spread > 0, (F.col("t") / n1 - F.col("c") / n0) / spread)
+        telling = F.coalesce((z >= LEAST_Z) & (F.col("t") / n1 >= LEAST_LIFT * (F.col("c") + 0.5) / n0), F.lit(False))
+    kept = seen.select("term", telling.alias("telling")).filter(F.col("telling") | ~F.startswith(F.col("term"), F.lit("^")))
+    rows = kept.orderBy("term").collect()  # the words of the bounded examples
+    return [r.term for r in rows], np.array([BOOST if r.telling else 1.0 for r in rows])
+
+
+def _frequencies(vocabulary: list[str]):
+    """Numbers of texts that have each term, summed up for each task."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, n = Vectors(vocabulary), 0
+        seen: Counter = Counter()
+        for batch in batches:
+            n += batch.num_rows
+            for text in batch.column(0):
+                seen.update(vectors.counts(text.as_py() or "")[0].keys())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([-1, *seen.keys()], pa.int64()), pa.array([n, *seen.values()], pa.int64())], ["place", "n"])
+    return work
 
 
 def _vectoriser(vocabulary: list[str]):
@@ -215,39 +260,35 @@ def _vectoriser(vocabulary: list[str]):
         vectors = Vectors(vocabulary)
         for batch in batches:
             places, counts, lengths = [], [], []
-            for text in batch.column(1):
-                own = vectors.counts(text.as_py() or "")
+            for text in batch.column("text"):
+                own, _ = vectors.counts(text.as_py() or "")
                 keys = sorted(own)
                 places += keys
                 counts += [own[i] for i in keys]
                 lengths.append(len(keys))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), C.list_array(np.array(places, np.int32), lengths, pa.int32()),
-                 C.list_array(np.array(counts, np.int32), lengths, pa.int32())], ["doc_id", "places", "counts"])
+                [batch.column("doc_id"), batch.column("toxic"), batch.column("weight"),
+                 C.list_array(np.array(places, np.int32), lengths, pa.int32()),
+                 C.list_array(np.array(counts, np.int32), lengths, pa.int32())], ["doc_id", "toxic", "weight", "places", "counts"])
     return work
 
 
 class _Scorer:
-    def __init__(self, index: Index, k: int):
-        self.index, self.k = index, k
-        self.known: dict[tuple, tuple] = {}
+    def __init__(self, vocabulary: list[str], index: Index, k: int):
+        self.vectors, self.index, self.k = Vectors(vocabulary), index, k
 
-    def __call__(self, places: tuple, counts: tuple) -> tuple[float, list[tuple]]:
-        key = (places, counts)
-        got = self.known.get(key)
-        if got is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            got = self.known[key] = self.index.score(np.array(places, np.int64), np.array(counts, float), self.k)
-        return got
+    def __call__(self, text: str | None) -> tuple[float, list[tuple]]:
+        own, others = self.vectors.counts(text or "")
+        places = np.array(sorted(own), np.int64)
+        return self.index.score(places, np.array([own[i] for i in places.tolist()], float), np.array(others, float), self.k)
 
 
-def _vector_scorer(index: Index, k: int):
+def _text_scorer(vocabulary: list[str], index: Index, k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(index, k)
+        scorer = _Scorer(vocabulary, index, k)
         evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
         for batch in batches:
-            got = [scorer(tuple(p), tuple(c)) for p, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            got = [scorer(text.as_py()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([s for s, _ in got], pa.float64()),
                  pa.array([[dict(zip(("doc_id", "toxic", "cosine"), e)) for e in ev] for _, ev in got], evidence)],
@@ -257,33 +298,34 @@ def _vector_scorer(index: Index, k: int):
 
 def _row_filter(vocabulary: list[str], index: Index, k: int, threshold: float, text_at: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, scorer = Vectors(vocabulary), _Scorer(index, k)
+        scorer = _Scorer(vocabulary, index, k)
         for batch in batches:
-            keep = []
-            for text in batch.column(text_at):
-                own = vectors.counts(text.as_py() or "")
-                places = tuple(sorted(own))
-                keep.append(scorer(places, tuple(own[i] for i in places))[0] < threshold)
+            keep = [scorer(text.as_py())[0] < threshold for text in batch.column(text_at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
     return work
 
 
-def _fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None) -> tuple[list[str], Index, DataFrame]:
-    """Vocabulary, index and the vectors of all documents (staged)."""
+def _fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None) -> tuple[list[str], Index]:
+    """Vocabulary and index; reads the examples' texts, then all texts for the frequencies."""
     examples = examples_of(labels, learn_from)
     # The examples are at most 2 * EXAMPLES narrow rows.
-    texts = docs.select("doc_id", "text").join(F.broadcast(examples), "doc_id").select("text", "toxic")
-    vocabulary = choose_terms(C.staged(texts, "toxicity-texts"))
-    vectors = C.staged(docs.select("doc_id", "text").mapInArrow(
-        _vectoriser(vocabulary), "doc_id long, places array<int>, counts array<int>"), "toxicity-vectors")
-    df = np.zeros(len(vocabulary))
-    for place, n in vectors.select(F.explode("places").alias("p")).groupBy("p").count().collect():
-        df[place] = n
-    rows = vectors.join(F.broadcast(examples), "doc_id").select("doc_id", "toxic", "weight", "places", "counts")
+    texts = C.staged(docs.select("doc_id", "text").join(F.broadcast(examples), "doc_id"), "toxicity-texts")
+    vocabulary, boost = choose_terms(texts)
+    df, n_docs = np.zeros(len(vocabulary)), 0
+    for place, n in docs.select("text").mapInArrow(_frequencies(vocabulary), "place long, n long").groupBy("place").agg(
+            F.sum("n")).collect():
+        if place < 0:
+            n_docs = n
+        else:
+            df[place] = n
+    rows = texts.mapInArrow(
+        _vectoriser(vocabulary), "doc_id long, toxic int, weight double, places array<int>, counts array<int>")
     # Rows that share an id give one example: the ids bound what the driver sees.
     rows = rows.groupBy("doc_id", "toxic", "weight").agg(F.min(F.struct("places", "counts")).alias("v"))
     rows = [(r.doc_id, r.toxic, r.weight, r.v.places, r.v.counts) for r in rows.collect()]
-    return vocabulary, build_index(rows, df, vectors.count()), vectors
+    C.discard(texts)
+    C.discard(examples)
+    return vocabulary, build_index(rows, df, n_docs, boost)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, k: int = NEIGHBOURS) -> DataFrame:
@@ -297,9 +339,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column | None = Non
     repeated results. Without labels every score is 0. Other columns are not read. An
     empty table gives an empty table.
     """
-    _, index, vectors = _fit(docs, labels, learn_from)
-    return vectors.mapInArrow(
-        _vector_scorer(index, k),
+    vocabulary, index = _fit(docs, labels, learn_from)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        _text_scorer(vocabulary, index, k),
         "doc_id long, score double, evidence array<struct<doc_id:long,toxic:int,cosine:double>>")
 
 
@@ -309,6 +351,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, learn_from: Column | None = N
 
     Rows are scored where they are; texts are not shuffled. Otherwise as ``toxicity``.
     """
-    vocabulary, index, _ = _fit(docs, labels, learn_from)
+    vocabulary, index = _fit(docs, labels, learn_from)
     work = _row_filter(vocabulary, index, k, threshold, docs.columns.index("text"))
     return docs.mapInArrow(work, docs.schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -269,14 +270,15 @@ def test_block_max_search_is_exact():
     for i in range(700):
         places = np.sort(rng.choice(50, rng.integers(0, 6), replace=False))
         rows.append((i, int(rng.random() < 0.3), 1.0, places.tolist(), rng.integers(1, 4, len(places)).tolist()))
+    rows.sort(key=lambda r: (r[1], r[0]))  # as the index has them
     index = toxicity.build_index(rows, rng.integers(1, 300, 50).astype(float), 1000)
     dense = np.zeros((len(rows), 50))
     for i, (_, _, _, places, counts) in enumerate(rows):
         if places:
-            dense[i, places] = index.vector(np.array(places), np.array(counts, float))
+            dense[i, places] = index.vector(np.array(places), np.array(counts, float), np.zeros(0))
     for _ in range(100):
         places = np.sort(rng.choice(50, 4, replace=False))
-        query = index.vector(places, rng.integers(1, 4, 4).astype(float))
+        query = index.vector(places, rng.integers(1, 4, 4).astype(float), np.array([2.0]))
         at, cosine = index.nearest(places, query, 15)
         want = dense[:, places] @ query
         order = np.lexsort((np.arange(len(rows)), -np.round(want, 12)))[:15]
@@ -300,6 +302,39 @@ def test_toxic_documents_are_found(spark, documents):
     assert left == {i for i in range(600) if i % 5}
 
 
+def test_copies_of_toxic_examples_are_found(spark, documents):
+    """Whole and near copies of labelled toxic texts that no other example shares a rare word with; scores by brute force."""
+    rng = random.Random(9)
+    text = lambda i: [f"word{rng.randrange(400)}" for _ in range(40)] + [f"rare{i}a", f"rare{i}b"]
+    texts = {i: text(i) for i in range(300)}
+    rows = [(i, " ".join(t)) for i, t in texts.items()]
+    rows += [(1000 + i, " ".join(texts[i])) for i in range(0, 300, 10)]
+    rows += [(2000 + i, " ".join(texts[i][:18] + ["other"] + texts[i][19:])) for i in range(0, 300, 10)]
+    rows += [(3000 + i, " ".join(text(3000 + i))) for i in range(50)] + [(4000, ""), (4001, None)]
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(documents(rows), labels).collect()}
+    assert all(got[n + i].score >= 0.5 and got[n + i].evidence[0].doc_id == i for n in (0, 1000, 2000) for i in range(0, 300, 10))
+    assert all(got[i].score < 0.5 for i in got if i >= 3000 or i < 300 and i % 10)
+
+    # The whole query in plain Python: vectors over all words, every example compared.
+    split = {i: Counter((t or "").split()) for i, t in rows}
+    df = Counter(w for c in split.values() for w in c)
+    words = {w for i in range(300) for w in texts[i]}
+    idf = {w: math.log((1 + len(rows)) / (1 + (df[w] if w in words else 1))) + 1 for w in df}
+    vector = {i: {w: (1 + math.log(n)) * idf[w] for w, n in c.items()} for i, c in split.items()}
+    size = {i: math.sqrt(sum(x * x for x in v.values())) or 1.0 for i, v in vector.items()}
+    for i in rng.sample(list(split), 60):
+        cosine = {j: sum(x * vector[j].get(w, 0) for w, x in vector[i].items()) / size[i] / size[j] for j in range(300)}
+        best = sorted((-round(c, 9), j % 10 == 0, j) for j, c in cosine.items() if c > 0)[:15]
+        if not best:
+            continue
+        # Each class is whole among the examples, so every weight is 1.
+        best = [(-c, int(toxic)) for c, toxic, _ in best]
+        votes = [(min(c, 1.0) ** 2 / (1 - min(c, 1.0) ** 2 + toxicity.NEAR), t) for c, t in best]
+        want = (sum(v * t for v, t in votes) + 0.1) / (sum(v for v, _ in votes) + 1)
+        assert abs(got[i].score - want) < 1e-4
+
+
 def test_page_regions(spark):
     page = """<html><body><div class="site-header"><a href=/>Home</a></div><main><h2>Title here now</h2>
     <p>if a < b &amp; c para one with <a href=x>linked words</a> more.</p><pre>x   y
