@@ -9,8 +9,9 @@ ones count ``BOOST`` times, so that a few telling words aren't lost in a long te
 
 The index is an inverted list for each term, ordered by example and cut into blocks
 that know their largest weight (Ding and Suel, "Faster Top-k Document Retrieval Using
-Block-Max Indexes", SIGIR 2011). A query scores the blocks of the highest bounds first,
-then all others whose bound reaches the k-th best cosine so far, so the neighbours are exact.
+Block-Max Indexes", SIGIR 2011). The lists of rarer terms are added up; the long lists of
+frequent ones are read block by block, for the queries whose bound for the block reaches
+their k-th best cosine so far, so the neighbours are exact.
 
 The score is the share of toxic neighbours, each weighted by its nearness,
 ``cos^2 / (1 - cos^2 + NEAR)``, and by how many labelled rows of its class it stands for,
@@ -28,6 +29,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,9 @@ LEAST_LIFT = 6.0     # share of toxic examples with it to that of clean ones,
 BOOST = 30.0         # and weight
 NEAR = 0.02
 NEIGHBOURS = 15
-FIRST = 8            # blocks that are scored before the others are looked at
+DENSE = 512          # terms that are multiplied as a matrix
+QUERIES = 128        # texts that are searched together
+LOOKS = (8, 24, 64)  # numbers of scored blocks after which the k-th best is looked up
 BLOCK = 64
 SHRINK = 1.0         # weight of the overall share among the votes
 REMEMBERED = 400_000
@@ -112,49 +116,89 @@ class Index:
     overall: float
     examples: np.ndarray   # postings by term, block and example
     weights: np.ndarray
-    terms: np.ndarray      # first block entry of each term, and the end
-    blocks: np.ndarray     # of each entry: its block,
-    starts: np.ndarray     # its first posting, and the end,
-    tops: np.ndarray       # its largest weight
+    terms: np.ndarray      # first block of each term's list, and the end
+    starts: np.ndarray     # first posting of each such block, and the end
 
     def vector(self, places: np.ndarray, counts: np.ndarray, others: np.ndarray) -> np.ndarray:
         v = (1 + np.log(counts)) * self.factors[places]
         rest = ((1 + np.log(others)) * self.foreign) if len(others) else np.zeros(1)
         return v / np.sqrt((v * v).sum() + (rest * rest).sum())
 
-    def nearest(self, places: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest positive cosine, ties to the earlier example."""
-        lengths = self.terms[places + 1] - self.terms[places]
-        entries, q = _spans(self.terms[places], lengths), np.repeat(query, lengths)
-        bounds = np.bincount(self.blocks[entries], q * self.tops[entries], -(-len(self.ids) // BLOCK))
-
-        def scored(chosen: np.ndarray) -> np.ndarray:
-            own = chosen[self.blocks[entries]]
-            e = entries[own]
-            sizes = self.starts[e + 1] - self.starts[e]
-            at = _spans(self.starts[e], sizes)
-            return np.bincount(self.examples[at], np.repeat(q[own], sizes) * self.weights[at], len(self.ids))
-
-        first = np.zeros(len(bounds), bool)
-        first[np.argsort(-bounds, kind="stable")[:FIRST]] = True
-        scores = scored(first)
-        kth = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
-        rest = ~first & (bounds > 0) & (bounds >= kth - 1e-9)
-        if rest.any():
-            scores += scored(rest)
-            kth = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
-        hit = np.flatnonzero((scores > 0) & (scores >= kth))
-        hit = hit[np.lexsort((hit, -scores[hit]))[:k]]
-        return hit, scores[hit]
-
-    def score(self, places: np.ndarray, counts: np.ndarray, others: np.ndarray, k: int) -> tuple[float, list[tuple]]:
-        if not len(self.ids):
-            return self.overall, []
-        if not len(places):
-            return self.plain, []
-        at, cosine = self.nearest(places, self.vector(places, counts, others), k)
-        if not len(at):
-            return self.plain, []
+    @cached_property
+    def dense(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ``DENSE`` terms of most postings as columns over the examples, their block tops, and each term's column or -1.
+
+        Made where it is used; the lists alone travel.
+        """
+        sizes = self.starts[self.terms[1:]] - self.starts[self.terms[:-1]]
+        often = np.sort(np.argsort(-sizes, kind="stable")[:DENSE])
+        columns = np.zeros((len(often), self.n_blocks * BLOCK))
+        for row, term in enumerate(often):
+            at = slice(self.starts[self.terms[term]], self.starts[self.terms[term + 1]])
+            columns[row, self.examples[at]] = self.weights[at]
+        place = np.full(len(sizes), -1)
+        place[often] = np.arange(len(often))
+        return columns, columns.reshape(len(often), self.n_blocks, BLOCK).max(2), place
+
+    @property
+    def n_blocks(self) -> int:
+        return -(-len(self.ids) // BLOCK)
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each ``(places, vector)`` the k examples of highest positive cosine, ties to the earlier example.
+
+        The postings of the rarer terms are added up; for the others every block has a
+        bound. A block is scored for the queries whose bound there reaches their k-th
+        best cosine so far.
+        """
+        columns, tops, place = self.dense
+        often, width = np.zeros((len(queries), len(columns))), self.n_blocks * BLOCK
+        scores = np.zeros((len(queries), width))
+        for row, (places, vector) in enumerate(queries):
+            own = place[places]
+            often[row, own[own >= 0]] = vector[own >= 0]
+            rare, q = places[own < 0], vector[own < 0]
+            begin = self.starts[self.terms[rare]]
+            sizes = self.starts[self.terms[rare + 1]] - begin
+            at = _spans(begin, sizes)
+            scores[row] = np.bincount(self.examples[at], np.repeat(q, sizes) * self.weights[at], width)
+        bounds = often @ tops + scores.reshape(len(queries), self.n_blocks, BLOCK).max(2)
+        rank, kth = min(k, width), np.zeros(len(queries))
+        seen = np.zeros((len(queries), self.n_blocks), bool)
+        for turn, b in enumerate(np.argsort(-bounds.max(0), kind="stable")):
+            if turn in LOOKS:  # scores of blocks not seen yet are too low, so this is a lower bound
+                kth = np.partition(scores, -rank, 1)[:, -rank]
+            asked = np.flatnonzero((bounds[:, b] > 0) & (bounds[:, b] >= kth - 1e-9))
+            at = slice(b * BLOCK, (b + 1) * BLOCK)
+            scores[asked, at] += often[asked] @ columns[:, at]
+            seen[asked, b] = True
+        # What a query has not scored can't be among its nearest, but must not stand half scored.
+        scores.reshape(len(queries), self.n_blocks, BLOCK)[~seen] = 0
+        out = []
+        for row in scores:
+            least = np.partition(row, -rank)[-rank]
+            hit = np.flatnonzero((row > 1e-12) & (row >= least - 1e-12))
+            hit = hit[np.lexsort((hit, -np.round(row[hit], 12)))[:k]]
+            out.append((hit, row[hit]))
+        return out
+
+    def scored(self, counts: list[tuple[dict[int, int], list[int]]], k: int) -> list[tuple[float, list[tuple]]]:
+        """Score and evidence of each text, given the occurrences of its terms and other words."""
+        out: list = [(self.plain if len(self.ids) else self.overall, [])] * len(counts)
+        asked = [row for row, (own, _) in enumerate(counts) if own] if len(self.ids) else []
+        for first in range(0, len(asked), QUERIES):
+            rows, queries = asked[first:first + QUERIES], []
+            for row in rows:
+                own, others = counts[row]
+                places = np.array(sorted(own), np.int64)
+                queries.append((places, self.vector(
+                    places, np.array([own[i] for i in places.tolist()], float), np.array(others, float))))
+            for row, (at, cosine) in zip(rows, self.nearest(queries, k)):
+                if len(at):
+                    out[row] = self._vote(at, cosine)
+        return out
+
+    def _vote(self, at: np.ndarray, cosine: np.ndarray) -> tuple[float, list[tuple]]:
         square = np.minimum(cosine, 1.0) ** 2
         votes = square / (1 - square + NEAR) * self.weight[at] / self.weight[at].mean()
         score = (float((votes * self.toxic[at]).sum()) + SHRINK * self.overall) / (float(votes.sum()) + SHRINK)
@@ -164,7 +208,7 @@ class Index:
 
 def build_index(rows: list[tuple], df: np.ndarray, n_docs: int, boost: np.ndarray | None = None) -> Index:
     """Index over ``(doc_id, toxic, weight, places, counts)`` rows; examples of a class stand together."""
-    rows = sorted(rows, key=lambda r: (r[1], r[0], list(r[3]), list(r[4])))
+    rows = sorted(rows, key=lambda r: (r[1], r[0]))
     factors = (np.log((1 + n_docs) / (1 + df)) + 1) * (1.0 if boost is None else boost)
     total = sum(r[2] for r in rows)
     overall = sum(r[1] * r[2] for r in rows) / total if total else 0.0
@@ -173,7 +217,7 @@ def build_index(rows: list[tuple], df: np.ndarray, n_docs: int, boost: np.ndarra
     none = np.zeros(0, np.int64)
     index = Index(
         factors, math.log((1 + n_docs) / 2) + 1, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float),
-        np.array([r[2] for r in rows], float), plain, overall, none, none, none, none, none, none)
+        np.array([r[2] for r in rows], float), plain, overall, none, none, none, none)
     term = [np.asarray(r[3], np.int64) for r in rows]
     weights = [index.vector(p, np.asarray(r[4], float), none) if len(p) else np.zeros(0) for p, r in zip(term, rows)]
     example = np.repeat(np.arange(len(rows)), [len(p) for p in term])
@@ -185,8 +229,7 @@ def build_index(rows: list[tuple], df: np.ndarray, n_docs: int, boost: np.ndarra
     fresh = np.ones(len(term), bool)
     fresh[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
     begin = np.flatnonzero(fresh)
-    index.starts, index.blocks = np.append(begin, len(term)), block[begin]
-    index.tops = np.maximum.reduceat(index.weights, begin) if len(begin) else np.zeros(0)
+    index.starts, index.examples = np.append(begin, len(term)), index.examples.astype(np.int32)
     index.terms = np.searchsorted(term[begin], np.arange(len(factors) + 1))
     return index
 
@@ -237,8 +280,8 @@ def choose_terms(texts: DataFrame) -> tuple[list[str], np.ndarray]:
         z = F.when(spread > 0, (F.col("t") / n1 - F.col("c") / n0) / spread)
         telling = F.coalesce((z >= LEAST_Z) & (F.col("t") / n1 >= LEAST_LIFT * (F.col("c") + 0.5) / n0), F.lit(False))
     kept = seen.select("term", telling.alias("telling")).filter(F.col("telling") | ~F.startswith(F.col("term"), F.lit("^")))
-    rows = kept.orderBy("term").collect()  # the words of the bounded examples
-    return [r.term for r in rows], np.array([BOOST if r.telling else 1.0 for r in rows])
+    rows = kept.orderBy("term").toArrow()  # the words of the bounded examples
+    return rows["term"].to_pylist(), np.where(rows["telling"].to_numpy(), BOOST, 1.0)
 
 
 def _frequencies(vocabulary: list[str]):
@@ -277,10 +320,12 @@ class _Scorer:
     def __init__(self, vocabulary: list[str], index: Index, k: int):
         self.vectors, self.index, self.k = Vectors(vocabulary), index, k
 
-    def __call__(self, text: str | None) -> tuple[float, list[tuple]]:
-        own, others = self.vectors.counts(text or "")
-        places = np.array(sorted(own), np.int64)
-        return self.index.score(places, np.array([own[i] for i in places.tolist()], float), np.array(others, float), self.k)
+    def __call__(self, texts: pa.Array) -> list[tuple[float, list[tuple]]]:
+        out = []
+        for first in range(0, len(texts), QUERIES):
+            part = texts[first:first + QUERIES]
+            out += self.index.scored([self.vectors.counts(t.as_py() or "") for t in part], self.k)
+        return out
 
 
 def _text_scorer(vocabulary: list[str], index: Index, k: int):
@@ -288,7 +333,7 @@ def _text_scorer(vocabulary: list[str], index: Index, k: int):
         scorer = _Scorer(vocabulary, index, k)
         evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
         for batch in batches:
-            got = [scorer(text.as_py()) for text in batch.column(1)]
+            got = scorer(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([s for s, _ in got], pa.float64()),
                  pa.array([[dict(zip(("doc_id", "toxic", "cosine"), e)) for e in ev] for _, ev in got], evidence)],
@@ -300,7 +345,7 @@ def _row_filter(vocabulary: list[str], index: Index, k: int, threshold: float, t
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(vocabulary, index, k)
         for batch in batches:
-            keep = [scorer(text.as_py())[0] < threshold for text in batch.column(text_at)]
+            keep = [score < threshold for score, _ in scorer(batch.column(text_at))]
             yield batch.filter(pa.array(keep, pa.bool_()))
     return work
 
@@ -311,18 +356,19 @@ def _fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None) -> tuple
     # The examples are at most 2 * EXAMPLES narrow rows.
     texts = C.staged(docs.select("doc_id", "text").join(F.broadcast(examples), "doc_id"), "toxicity-texts")
     vocabulary, boost = choose_terms(texts)
-    df, n_docs = np.zeros(len(vocabulary)), 0
-    for place, n in docs.select("text").mapInArrow(_frequencies(vocabulary), "place long, n long").groupBy("place").agg(
-            F.sum("n")).collect():
-        if place < 0:
-            n_docs = n
-        else:
-            df[place] = n
+    seen = docs.select("text").mapInArrow(_frequencies(vocabulary), "place long, n long").groupBy("place").agg(
+        F.sum("n").alias("n")).toArrow()
+    place, n = seen["place"].to_numpy(), seen["n"].to_numpy()
+    df = np.zeros(len(vocabulary))
+    df[place[place >= 0]] = n[place >= 0]
+    n_docs = int(n[place < 0].sum())
     rows = texts.mapInArrow(
         _vectoriser(vocabulary), "doc_id long, toxic int, weight double, places array<int>, counts array<int>")
     # Rows that share an id give one example: the ids bound what the driver sees.
     rows = rows.groupBy("doc_id", "toxic", "weight").agg(F.min(F.struct("places", "counts")).alias("v"))
-    rows = [(r.doc_id, r.toxic, r.weight, r.v.places, r.v.counts) for r in rows.collect()]
+    found = rows.select("doc_id", "toxic", "weight", "v.places", "v.counts").toArrow()
+    lists = [[x.values.to_numpy(zero_copy_only=False) for x in found[c]] for c in ("places", "counts")]
+    rows = list(zip(*(found[c].to_pylist() for c in ("doc_id", "toxic", "weight")), *lists))
     C.discard(texts)
     C.discard(examples)
     return vocabulary, build_index(rows, df, n_docs, boost)

@@ -276,13 +276,18 @@ def test_block_max_search_is_exact():
     for i, (_, _, _, places, counts) in enumerate(rows):
         if places:
             dense[i, places] = index.vector(np.array(places), np.array(counts, float), np.zeros(0))
-    for _ in range(100):
-        places = np.sort(rng.choice(50, 4, replace=False))
-        query = index.vector(places, rng.integers(1, 4, 4).astype(float), np.array([2.0]))
-        at, cosine = index.nearest(places, query, 15)
-        want = dense[:, places] @ query
-        order = np.lexsort((np.arange(len(rows)), -np.round(want, 12)))[:15]
-        assert np.allclose(cosine, want[order]) and (want[at] > 0).all()
+    for few in (512, 7, 0):
+        toxicity.DENSE, index.__dict__["dense"] = few, None
+        del index.__dict__["dense"]
+        queries = []
+        for _ in range(100):
+            places = np.sort(rng.choice(50, 4, replace=False))
+            queries.append((places, index.vector(places, rng.integers(1, 4, 4).astype(float), np.array([2.0]))))
+        for (places, query), (at, cosine) in zip(queries, index.nearest(queries, 15)):
+            want = dense[:, places] @ query
+            order = np.lexsort((np.arange(len(rows)), -np.round(want, 12)))[:15]
+            assert np.allclose(cosine, want[order]) and (at == order).all()
+    toxicity.DENSE = 512
 
 
 def test_toxic_documents_are_found(spark, documents):
