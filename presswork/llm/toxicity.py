@@ -30,6 +30,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ NEAR = 0.02
 NEIGHBOURS = 15
 DENSE = 512          # terms that are multiplied as a matrix
 QUERIES = 128        # texts that are searched together
-LOOKS = (8, 24, 64)  # numbers of scored blocks after which the k-th best is looked up
+LOOKS = (16,)        # numbers of scored blocks after which the k-th best is looked up
 BLOCK = 64
 SHRINK = 1.0         # weight of the overall share among the votes
 REMEMBERED = 400_000
@@ -74,20 +75,27 @@ class Vectors:
         self.places = {t: i for i, t in enumerate(vocabulary)}
         self.known: dict[str, tuple[int, ...]] = {}
 
+    def terms(self, token: str) -> tuple[int, ...]:
+        """Terms of a token, -1 in front when its word is none of them."""
+        own = self.known.get(token)
+        if own is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            terms, places = terms_of(token), self.places
+            own = tuple(places[t] for t in terms if t in places)
+            own = self.known[token] = own if not terms or terms[0] in places else (-1, *own)
+        return own
+
+    def distinct(self, text: str) -> set[int]:
+        """The terms of a text, and -1 for words that are none."""
+        return set(chain.from_iterable(map(self.terms, set(text.lower().split()))))
+
     def counts(self, text: str) -> tuple[dict[int, int], list[int]]:
         """Occurrences of the terms, and of each word that is none."""
         out: dict[int, int] = {}
         others: dict[str, int] = {}
-        known, places = self.known, self.places
         for token, n in Counter(text.lower().split()).items():
-            own = known.get(token)
-            if own is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                terms = terms_of(token)
-                own = known[token] = tuple(places[t] for t in terms if t in places) if not terms or terms[0] in places else (
-                    -1, *(places[t] for t in terms if t in places))
-            for i in own:
+            for i in self.terms(token):
                 if i < 0:
                     word = token.strip(_EDGES)
                     others[word] = others.get(word, 0) + n
@@ -292,7 +300,8 @@ def _frequencies(vocabulary: list[str]):
         for batch in batches:
             n += batch.num_rows
             for text in batch.column(0):
-                seen.update(vectors.counts(text.as_py() or "")[0].keys())
+                seen.update(vectors.distinct(text.as_py() or ""))
+        seen.pop(-1, None)
         yield pa.RecordBatch.from_arrays(
             [pa.array([-1, *seen.keys()], pa.int64()), pa.array([n, *seen.values()], pa.int64())], ["place", "n"])
     return work
