@@ -68,40 +68,45 @@ def terms_of(token: str) -> list[str]:
     return out
 
 
+class _Known(dict):
+    """Terms of tokens: places in the vocabulary, and the word itself when it has none."""
+
+    def __init__(self, places: dict[str, int], words: bool):
+        super().__init__()
+        self.places, self.words = places, words
+        self.beginnings = any(t[0] == "^" for t in places)
+
+    def __missing__(self, token: str) -> tuple:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        word, places = token.strip(_EDGES), self.places
+        place = places.get(word)
+        own = (place,) if place is not None else (word,) if self.words and word else ()
+        if self.beginnings:  # as in ``terms_of``
+            own += tuple(places[b] for b in ("^" + word[:n] for n in (4, 5) if len(word) > n) if b in places)
+        self[token] = own
+        return own
+
+
 class Vectors:
     """Term counts of texts over a vocabulary."""
 
-    def __init__(self, vocabulary: list[str]):
-        self.places = {t: i for i, t in enumerate(vocabulary)}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def terms(self, token: str) -> tuple[int, ...]:
-        """Terms of a token, -1 in front when its word is none of them."""
-        own = self.known.get(token)
-        if own is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            terms, places = terms_of(token), self.places
-            own = tuple(places[t] for t in terms if t in places)
-            own = self.known[token] = own if not terms or terms[0] in places else (-1, *own)
-        return own
+    def __init__(self, vocabulary: list[str], words: bool = True):
+        self.known = _Known({t: i for i, t in enumerate(vocabulary)}, words)
 
     def distinct(self, text: str) -> set[int]:
-        """The terms of a text, and -1 for words that are none."""
-        return set(chain.from_iterable(map(self.terms, set(text.lower().split()))))
+        """The terms of a text, and with ``words`` the words that are none."""
+        return set(chain.from_iterable(map(self.known.__getitem__, set(text.lower().split()))))
 
     def counts(self, text: str) -> tuple[dict[int, int], list[int]]:
         """Occurrences of the terms, and of each word that is none."""
-        out: dict[int, int] = {}
-        others: dict[str, int] = {}
+        found: dict = {}
+        known = self.known
         for token, n in Counter(text.lower().split()).items():
-            for i in self.terms(token):
-                if i < 0:
-                    word = token.strip(_EDGES)
-                    others[word] = others.get(word, 0) + n
-                else:
-                    out[i] = out.get(i, 0) + n
-        return out, list(others.values())
+            for i in known[token]:
+                found[i] = found.get(i, 0) + n
+        others = [n for i, n in found.items() if type(i) is str]
+        return {i: n for i, n in found.items() if type(i) is int} if others else found, others
 
 
 def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -295,13 +300,12 @@ def choose_terms(texts: DataFrame) -> tuple[list[str], np.ndarray]:
 def _frequencies(vocabulary: list[str]):
     """Numbers of texts that have each term, summed up for each task."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, n = Vectors(vocabulary), 0
+        vectors, n = Vectors(vocabulary, words=False), 0
         seen: Counter = Counter()
         for batch in batches:
             n += batch.num_rows
             for text in batch.column(0):
                 seen.update(vectors.distinct(text.as_py() or ""))
-        seen.pop(-1, None)
         yield pa.RecordBatch.from_arrays(
             [pa.array([-1, *seen.keys()], pa.int64()), pa.array([n, *seen.values()], pa.int64())], ["place", "n"])
     return work
