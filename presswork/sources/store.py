@@ -37,6 +37,9 @@ WRITER, BATCH = "writer", "batch_id"
 BATCH_JOBS = "batch"
 _PLACE = [T.StructField(WRITER, T.StringType()), T.StructField(BATCH, T.LongType())]
 STORE_SCHEMA = T.StructType([*ARTICLE_SCHEMA.fields, *_PLACE])
+# A staged batch has the bytes of each row's texts beside it.
+SIZE = "_bytes"
+_STAGED_SCHEMA = T.StructType([*ARTICLE_SCHEMA.fields, T.StructField(SIZE, T.LongType())])
 METRICS_SCHEMA = T.StructType([T.StructField("source_name", T.StringType()), T.StructField("total", T.LongType()), *_PLACE])
 # ``key`` is the MD5 of the key's text, ``bucket`` the part's folder of it.
 KEY_SCHEMA = T.StructType([
@@ -46,8 +49,9 @@ KEY_SCHEMA = T.StructType([
 KEYS_PER_BUCKET = 1_000_000
 PART_ROWS = 4_000_000
 FAN = 8
-# Rows in a file, and row groups small enough to be worth skipping.
+# Rows and bytes of text in a file, and row groups small enough to be worth skipping.
 FILE_ROWS = 500_000
+FILE_BYTES = 128 << 20
 # Lookups by id or URL skip row groups by these filters, listings by the order of the rows.
 _SKIPPING = {
     "parquet.bloom.filter.enabled#id": "true", "parquet.bloom.filter.enabled#source_url": "true",
@@ -131,7 +135,8 @@ class ArticleStore:
         buckets = 1 << max(-(-rows // self.keys_per_bucket) - 1, 0).bit_length()
         path = f"keys/part={uuid.uuid4().hex}"
         dealt = keys.select("kind", "key", _bucket(F.col("key"), buckets).alias("bucket"))
-        dealt = dealt.coalesce(1) if buckets == 1 else dealt.repartition("bucket")
+        # Only keys travel: they are worked out where the articles are read.
+        dealt = dealt.repartition(1) if buckets == 1 else dealt.repartition("bucket")
         dealt.write.partitionBy("bucket").parquet(f"{self.root}/{path}")
         return {"path": path, "rows": rows, "buckets": buckets}
 
@@ -207,14 +212,13 @@ class ArticleStore:
         return merges
 
     def _merge_articles(self, parts: list[dict]) -> dict:
-        return self._write_articles(self._read(parts, STORE_SCHEMA), sum(p["rows"] for p in parts))
-
-    def _write_articles(self, rows: DataFrame, count: int) -> dict:
-        """A part laid out by source and time, newest first."""
-        path, files = f"articles/{uuid.uuid4().hex}", max(-(-count // FILE_ROWS), 1)
-        order = ["source_name", F.desc("scrape_timestamp"), SEQ]
-        rows = rows.coalesce(1) if files == 1 else rows.repartitionByRange(files, *order)
-        rows.sortWithinPartitions(*order).write.options(**_SKIPPING).parquet(f"{self.root}/{path}")
+        rows = self._read(parts, STORE_SCHEMA)
+        return self._write_articles(rows, sum(p["rows"] for p in parts), rows.agg(F.sum(_text_bytes())).first()[0])
+
+    def _write_articles(self, rows: DataFrame, count: int, size: int) -> dict:
+        """A part of ``count`` rows with ``size`` bytes of text."""
+        path = f"articles/{uuid.uuid4().hex}"
+        _laid_out(rows, count, size).write.options(**_SKIPPING).parquet(f"{self.root}/{path}")
         return {"path": path, "rows": count}
 
     def _merge_keys(self, parts: list[dict]) -> dict:
@@ -225,7 +229,7 @@ class ArticleStore:
 
     def _write_metrics(self, rows: DataFrame, count: int) -> dict:
         path = f"metrics/{uuid.uuid4().hex}"
-        rows.coalesce(1).write.parquet(f"{self.root}/{path}")
+        rows.coalesce(max(-(-count // FILE_ROWS), 1)).write.parquet(f"{self.root}/{path}")
         return {"path": path, "rows": count}
 
     def vacuum(self, hours: float = 168) -> int:
@@ -278,8 +282,9 @@ class Pending:
             return
         rows = article_rows(batch, now)
         rows = rows if content is None else content_from(rows, content)
-        with_ingest_seq(rows, SEQ, "source_url", "title").select(*ARTICLE_SCHEMA.names).write.parquet(self.staged)
-        self.rows = store.spark.read.schema(ARTICLE_SCHEMA).parquet(self.staged)
+        with_ingest_seq(rows, SEQ, "source_url", "title").select(
+            *ARTICLE_SCHEMA.names, _text_bytes().alias(SIZE)).write.parquet(self.staged)
+        self.rows = store.spark.read.schema(_STAGED_SCHEMA).parquet(self.staged)
         self.undecided = Undecided(self.rows, **options)
         self._look_up(store.state())
 
@@ -315,7 +320,9 @@ class Pending:
             numbered = (F.col(SEQ) + (state["last_seq"] + 1)).alias(SEQ)
             parts, count = {"articles": [], "keys": [], "metrics": []}, accepted.count()
             if count:
-                part = store._write_articles(fresh.select(numbered, *ARTICLE_SCHEMA.names[1:], *place), count)
+                # Reads the numbers and sizes of the rows only.
+                size = fresh.agg(F.sum(SIZE)).first()[0]
+                part = store._write_articles(fresh.select(numbered, *ARTICLE_SCHEMA.names[1:], *place), count, size)
                 parts["articles"].append(part)
                 stored = store._read([part], STORE_SCHEMA)
                 last = stored.agg(F.max(SEQ)).first()[0]
@@ -339,6 +346,23 @@ class Pending:
         return added
 
 
+def _text_bytes() -> Column:
+    """Bytes of the texts of a row."""
+    texts = (f.name for f in ARTICLE_SCHEMA.fields if f.dataType == T.StringType())
+    return reduce(Column.__add__, (F.coalesce(F.octet_length(t), F.lit(0)).cast("long") for t in texts))
+
+
+def _laid_out(rows: DataFrame, count: int, size: int) -> DataFrame:
+    """Rows by source and time, newest first, dealt into files of bounded rows and bytes.
+
+    The rows are read in as many tasks as their table has splits, however few files they make.
+    """
+    files = max(-(-count // FILE_ROWS), -(-size // FILE_BYTES), 1)
+    order = ["source_name", F.desc("scrape_timestamp"), SEQ]
+    dealt = rows.repartition(1) if files == 1 else rows.repartitionByRange(files, *order)
+    return dealt.sortWithinPartitions(*order)
+
+
 def _bucket(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 

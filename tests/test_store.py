@@ -4,12 +4,14 @@ import json
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from presswork.operators import extract
 from presswork.plans.rules import Site, Title, selector
 from presswork.schema import PUBLIC_COLUMNS
 from presswork.sources import files
+from presswork.sources import store as store_module
 from presswork.sources.pages import read_pages
 from presswork.sources.seed import seed_articles
 from presswork.sources.store import ArticleStore, with_ingest_seq
@@ -336,3 +338,42 @@ def test_ingest_seq(spark):
     df = spark.createDataFrame([("b",), ("a",), ("c",)], "k string")
     got = with_ingest_seq(df, "k", start=10).orderBy("ingest_seq").collect()
     assert [r["k"] for r in got] == ["a", "b", "c"] and got[0]["ingest_seq"] >= 10
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    """Few long articles take as many files as their texts need, in order, when added and when merged."""
+    monkeypatch.setattr(store_module, "FILE_BYTES", 50_000, raising=False)
+    rows = [(i, f"u{i}", f"t{i}", "ab"[i % 2], None if i == 7 else str(i) * 5_000) for i in range(40)]
+    batch = spark.createDataFrame(rows, "ingest_seq long, source_url string, title string, source_name string, content string")
+    store = ArticleStore(spark, str(tmp_path / "s"), fan=2).create()
+
+    def files():
+        found = store.articles().groupBy(F.col("_metadata.file_path")).agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("bytes"))
+        return found.select("n", "bytes").collect()
+
+    assert store.add(batch.filter("ingest_seq < 20"), now=Q.now()).count() == 20
+    first = files()
+    assert len(first) >= 3 and max(r["bytes"] for r in first) < 100_000
+    assert store.add(batch.filter("ingest_seq >= 10"), now=Q.now()).count() == 20
+    assert len(store.state()["articles"]) == 1
+    merged = files()
+    assert len(merged) >= 6 and max(r["bytes"] for r in merged) < 100_000 and sum(r["n"] for r in merged) == 40
+    assert sorted((r["source_url"], r["content"]) for r in store.articles().collect()) == sorted((u, c or "") for _, u, _, _, c in rows)
+
+
+def test_no_task_reads_a_whole_batch(spark, tmp_path, monkeypatch):
+    """A batch that makes one file is read in as many tasks as before."""
+    plans = []
+    plain = DataFrameWriter.parquet
+
+    def noted(writer, path, *args, **kwargs):
+        plans.append((path, writer._df._jdf.queryExecution().optimizedPlan().toString()))
+        return plain(writer, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    store = ArticleStore(spark, str(tmp_path / "s")).create()
+    store.add(batch_of(spark, [(1, "u1", "t1", "s"), (2, "u2", "t2", "s")]), now=Q.now())
+    wide = [plan for path, plan in plans if "/articles/" in path or "/keys/" in path]
+    # ``Repartition 1, false`` is a coalesce: one task reads all that is below it.
+    assert len(wide) == 2 and not any("Repartition 1, false" in plan for plan in wide)
+    assert links(store) == ["u1", "u2"]
