@@ -196,7 +196,22 @@ def fields(pages: DataFrame, sites: Iterable[Site] | None = None) -> DataFrame:
 
 def records(pages: DataFrame, sites: Iterable[Site] | None = None) -> DataFrame:
     """One row per page with the article fields and a ``reason`` when rejected."""
-    found = fields(pages, sites).withColumn("title", X.clean_text(F.col("raw_title")))
+    return _records(fields(pages, sites))
+
+
+def _decided(pages: DataFrame, sites: Iterable[Site] | None, wanted: Column) -> DataFrame:
+    """The records that meet a condition on their reason.
+
+    Spark pushes a condition down to the pages, with a copy of the title and of the image
+    for every place where it uses them, so they would be worked out several times. It
+    doesn't push one that uses a number of the row.
+    """
+    numbered = fields(pages, sites).withColumn("_row", F.monotonically_increasing_id())
+    return _records(numbered, "_row").filter(wanted & (F.col("_row") >= 0)).drop("_row")
+
+
+def _records(found: DataFrame, *more: str) -> DataFrame:
+    found = found.withColumn("title", X.clean_text(F.col("raw_title")))
     source, url = F.col("source_name"), F.col("url")
     raw_body = F.when(
         F.col("names_itself") & X.is_blank(F.col("raw_body")),
@@ -211,19 +226,17 @@ def records(pages: DataFrame, sites: Iterable[Site] | None = None) -> DataFrame:
         F.col("page_id").alias("ingest_seq"), id_.alias("id"), "title", "content", "source_name",
         url.alias("source_url"), "image_url",
         image_path(id_, F.col("image_url")).alias("local_image_path"),
-        content_path(id_).alias("local_content_path"), reason.alias("reason"))
+        content_path(id_).alias("local_content_path"), reason.alias("reason"), *more)
 
 
 def articles(pages: DataFrame, sites: Iterable[Site] | None = None) -> DataFrame:
     """Accepted articles of a page table."""
-    return records(pages, sites).filter(F.col("reason").isNull()).drop("reason")
+    return _decided(pages, sites, F.col("reason").isNull()).drop("reason")
 
 
 def rejects(pages: DataFrame, sites: Iterable[Site] | None = None) -> DataFrame:
     """page_id and reason of every page that gives no article."""
-    return (
-        records(pages, sites).filter(F.col("reason").isNotNull())
-        .select(F.col("ingest_seq").alias("page_id"), "reason"))
+    return _decided(pages, sites, F.col("reason").isNotNull()).select(F.col("ingest_seq").alias("page_id"), "reason")
 
 
 def extract_with(pages: DataFrame, rule: Callable, schema) -> DataFrame:

@@ -6,9 +6,11 @@ import json
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from presswork.operators import extract, links
 from presswork.plans.sites import OTHER_HOSTS, SITES
+from presswork.sources import pages as pages_module
 from tests import dom
 from workload import views as V
 
@@ -176,3 +178,30 @@ def test_every_page_as_every_site(spark, sf):
         f"select page_id * 100 + {i} as page_id, '{s.base}/x-y' as url, html from ({V.SITE_PAGES}) where page_id < 24"
         for i, s in enumerate(SITES.values()))
     test_fields_equal_dom_model(spark, sf, hosts)
+
+
+def test_tasks_are_bounded_by_pages(spark, monkeypatch):
+    """A table in enough splits, one of them large, is dealt again; one in small splits is left."""
+    monkeypatch.setattr(pages_module, "TASK_PAGES", 50, raising=False)
+    cores = spark.sparkContext.defaultParallelism
+    small = spark.range(0, 40 * cores, 1, cores).withColumn("html", F.lit("x"))
+    assert pages_module.spread(small).rdd.getNumPartitions() == cores
+    uneven = small.unionByName(spark.range(1000, 2000, 1, 1).withColumn("html", F.lit("x")))
+    dealt = pages_module.spread(uneven)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 40 * cores + 1000 and max(sizes) < 75
+    assert sorted(r.id for r in dealt.collect()) == sorted(r.id for r in uneven.collect())
+    assert pages_module.spread(small.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kept", [extract.articles, extract.rejects])
+def test_fields_are_worked_out_once(spark, kept):
+    """The condition on the reason stays above the fields; below, it would work them out again."""
+    pages = spark.createDataFrame([(1, "https://www.ign.com/articles/a", "<h1>A title</h1>"), (2, None, None), (None, "u", "")],
+                                  "page_id long, url string, html string")
+    number = "ingest_seq" if kept is extract.articles else "page_id"
+    plan = kept(pages).select(number)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(".titles, null") == 1 and plan.count(".images, null") == 1
+    got = sorted((r[0] is None, r[0]) for r in kept(pages).collect())
+    records = extract.records(pages).collect()
+    assert got == sorted((r["ingest_seq"] is None, r["ingest_seq"]) for r in records if (r["reason"] is None) == (kept is extract.articles))
