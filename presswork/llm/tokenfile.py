@@ -168,6 +168,8 @@ class TokenFile:
 # tokenizer's words, so what stands between such spaces is encoded on its own.
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACE = re.compile(r" \s|\s |\A | \Z")
+# White space beside " " and "\n".
+_RARE_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 # So is a single line end between such characters, itself a word; and a point or comma
 # behind letters starts a word.
 _LINE_END = re.compile(r"(?<=\S)\n(?=\S)")
@@ -176,6 +178,16 @@ _MARKS = (".", ",")
 _AT_ONCE = 4096
 
 
+def _single_spaced(text: str) -> bool:
+    """Whether each space of a text is a border; the pattern is only asked where plain searches can't tell."""
+    if text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text:
+        return False
+    for c in _RARE_SPACES:
+        if c in text:
+            return not _OTHER_SPACE.search(text)
+    return True
+
+
 class WordEncoder:
     """Ids of whole texts; the ids of words seen before are looked up.
 
@@ -193,7 +205,12 @@ class WordEncoder:
         self.kind = "H" if self.bits <= 16 else "I"
         self.known: dict[str, bytes] = {}   # by the word behind a space
         self.bare: dict[str, bytes] = {}    # by the word without one
-        self.fixed = dict(zip(("\n", *_MARKS), self._encoded(["\n", *_MARKS])))
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that begin with a space
+        self.spaced[[i for token, i in vocabulary.items() if token[:1] == "Ġ"]] = True
+        self.fixed = {word: self._one(word) for word in ("\n", *_MARKS)}
+        line_end = np.frombuffer(self.fixed["\n"], self._dtype())
+        self.line_end = int(line_end[0]) if len(line_end) == 1 else None
 
     @classmethod
     def of_worker(cls, path: str) -> WordEncoder:
@@ -201,61 +218,101 @@ class WordEncoder:
             cls._of_worker[path] = cls(path)
         return cls._of_worker[path]
 
-    def _encoded(self, words: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(words), _AT_ONCE):
-            for got in self.tokenizer.encode_batch_fast(words[i:i + _AT_ONCE], add_special_tokens=False):
-                yield array(self.kind, got.ids).tobytes()
+    def _dtype(self) -> str:
+        return f"<u{array(self.kind).itemsize}"
+
+    def _one(self, text: str) -> bytes:
+        return array(self.kind, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _encoded(self, words: list[str], behind: bool) -> dict[str, bytes]:
+        """Ids of each word, behind a space or not.
+
+        Words without white space are given to the tokenizer as one text, between borders
+        where its ids are cut again: before ids that begin with a space, at line ends.
+        """
+        out, whole = {}, []
+        for word in words:
+            if (behind or self.line_end is not None) and word.split() == [word]:
+                whole.append(word)
+            else:
+                out[word] = self._one(" " + word if behind else word)
+        for i in range(0, len(whole), _AT_ONCE):
+            out.update(self._together(whole[i:i + _AT_ONCE], behind))
+        return out
+
+    def _together(self, words: list[str], behind: bool) -> dict[str, bytes]:
+        text = " " + " ".join(words) if behind else "\n".join(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self._dtype())
+        if behind:
+            starts = np.flatnonzero(self.spaced[ids])
+            ends = np.append(starts[1:], len(ids))
+        else:
+            ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
+            starts = np.append(0, ends[:-1] + 1)
+        if len(starts) != len(words) or starts[0]:  # white space of the tokenizer that Python doesn't know
+            return {word: self._one(" " + word if behind else word) for word in words}
+        data, size = ids.tobytes(), ids.itemsize
+        return {word: data[a:b] for word, a, b in zip(words, (starts * size).tolist(), (ends * size).tolist())}
 
     def _learnt(self, words: set[str], spaced: bool) -> dict[str, bytes]:
         """Ids of words that were not found, put together from smaller ones where borders allow."""
-        parts = {}
+        own, parts = self.known if spaced else self.bare, {}
+        wanted: dict[bool, set[str]] = {False: set(), True: set()}
         for word in words:
-            lines = _LINE_END.split(word) if "\n" in word else [word]
-            parts[word] = [
-                (part[:-1], part[-1]) if part[-1:] in _MARKS and part[:-1].isalpha() else (part, "") for part in lines]
-        wanted = {}
+            if "\n" in word or word[-1:] in _MARKS:
+                parts[word] = [
+                    (part[:-1], part[-1]) if part[-1:] in _MARKS and part[:-1].isalpha() else (part, "")
+                    for part in _LINE_END.split(word)]
+            elif word not in own:
+                wanted[spaced].add(word)
         for rows in parts.values():
             for i, (base, _) in enumerate(rows):
                 behind = spaced and i == 0
                 if base not in (self.known if behind else self.bare):
-                    wanted[" " + base if behind else base] = (base, behind)
-        codes = dict(zip(wanted, self._encoded(list(wanted))))
-        new = {key: code for key, code in zip(wanted.values(), codes.values())}
-        if len(self.bare) + len(codes) <= REMEMBERED // 4:
-            self.bare.update((base, code) for (base, behind), code in new.items() if not behind)
-        out = {}
+                    wanted[behind].add(base)
+        new = {behind: self._encoded(list(bases), behind) for behind, bases in wanted.items()}
+        if len(self.bare) + len(new[False]) <= REMEMBERED // 4:
+            self.bare.update(new[False])
+
+        def code(base: str, behind: bool) -> bytes:
+            got = new[behind].get(base)
+            return (self.known if behind else self.bare)[base] if got is None else got
+
+        out = dict(new[True])
+        for word in words:
+            if word not in parts:
+                out[word] = code(word, spaced)
         for word, rows in parts.items():
             run = []
             for i, (base, mark) in enumerate(rows):
-                behind = spaced and i == 0
                 if i:
                     run.append(self.fixed["\n"])
-                code = new.get((base, behind))
-                run.append((self.known if behind else self.bare)[base] if code is None else code)
+                run.append(code(base, spaced and i == 0))
                 if mark:
                     run.append(self.fixed[mark])
             out[word] = b"".join(run)
-        for (base, behind), code in new.items():
-            if behind:
-                out.setdefault(base, code)
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, unsigned and as wide as the vocabulary needs."""
-        split = [_BORDER.split(t) if _OTHER_SPACE.search(t) else t.split(" ") for t in texts]
+        split = [t.split(" ") if _single_spaced(t) else _BORDER.split(t) for t in texts]
         heads = self._learnt({words[0] for words in split}, spaced=False)
-        found = [list(map(self.known.get, words)) for words in split]
-        fresh = self._learnt(
-            {w for words, got in zip(split, found) if None in got for w, g in zip(words[1:], got[1:]) if g is None}, True)
-        if len(self.known) + len(fresh) <= REMEMBERED:
-            self.known.update((w, c) for w, c in fresh.items() if "\n" not in w)
-        out = []
-        for words, got in zip(split, found):
-            if None in got:
-                got = [fresh.get(w) if g is None else g for w, g in zip(words, got)]
+        known, out, late, unknown = self.known, [], [], set()
+        for row, words in enumerate(split):
+            got = list(map(known.get, words))
             got[0] = heads[words[0]]
-            out.append(np.frombuffer(b"".join(got), f"<u{array(self.kind).itemsize}"))
-        return out
+            try:
+                out.append(b"".join(got))
+            except TypeError:  # a word that is not known yet
+                out.append(b"")
+                late.append((row, got))
+                unknown.update(w for w, g in zip(words, got) if g is None)
+        fresh = self._learnt(unknown, spaced=True)
+        for row, got in late:
+            out[row] = b"".join([fresh[w] if g is None else g for w, g in zip(split[row], got)])
+        if len(known) + len(fresh) <= REMEMBERED:
+            known.update((w, c) for w, c in fresh.items() if "\n" not in w)
+        return [np.frombuffer(ids, self._dtype()) for ids in out]
 
 
 def _writer(folder: str, path: str, end_id: int, block: int):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -88,3 +89,24 @@ def test_vectors(spark):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert got == {0: [(1, 1.0), (2, 1.0), (21, 0.5), (20, 0.0)], 20: [(21, 1.0), (0, 0.0), (1, 0.0), (2, 0.0)]}
     assert ann.nearest(vectors.filter("false"), F.col("vec_id") > 0).collect() == []
+
+
+def test_words_reach_the_tokenizer_together():
+    class Counting:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.given = tokenizer, 0
+
+        def encode_batch_fast(self, texts, **how):
+            self.given += len(texts)
+            return self.tokenizer.encode_batch_fast(texts, **how)
+
+    encoder = tokenfile.WordEncoder(BPE)
+    whole = encoder.tokenizer
+    encoder.tokenizer = counting = Counting(whole)
+    texts = [" ".join(f"w{i}x{j}" for j in range(50)) + f".\nrow{i}, it's" for i in range(40)]
+    texts += ["", " ", " a", "a ", "a  b", "a\tb c\n d", "x\n\ny z", "\n", "\na b\n", "a\xa0b 　c", "᠎a b᠎ c",
+              "é 日本 語\n次", "Ġ ĠĠa Ċ", "a <|endoftext|> b<|endoftext|>c d", "a\x1cb \x85c d", "w, v. x,y z.\nq, r."]
+    for _ in range(2):
+        for text, ids in zip(texts, encoder.encode(texts)):
+            assert np.array_equal(ids, whole.encode(text, add_special_tokens=False).ids), text
+    assert counting.given < 100
