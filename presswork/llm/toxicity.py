@@ -26,11 +26,11 @@ least hashes of their id. Every document is searched against all of them.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +50,6 @@ QUERIES = 128        # texts that are searched together
 LOOKS = (16,)        # numbers of scored blocks after which the k-th best is looked up
 BLOCK = 64
 SHRINK = 1.0         # weight of the overall share among the votes
-REMEMBERED = 400_000
 
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¡¿·"
 
@@ -68,45 +67,52 @@ def terms_of(token: str) -> list[str]:
     return out
 
 
-class _Known(dict):
-    """Terms of tokens: places in the vocabulary, and the word itself when it has none."""
+_MARK = f"[{re.escape(_EDGES)}]"
+# Runs of marks at the end and at the start of a token; a run is tried once, at its first mark.
+_AT_END = re.compile(rf"{_MARK}(?<!{_MARK}.){_MARK}*+(?!\S)", re.DOTALL)
+_AT_START = re.compile(rf"{_MARK}(?<!\S.){_MARK}*+", re.DOTALL)
 
-    def __init__(self, places: dict[str, int], words: bool):
-        super().__init__()
-        self.places, self.words = places, words
-        self.beginnings = any(t[0] == "^" for t in places)
 
-    def __missing__(self, token: str) -> tuple:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        word, places = token.strip(_EDGES), self.places
-        place = places.get(word)
-        own = (place,) if place is not None else (word,) if self.words and word else ()
-        if self.beginnings:  # as in ``terms_of``
-            own += tuple(places[b] for b in ("^" + word[:n] for n in (4, 5) if len(word) > n) if b in places)
-        self[token] = own
-        return own
+def words_of(text: str) -> list[str]:
+    """The words of a text in lower case, as in ``terms_of``."""
+    return _AT_START.sub("", _AT_END.sub("", text.lower())).split()
 
 
 class Vectors:
     """Term counts of texts over a vocabulary."""
 
-    def __init__(self, vocabulary: list[str], words: bool = True):
-        self.known = _Known({t: i for i, t in enumerate(vocabulary)}, words)
+    def __init__(self, vocabulary: list[str]):
+        self.places = {t: i for i, t in enumerate(vocabulary)}
+        self.heads = {t[1:5] for t in vocabulary if t[0] == "^"}  # of the first letters that are terms
+
+    def _beginnings(self, word: str) -> Iterator[int]:
+        """Places of the first letters of a word, as in ``terms_of``."""
+        for n in (4, 5):
+            if len(word) > n and (place := self.places.get("^" + word[:n])) is not None:
+                yield place
 
     def distinct(self, text: str) -> set[int]:
-        """The terms of a text, and with ``words`` the words that are none."""
-        return set(chain.from_iterable(map(self.known.__getitem__, set(text.lower().split()))))
+        """The terms of a text."""
+        words, heads = set(words_of(text)), self.heads
+        found = set(map(self.places.get, words))
+        found.discard(None)
+        if heads:
+            for word in [w for w in words if w[:4] in heads]:
+                found.update(self._beginnings(word))
+        return found
 
     def counts(self, text: str) -> tuple[dict[int, int], list[int]]:
         """Occurrences of the terms, and of each word that is none."""
-        found: dict = {}
-        known = self.known
-        for token, n in Counter(text.lower().split()).items():
-            for i in known[token]:
-                found[i] = found.get(i, 0) + n
-        others = [n for i, n in found.items() if type(i) is str]
-        return {i: n for i, n in found.items() if type(i) is int} if others else found, others
+        words, heads = Counter(words_of(text)), self.heads
+        places = list(map(self.places.get, words))
+        found = dict(zip(places, words.values()))
+        others = [n for place, n in zip(places, words.values()) if place is None] if None in found else []
+        found.pop(None, None)
+        if heads:
+            for word in [w for w in words if w[:4] in heads]:
+                for place in self._beginnings(word):
+                    found[place] = found.get(place, 0) + words[word]
+        return found, others
 
 
 def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -188,9 +194,10 @@ class Index:
         # What a query has not scored can't be among its nearest, but must not stand half scored.
         scores.reshape(len(queries), self.n_blocks, BLOCK)[~seen] = 0
         out = []
-        for row in scores:
-            least = np.partition(row, -rank)[-rank]
-            hit = np.flatnonzero((row > 1e-12) & (row >= least - 1e-12))
+        for row, least in zip(scores, kth):
+            hit = np.flatnonzero(row > max(1e-12, least - 1e-9))
+            if len(hit) > k:
+                hit = hit[row[hit] >= np.partition(row[hit], -k)[-k] - 1e-12]
             hit = hit[np.lexsort((hit, -np.round(row[hit], 12)))[:k]]
             out.append((hit, row[hit]))
         return out
@@ -300,7 +307,7 @@ def choose_terms(texts: DataFrame) -> tuple[list[str], np.ndarray]:
 def _frequencies(vocabulary: list[str]):
     """Numbers of texts that have each term, summed up for each task."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, n = Vectors(vocabulary, words=False), 0
+        vectors, n = Vectors(vocabulary), 0
         seen: Counter = Counter()
         for batch in batches:
             n += batch.num_rows
@@ -329,6 +336,13 @@ def _vectoriser(vocabulary: list[str]):
     return work
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that a task holds few texts twice."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, 8 * QUERIES):
+            yield batch.slice(first, 8 * QUERIES)
+
+
 class _Scorer:
     def __init__(self, vocabulary: list[str], index: Index, k: int):
         self.vectors, self.index, self.k = Vectors(vocabulary), index, k
@@ -345,7 +359,7 @@ def _text_scorer(vocabulary: list[str], index: Index, k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(vocabulary, index, k)
         evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
-        for batch in batches:
+        for batch in _parts(batches):
             got = scorer(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([s for s, _ in got], pa.float64()),
@@ -357,7 +371,7 @@ def _text_scorer(vocabulary: list[str], index: Index, k: int):
 def _row_filter(vocabulary: list[str], index: Index, k: int, threshold: float, text_at: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(vocabulary, index, k)
-        for batch in batches:
+        for batch in _parts(batches):
             keep = [score < threshold for score, _ in scorer(batch.column(text_at))]
             yield batch.filter(pa.array(keep, pa.bool_()))
     return work
