@@ -115,8 +115,11 @@ def _dictionary(words: DataFrame) -> DataFrame:
     return words.filter((F.length("run") >= LEAST_WORD) & (F.col("n") > 1)).select("run")
 
 
-def featured(found: DataFrame, words: DataFrame) -> DataFrame:
-    """``found`` with a column for each of ``FEATURES``, by the ``word_counts`` of all texts; both are read more than once."""
+_AROUND = ["key_before", "key_inside", "assigned", "quoted", "path_aside", "path_like", "plain_before", "plain_after"]
+
+
+def value_features(found: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The features of each value of ``found``, and the values that are heavy there."""
     table = _pair_table(words)
     lowered = F.regexp_replace(F.lower("value"), "[^a-z]", "")
     pairs = F.transform(
@@ -144,15 +147,44 @@ def featured(found: DataFrame, words: DataFrame) -> DataFrame:
         number(F.col("value").rlike("^[0-9a-f]+$")).alias("is_hex"),
         number(F.col("value").rlike("^[0-9]+$")).alias("all_digits")), "secret-value-features")
     heavy = C.staged(skew.heavy_keys(values, "value", HEAVY_FLOOR), "secret-heavy")
+    return own, heavy
+
+
+def _around() -> dict[str, Column]:
+    """The features of the words around and of the rest of the word."""
     opening = F.expr("substring(word, at, 1)")
-    return skew.attach(found, own, "value", heavy, "doc_id").withColumns({
-        "key_before": number(F.col("before").rlike(_KEY)), "key_inside": number(_left().rlike(_KEY)),
-        "assigned": number(F.col("before").rlike("[=:]\\s*$") | _left().rlike("[=:][\"']?$")),
-        "quoted": number((F.col("at") > 0) & opening.isin("'", '"') & (opening == F.expr("substring(word, at + length(value) + 1, 1)"))),
-        "path_aside": number(F.col("path").rlike(_ASIDE)),
-        "path_like": number(F.col("word").rlike("/.*/|://|@|\\.[a-z]{2,4}$")),
-        "plain_before": number(_plain(F.element_at(F.split("before", " "), -1))),
-        "plain_after": number(_plain(F.col("after")))})
+    return {
+        "key_before": F.col("before").rlike(_KEY), "key_inside": _left().rlike(_KEY),
+        "assigned": F.col("before").rlike("[=:]\\s*$") | _left().rlike("[=:][\"']?$"),
+        "quoted": (F.col("at") > 0) & opening.isin("'", '"') & (opening == F.expr("substring(word, at + length(value) + 1, 1)")),
+        "path_aside": F.col("path").rlike(_ASIDE),
+        "path_like": F.col("word").rlike("/.*/|://|@|\\.[a-z]{2,4}$"),
+        "plain_before": _plain(F.element_at(F.split("before", " "), -1)),
+        "plain_after": _plain(F.col("after"))}
+
+
+def with_features(found: DataFrame, own: DataFrame, heavy: DataFrame) -> DataFrame:
+    """``doc_id, place, at, before, word, value`` of ``found`` with a column for each of ``FEATURES``.
+
+    Rows travel to the features of their values without the texts that these columns don't
+    need: what stands around is 8 bits, and a word is what is left and right of its value.
+    """
+    around = _around()
+    bits = sum((F.coalesce(around[c], F.lit(False)).cast("int") * (1 << i) for i, c in enumerate(_AROUND)), F.lit(0))
+    right = F.expr("substring(word, at + length(value) + 1)")
+    narrow = found.select(
+        "doc_id", "place", "before", "value", _left().alias("left"), right.alias("right"), bits.cast("short").alias("bits"))
+    wide = skew.attach(narrow, own, "value", heavy, "doc_id")
+    return wide.select(
+        "doc_id", "place", F.length("left").alias("at"), "before", F.concat("left", "value", "right").alias("word"), "value",
+        *(c for c in FEATURES if c not in around),
+        *(F.col("bits").bitwiseAND(F.lit(1 << i).cast("short")).cast("boolean").cast("double").alias(c)
+          for i, c in enumerate(_AROUND)))
+
+
+def featured(found: DataFrame, words: DataFrame) -> DataFrame:
+    """``found`` with its features, by the ``word_counts`` of all texts; both are read more than once."""
+    return with_features(found, *value_features(found, words))
 
 
 def issued_labels(found: DataFrame) -> DataFrame:
@@ -166,7 +198,7 @@ def issued_labels(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "place", "at", (F.col("value").rlike(_ISSUED) | given).cast("int").alias("label"))
 
 
-def _forest(rows: DataFrame, labels: DataFrame):
+def _forest(found: DataFrame, labels: DataFrame, own: DataFrame, heavy: DataFrame):
     """The fitted forest, or the one label there is."""
     labels = labels.filter("label is not null").withColumn("label", F.col("label").cast("int"))
     keys = [c for c in ("doc_id", "place", "at") if c in labels.columns]
@@ -175,12 +207,15 @@ def _forest(rows: DataFrame, labels: DataFrame):
     picked = None
     for label, total in sorted(totals.items()):
         most = TRAIN_ROWS // len(totals)
-        own = labels.filter(F.col("label") == label).orderBy(F.xxhash64(*keys), *keys).limit(most)
-        own = own.withColumn("weight", F.lit(max(1.0, total / most)))
-        picked = own if picked is None else picked.unionByName(own)
+        part = labels.filter(F.col("label") == label).orderBy(F.xxhash64(*keys), *keys).limit(most)
+        part = part.withColumn("weight", F.lit(max(1.0, total / most)))
+        picked = part if picked is None else picked.unionByName(part)
     if picked is None:
         return 0.0
-    train = rows.join(F.broadcast(picked), keys).select(*FEATURES, F.col("label").cast("double").alias("label"), "weight")
+    picked = C.staged(picked, "secret-labels")
+    taught = C.staged(found.join(F.broadcast(picked.select(keys).distinct()), keys, "left_semi"), "secret-findings")
+    train = with_features(taught, own, heavy).join(F.broadcast(picked), keys).select(
+        *FEATURES, F.col("label").cast("double").alias("label"), "weight")
     train = C.staged(train, "secret-training")
     seen = sorted(r.label for r in train.select("label").distinct().collect())
     if len(seen) < 2:
@@ -206,10 +241,11 @@ def scan_secrets(docs: DataFrame, labels=issued_labels, learn_from: Column | Non
     empty table.
     """
     found = C.staged(candidates(docs, path), "secret-candidates")
-    rows = C.staged(featured(found, word_counts(docs)), "secret-features")
+    own, heavy = value_features(found, word_counts(docs))
     given = labels(found) if callable(labels) else labels
     given = given.filter("doc_id is not null")
-    model = _forest(rows, given if learn_from is None else given.filter(learn_from))
+    model = _forest(found, given if learn_from is None else given.filter(learn_from), own, heavy)
+    rows = with_features(found, own, heavy)
     if isinstance(model, float):
         scored = rows.withColumn("score", F.lit(model))
     else:

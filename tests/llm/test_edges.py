@@ -110,3 +110,49 @@ def test_words_reach_the_tokenizer_together():
         for text, ids in zip(texts, encoder.encode(texts)):
             assert np.array_equal(ids, whole.encode(text, add_special_tokens=False).ids), text
     assert counting.given < 100
+
+
+def test_terms_are_found_without_remembering_tokens():
+    def sizes(vectors):
+        return {name: len(value) for name, value in vars(vectors).items() if hasattr(value, "__len__")}
+
+    vectors = toxicity.Vectors(["^abcd", "^abcde", "a", "abc", "it's", "x-y", "σ"])
+    before = sizes(vectors)
+    texts = [f"w{i} (a) abc. --x-y-- .... ABCDEF, abcde it's «Σ» a\x85b　abc" for i in range(300)]
+    for text in ["", " ", "...", "-" * 300_000 + "a", *texts]:
+        found = [t for token in text.lower().split() for t in toxicity.terms_of(token)]
+        own = {vectors.places[t]: found.count(t) for t in set(found) if t in vectors.places}
+        others = sorted(found.count(t) for t in set(found) if t not in vectors.places and t[0] != "^")
+        got, rest = vectors.counts(text)
+        assert (got, sorted(rest)) == (own, others) and vectors.distinct(text) == set(own)
+    assert sizes(vectors) == before
+
+
+def test_staging_leaves_no_shuffle(spark):
+    import time
+
+    from presswork.llm import common as C
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().endswith(".data")}
+
+    before = shuffled()
+    rows = C.staged(spark.range(1000).repartition(4, "id"), "shuffled")
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not {f for f in shuffled() - before if f.startswith("shuffle_")}
+    assert rows.count() == 1000 and spark.conf.get(C._CLEANUP) == "false"
+
+
+def test_findings_are_not_staged_with_their_features(spark, documents, monkeypatch):
+    from presswork.llm import common as C
+
+    staged, whole = [], C.staged
+    monkeypatch.setattr(C, "staged", lambda df, name: staged.append(df.columns) or whole(df, name))
+    rows = secrets.scan_secrets(documents([f"token=abcd{i}efgh9{i}12 and harbour_lantern{i} here" for i in range(30)]))
+    assert rows.count() == 60 and not [c for c in staged if "doc_id" in c and "entropy" in c]
+    word = rows.filter("doc_id = 3 and place = 0").first()
+    assert word.word[word.at:word.at + len(word.value)] == word.value == "abcd3efgh9312"
