@@ -17,8 +17,8 @@ SLICE_BYTES = 1 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back.
+def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it back; ``options`` are the writer's.
 
     It cuts the lineage: a lost executor costs the running stage, nothing before it.
     What was shuffled for it is removed as soon as it is written.
@@ -27,7 +27,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path, before = scratch_path(spark, name), spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -147,6 +147,7 @@ def value_features(found: DataFrame, words: DataFrame) -> tuple[DataFrame, DataF
         number(F.col("value").rlike("^[0-9a-f]+$")).alias("is_hex"),
         number(F.col("value").rlike("^[0-9]+$")).alias("all_digits")), "secret-value-features")
     heavy = C.staged(skew.heavy_keys(values, "value", HEAVY_FLOOR), "secret-heavy")
+    C.discard(values)
     return own, heavy
 
 
@@ -240,8 +241,10 @@ def scan_secrets(docs: DataFrame, labels=issued_labels, learn_from: Column | Non
     score is the one label, or 0. Other columns are not read. An empty table gives an
     empty table.
     """
-    found = C.staged(candidates(docs, path), "secret-candidates")
-    own, heavy = value_features(found, word_counts(docs))
+    found = C.staged(candidates(docs, path), "secret-candidates", compression="zstd")  # most of the disk
+    words = word_counts(docs)
+    own, heavy = value_features(found, words)
+    C.discard(words)
     given = labels(found) if callable(labels) else labels
     given = given.filter("doc_id is not null")
     model = _forest(found, given if learn_from is None else given.filter(learn_from), own, heavy)

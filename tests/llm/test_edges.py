@@ -151,7 +151,7 @@ def test_findings_are_not_staged_with_their_features(spark, documents, monkeypat
     from presswork.llm import common as C
 
     staged, whole = [], C.staged
-    monkeypatch.setattr(C, "staged", lambda df, name: staged.append(df.columns) or whole(df, name))
+    monkeypatch.setattr(C, "staged", lambda df, name, **how: staged.append(df.columns) or whole(df, name, **how))
     rows = secrets.scan_secrets(documents([f"token=abcd{i}efgh9{i}12 and harbour_lantern{i} here" for i in range(30)]))
     assert rows.count() == 60 and not [c for c in staged if "doc_id" in c and "entropy" in c]
     word = rows.filter("doc_id = 3 and place = 0").first()
