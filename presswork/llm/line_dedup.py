@@ -8,20 +8,27 @@ Words are ordered by rarity: by the class of how often words of the same hash bu
 occur in the corpus, then by hash. Two sets can only reach the threshold when they share
 a word among the first ``n - ceil(n * PERCENT / 100) + 1`` of each (prefix filter), when
 their sizes allow it (length filter), when enough words are left behind the shared one
-(positional filter), and when their parity bitmaps differ in few enough bits. What
-passes is verified on the full sets.
+(positional filter), and when their parity bitmaps differ in few enough bits; sets of
+many words have four bitmaps, since one is full of chance bits there. What passes is
+verified on the full sets.
 
 Equal sets are collapsed to their first line first. Then every shared prefix word is a
 star: its lines against the earliest one. A line that this removes needs no other
 partner, so in a large group of variants nearly all are settled in linear work; only the
 lines still open meet all earlier lines of their prefix words.
 
+Prefix words are many times more rows than lines. They are worked on in ``PASSES``
+parts, by the hash of the word, so only one part is shuffled and on disk at a time.
+
 All of it is DataFrame code.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presswork.llm import common as C
@@ -32,8 +39,12 @@ CLASS_BITS = 6
 # Candidate lines and settled sets are broadcast up to this many rows of 28 bytes;
 # beyond it the other side is shuffled.
 BROADCAST_LINES = 1_000_000
+PASSES = 4
+# Sets of so many words have four bitmaps.
+LONG = 64
 
 SPACES = "[ \\t-\\r]+"
+WORDED = "[^ \\t-\\r]"
 
 
 def _words(text: Column) -> Column:
@@ -54,7 +65,7 @@ def _classes(docs: DataFrame) -> Column:
 def _keys(line: Column, classes: Column) -> Column:
     """The words of a line as sorted 64-bit keys, rare ones first."""
     low = (1 << (64 - CLASS_BITS)) - 1
-    hashes = F.transform(F.array_distinct(_words(line)), lambda w: F.xxhash64(w))
+    hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
 
     def key(h: Column) -> Column:
         group = F.element_at(classes, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1)
@@ -70,6 +81,12 @@ def _parity(keys: Column) -> Column:
         F.call_function("shiftleft", one, F.pmod(k, F.lit(61)).cast("int"))))
 
 
+def _quarter(keys: Column, part: int) -> Column:
+    """The parity bits of one quarter of the keys of a long set; those of the last one follow from all."""
+    own = F.filter(keys, lambda k: k.bitwiseAND(F.lit(3)) == part)
+    return F.when(F.size(keys) >= LONG, _parity(own))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """``doc_id, line_no, line`` of all texts; lines end at \\n."""
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -78,9 +95,25 @@ def lines_of(docs: DataFrame) -> DataFrame:
 def _may_match(x: str, y: str, percent: int) -> str:
     """Length, positional and bitmap filters between two prefix rows."""
     need = f"ceil({percent} * ({x}.n + {y}.n) / {100 + percent})"
-    return (f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)"
+    apart = f"{x}.n + {y}.n - 2 * {need}"
+    quarters = [f"{x}.q{i} ^ {y}.q{i}" for i in range(3)]
+    quarters.append(f"{x}.bits ^ {y}.bits ^ " + " ^ ".join(quarters))
+    # The first one is the bitmap filter without rounding; it is cheap and leaves few.
+    return (f"bit_count({x}.bits ^ {y}.bits) * {100 + percent} <= {100 - percent} * ({x}.n + {y}.n)"
+            f" and 100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)"
             f" and least({x}.n - {x}.i, {y}.n - {y}.i) >= {need}"
-            f" and bit_count({x}.bits ^ {y}.bits) <= {x}.n + {y}.n - 2 * {need}")
+            f" and bit_count({x}.bits ^ {y}.bits) <= {apart}"
+            f" and coalesce({' + '.join(f'bit_count({q})' for q in quarters)} <= {apart}, true)")
+
+
+def _in_passes(sets: DataFrame, name: str, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``later, earlier``: what ``find`` makes of the prefix words of ``sets``, a part of the words at a time."""
+    rows = sets.select(*(c for c in sets.columns if c != "prefix"), F.posexplode("prefix").alias("i", "w"))
+    parts = [C.staged(find(rows.filter(F.pmod("w", F.lit(PASSES)) == part)).distinct(), name) for part in range(PASSES)]
+    pairs = C.staged(reduce(DataFrame.unionByName, parts).distinct(), name)
+    for part in parts:
+        C.discard(part)
+    return pairs
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, classes: Column, percent: int) -> DataFrame:
@@ -109,42 +142,46 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     """
     docs = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
     classes = _classes(docs)
-    keyed = lines_of(docs).select("doc_id", "line_no", _keys(F.col("line"), classes).alias("keys"))
+    # A filter on the keys would be moved below them and build them twice.
+    worded = lines_of(docs).filter(F.col("line").rlike(WORDED))
+    keyed = worded.select("doc_id", "line_no", _keys(F.col("line"), classes).alias("keys"))
     n = F.size("keys")
     prefix = n - F.ceil(n * percent / 100).cast("int") + 1
-    wide = C.staged(keyed.filter(n > 0).select(
+    wide = C.staged(keyed.select(
         "doc_id", "line_no", F.xxhash64("keys").alias("sid"), n.alias("n"), _parity(F.col("keys")).alias("bits"),
+        *(_quarter(F.col("keys"), i).alias(f"q{i}") for i in range(3)),
         F.slice("keys", F.lit(1), prefix).alias("prefix")), "lines")
     lines = C.staged(wide.select("doc_id", "line_no", "sid"), "line-ids")
-    full = wide.groupBy("sid").agg(F.min(F.struct("doc_id", "line_no", "n", "bits", "prefix")).alias("f"))
+    full = wide.groupBy("sid").agg(F.min(F.struct("doc_id", "line_no", "n", "bits", "q0", "q1", "q2", "prefix")).alias("f"))
     full = C.staged(full.select("sid", "f.*"), "line-sets")
     sets = C.staged(full.select("sid", "doc_id", "line_no"), "line-firsts")
     C.discard(wide)
 
-    rows = full.select("sid", "doc_id", "line_no", "n", "bits", F.posexplode("prefix").alias("i", "w"))
-    often = full.select(F.explode("prefix").alias("w")).groupBy("w").agg(F.count("*").alias("c")).filter("c > 1")
-    shared = C.staged(rows.join(often.select("w"), "w"), "line-prefixes")
-    C.discard(full)
+    def stars(rows: DataFrame) -> DataFrame:
+        place = F.struct("doc_id", "line_no", "sid", "n", "bits", "q0", "q1", "q2", "i")
+        x = rows.withColumn("y", F.min(place).over(Window.partitionBy("w")))
+        x = x.select(F.struct(*rows.columns).alias("x"), "y").filter(f"x.sid <> y.sid and {_may_match('x', 'y', percent)}")
+        return x.select(F.col("x.sid").alias("later"), F.col("y.sid").alias("earlier"))
 
-    first = shared.groupBy("w").agg(F.min(F.struct("doc_id", "line_no", "sid", "n", "bits", "i")).alias("f"))
-    first = first.select("w", "f.*")
-    x, y = shared.alias("x"), first.alias("y")
-    pairs = x.join(y, "w").filter(f"x.sid <> y.sid and {_may_match('x', 'y', percent)}")
-    pairs = C.staged(pairs.select(F.col("x.sid").alias("later"), F.col("y.sid").alias("earlier")).distinct(), "line-stars")
+    pairs = _in_passes(full, "line-stars", stars)
     settled = _verified(pairs, sets, docs, classes, percent)
 
     known = settled.select(F.col("later").alias("sid"), F.lit(True).alias("done"))
     known = F.broadcast(known) if known.count() <= BROADCAST_LINES else known
-    marked = shared.join(known, "sid", "left").withColumn("open", F.col("done").isNull()).drop("done")
-    # Both sides are the same rows, so they are shuffled once; the condition reads both
-    # sides lest one of them is filtered before.
-    x, y = marked.alias("x"), marked.alias("y")
-    more = x.join(y, "w").filter(
-        "if(y.sid = x.sid, false, x.open) and struct(y.doc_id, y.line_no) < struct(x.doc_id, x.line_no)"
-        " and " + _may_match("x", "y", percent))
-    more = more.select(F.col("x.sid").alias("later"), F.col("y.sid").alias("earlier")).distinct()
-    more = C.staged(more.join(pairs, ["later", "earlier"], "left_anti"), "line-pairs")
-    C.discard(shared)
+    marked = C.staged(full.join(known, "sid", "left").withColumn("open", F.col("done").isNull()).drop("done"), "line-marked")
+    C.discard(full)
+
+    def earlier(rows: DataFrame) -> DataFrame:
+        # Both sides are the same rows, so they are shuffled once; the condition reads all
+        # columns of both sides, lest one of them is filtered or made narrower before.
+        x, y = rows.alias("x"), rows.alias("y")
+        more = x.join(y, "w").filter(
+            _may_match("x", "y", percent) + " and if(y.open or y.sid <> x.sid, x.open and y.sid <> x.sid, false)"
+            " and struct(y.doc_id, y.line_no) < struct(x.doc_id, x.line_no)")
+        return more.select(F.col("x.sid").alias("later"), F.col("y.sid").alias("earlier"))
+
+    more = _in_passes(marked, "line-pairs", earlier).join(pairs, ["later", "earlier"], "left_anti")
+    C.discard(marked)
     late = _verified(more, sets, docs, classes, percent)
     gone = settled.unionByName(late).distinct().withColumnRenamed("later", "sid")
     kept = sets.select("sid", "doc_id", "line_no").join(gone, "sid", "left_anti")
