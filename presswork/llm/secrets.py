@@ -73,6 +73,13 @@ def _found(value: Column, start: Column) -> Column:
     return F.call_function("locate", value, F.col("word"), start)
 
 
+def _staged(found: DataFrame) -> DataFrame:
+    """``candidates``, written without their values: these are parts of their words, and this is most of the disk."""
+    kept = found.withColumn("_length", F.length("value")).drop("value")
+    kept = C.staged(kept, "secret-candidates", compression="zstd")
+    return kept.withColumn("value", F.expr("substring(word, at + 1, _length)")).select(*found.columns)
+
+
 def _left() -> Column:
     return F.expr("substring(word, 1, at)")
 
@@ -118,8 +125,8 @@ def _dictionary(words: DataFrame) -> DataFrame:
 _AROUND = ["key_before", "key_inside", "assigned", "quoted", "path_aside", "path_like", "plain_before", "plain_after"]
 
 
-def value_features(found: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The features of each value of ``found``, and the values that are heavy there."""
+def value_features(found: DataFrame, words: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The features of each value of ``found``, and the values that are heavy there, fewer than ``skew.HEAVY_KEYS``."""
     table = _pair_table(words)
     lowered = F.regexp_replace(F.lower("value"), "[^a-z]", "")
     pairs = F.transform(
@@ -145,8 +152,8 @@ def value_features(found: DataFrame, words: DataFrame) -> tuple[DataFrame, DataF
         ((F.length(F.regexp_replace(signs, "(.)\\1+", "$1")) - 1) / F.length("value")).alias("changes"),
         _entropy().alias("entropy"), mean.alias("pairs"), F.coalesce("known", F.lit(0.0)).alias("known"),
         number(F.col("value").rlike("^[0-9a-f]+$")).alias("is_hex"),
-        number(F.col("value").rlike("^[0-9]+$")).alias("all_digits")), "secret-value-features")
-    heavy = C.staged(skew.heavy_keys(values, "value", HEAVY_FLOOR), "secret-heavy")
+        number(F.col("value").rlike("^[0-9]+$")).alias("all_digits")), "secret-value-features", compression="zstd")
+    heavy = [r.value for r in skew.heavy_keys(values, "value", HEAVY_FLOOR).collect()]
     C.discard(values)
     return own, heavy
 
@@ -164,22 +171,26 @@ def _around() -> dict[str, Column]:
         "plain_after": _plain(F.col("after"))}
 
 
-def with_features(found: DataFrame, own: DataFrame, heavy: DataFrame) -> DataFrame:
+def with_features(found: DataFrame, own: DataFrame, heavy: list[str]) -> DataFrame:
     """``doc_id, place, at, before, word, value`` of ``found`` with a column for each of ``FEATURES``.
 
     Rows travel to the features of their values without the texts that these columns don't
-    need: what stands around is 8 bits, and a word is what is left and right of its value.
+    need: what stands around is 8 bits beside the place, and a word is what is left and right
+    of its value. These and ``before`` are one text; none holds a line break.
     """
     around = _around()
     bits = sum((F.coalesce(around[c], F.lit(False)).cast("int") * (1 << i) for i, c in enumerate(_AROUND)), F.lit(0))
     right = F.expr("substring(word, at + length(value) + 1)")
     narrow = found.select(
-        "doc_id", "place", "before", "value", _left().alias("left"), right.alias("right"), bits.cast("short").alias("bits"))
-    wide = skew.attach(narrow, own, "value", heavy, "doc_id")
+        "doc_id", (F.shiftleft(F.col("place").cast("long"), len(_AROUND)) + bits).alias("place_bits"), "value",
+        F.concat_ws("\n", _left(), right, "before").alias("rest"))
+    wide = skew.attach_dealt(narrow, own, "value", heavy, "doc_id")
+    left, right = F.substring_index("rest", "\n", 1), F.substring_index(F.substring_index("rest", "\n", 2), "\n", -1)
     return wide.select(
-        "doc_id", "place", F.length("left").alias("at"), "before", F.concat("left", "value", "right").alias("word"), "value",
+        "doc_id", F.shiftright("place_bits", len(_AROUND)).cast("int").alias("place"), F.length(left).alias("at"),
+        F.substring_index("rest", "\n", -1).alias("before"), F.concat(left, "value", right).alias("word"), "value",
         *(c for c in FEATURES if c not in around),
-        *(F.col("bits").bitwiseAND(F.lit(1 << i).cast("short")).cast("boolean").cast("double").alias(c)
+        *(F.col("place_bits").bitwiseAND(F.lit(1 << i).cast("long")).cast("boolean").cast("double").alias(c)
           for i, c in enumerate(_AROUND)))
 
 
@@ -199,7 +210,7 @@ def issued_labels(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "place", "at", (F.col("value").rlike(_ISSUED) | given).cast("int").alias("label"))
 
 
-def _forest(found: DataFrame, labels: DataFrame, own: DataFrame, heavy: DataFrame):
+def _forest(found: DataFrame, labels: DataFrame, own: DataFrame, heavy: list[str]):
     """The fitted forest, or the one label there is."""
     labels = labels.filter("label is not null").withColumn("label", F.col("label").cast("int"))
     keys = [c for c in ("doc_id", "place", "at") if c in labels.columns]
@@ -241,7 +252,7 @@ def scan_secrets(docs: DataFrame, labels=issued_labels, learn_from: Column | Non
     score is the one label, or 0. Other columns are not read. An empty table gives an
     empty table.
     """
-    found = C.staged(candidates(docs, path), "secret-candidates", compression="zstd")  # most of the disk
+    found = _staged(candidates(docs, path))
     words = word_counts(docs)
     own, heavy = value_features(found, words)
     C.discard(words)

@@ -92,3 +92,18 @@ def attach_wide(rows: DataFrame, side: DataFrame, key: str, counts: DataFrame, s
     dealt = rows.join(heavy, key, "left").withColumn("_slot", F.pmod(F.xxhash64(spread_by), slots).cast("int")).drop("_slots")
     copies = side.join(heavy, key, "left").withColumn("_slot", F.explode(F.sequence(F.lit(0), slots - 1))).drop("_slots")
     return dealt.join(copies.hint("merge"), [key, "_slot"], "left").drop("_slot")
+
+
+def attach_dealt(rows: DataFrame, side: DataFrame, key: str, heavy: list, spread_by: str) -> DataFrame:
+    """Left join with a side that has one narrow row per key; ``heavy`` are the values that ``heavy_keys`` gives.
+
+    Rows of heavy keys are spread over slots, of which each has a copy of the side row, so
+    fewer than ``HEAVY_KEYS * SLOTS`` copies. The heavy values are part of the plan: it has
+    one join, whether there are any or none.
+    """
+    hot = F.col(key).isin(heavy) if heavy else F.lit(False)
+    slot = F.when(hot | F.col(key).isNull(), F.pmod(F.xxhash64(spread_by), F.lit(SLOTS)).cast("int")).otherwise(0)
+    slots = F.when(hot, F.sequence(F.lit(0), F.lit(SLOTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = side.withColumn("_slot", F.explode(slots))
+    return rows.withColumn("_slot", slot).join(copies, [key, "_slot"], "left").select(
+        *(rows[c] for c in rows.columns), *(copies[c] for c in side.columns if c != key))

@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from presswork.llm import common, line_dedup
+from presswork.llm import common, line_dedup, secrets
+from presswork.plans import skew
 
 
 @pytest.fixture
@@ -57,3 +58,21 @@ def test_keys_of_lines_are_built_once(spark, documents, monkeypatch):
     monkeypatch.setattr(common, "staged", staged)
     line_dedup.dedup_lines(documents(["a b\n\n \t\nc"])).collect()
     assert plans["lines"].count("sort_array(") == 1
+
+
+def test_candidates_are_staged_without_values(spark, documents, written):
+    text = "x (harbour_lantern|token=abcd1efgh92,meadow//lantern) y\n z harbour_lantern"
+    found = secrets.candidates(documents([text]))
+    kept = secrets._staged(found)
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, found.collect())) and kept.columns == found.columns
+    assert "value" not in written[-1][2]
+
+
+def test_heavy_values_need_no_join_of_their_own(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 2 else f"v{i % 5}" if i % 3 else None) for i in range(60)], "id long, v string")
+    side = spark.createDataFrame([("hot", 1.0), ("v0", 2.0), ("v1", None)], "v string, s double")
+    want = sorted(map(str, rows.join(side, "v", "left").select("id", "v", "s").collect()))
+    for heavy in ([], ["hot"], ["hot", "v4"]):
+        out = skew.attach_dealt(rows, side, "v", heavy, "id")
+        assert sorted(map(str, out.collect())) == want
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
