@@ -92,7 +92,7 @@ class Pieces:
             weights -= np.log(np.exp(weights).sum())
         else:
             weights = own
-        self.log_weight = np.full(n, -np.inf)
+        self.log_weight = np.full(n + 1, -np.inf)  # the last is that of id -1, no piece
         self.log_weight[list(texts)] = weights
         self.byte_weight = float(weights.min())
         self.longest = max(map(len, texts.values()))
@@ -157,47 +157,50 @@ class Pieces:
 class Words:
     """The lattices of the distinct words of a slice as chains of conditional choices.
 
-    Row ``base[w] + t`` is about the piece that ends at character t + 1 of word w: its
-    ``ids``, the ``weight`` of the ways and the running sum ``upto`` of their probabilities
-    for each piece length; ``alpha`` is the weight of all.
+    Row ``off[t] + rank[w]`` is about the piece that ends at character t + 1 of word w, long
+    words first, so the rows of a place t are one block: their ``ids``, the ``weight`` of the
+    ways and the running sum ``upto`` of their probabilities for each piece length; ``alpha``
+    is the weight of all, ``ways`` their number.
     """
 
     def __init__(self, pieces: Pieces, points: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         order = np.argsort(starts - ends, kind="stable")  # longest first
         length = (ends - starts)[order]
-        self.base = np.zeros(len(order), np.int64)
-        self.base[order] = at = np.cumsum(length) - length
-        total = int(length.sum())
-        place = np.arange(total) - np.repeat(at, length)
-        text = points[np.repeat(starts[order], length) + place]
-        prefix, width = C.prefix_hashes(_values(text)), min(pieces.longest, int(length.max(initial=1)))
-        self.ids = np.full((total, width), -1, np.int32)
-        end = np.arange(1, total + 1)
+        self.rank = np.empty(len(order), np.int64)
+        self.rank[order] = np.arange(len(order))
+        at, total, longest = np.cumsum(length) - length, int(length.sum()), int(length.max(initial=0))
+        live = np.searchsorted(-length, -np.arange(1, longest + 1), "right")
+        self.off = off = np.concatenate([[0], np.cumsum(live)])
+        text = points[np.repeat(starts[order] - at, length) + np.arange(total)]
+        prefix, width = C.prefix_hashes(_values(text)), max(min(pieces.longest, longest), 1)
+        end = np.concatenate([at[:k] + t + 1 for t, k in enumerate(live.tolist())]) if longest else at
+        found, last = [], 1
         for n in range(1, width + 1):
-            rows = np.flatnonzero(place >= n - 1)
-            self.ids[rows, n - 1] = pieces.find(C.span_hash(prefix, end[rows] - n, end[rows]))
-        used = np.flatnonzero((self.ids >= 0).any(axis=0))
-        width = int(used[-1]) + 1 if len(used) else 1
-        self.ids = np.ascontiguousarray(self.ids[:, :width])
-        weight = np.where(self.ids >= 0, pieces.log_weight[self.ids], -np.inf)
+            own = end[off[n - 1]:] if n <= longest else end
+            found.append(pieces.find(C.span_hash(prefix, own - n, own)))
+            if (found[-1] >= 0).any():
+                last = n
+        self.ids = np.full((total, last), -1, np.int32)
+        for n in range(1, min(last, longest) + 1):
+            self.ids[off[n - 1]:, n - 1] = found[n - 1]
+        weight = pieces.log_weight[self.ids]
         # A word that no piece covers is one character; its bytes are one way.
-        bare = np.flatnonzero((self.ids[:, 0] < 0) & (place == 0) & (np.repeat(length, length) == 1))
+        single = int(np.searchsorted(-length, -1, "left"))
+        bare = single + np.flatnonzero(self.ids[single:len(order), 0] < 0)
         self.foreign: list[np.ndarray] = []
         for row in bare.tolist():
-            own = pieces.byte_ids[list(chr(int(text[row])).encode())]
+            own = pieces.byte_ids[list(chr(int(text[at[row]])).encode())]
             weight[row, 0] = pieces.byte_weight * len(own)
             self.ids[row, 0] = own[0] if len(own) == 1 else pieces.size + len(self.foreign)
             if len(own) > 1:
                 self.foreign.append(own)
         # Forward sums: a way to end at t with a piece of n characters weighs alpha[t - n] + weight.
         self.weight, self.alpha = weight, np.full(total, -np.inf)
-        self.upto = np.full((total, width), 2.0, np.float32)
-        live = len(order)
-        for t in range(int(length.max(initial=0))):
-            live = int(np.searchsorted(-length[:live], -(t + 1), "right"))
-            rows, most = at[:live] + t, min(t + 1, width)
-            for n in range(1, min(t, width) + 1):
-                weight[rows, n - 1] += self.alpha[rows - n]
+        self.upto = np.full((total, last), 2.0, np.float32)
+        for t in range(longest):
+            rows, most, count = slice(off[t], off[t + 1]), min(t + 1, last), int(live[t])
+            for n in range(1, min(t, last) + 1):
+                weight[rows, n - 1] += self.alpha[off[t - n]:off[t - n] + count]
             own = weight[rows, :most]
             top = own.max(axis=1)
             share = np.exp(own - top[:, None])
@@ -206,6 +209,11 @@ class Words:
             share /= share[:, -1:]
             share[share >= 1 - 1e-9] = 2.0  # the last way takes what rounding left over
             self.upto[rows, :most] = share
+        self.ways = np.isfinite(weight).sum(axis=1)
+
+    def place(self, row: np.ndarray) -> np.ndarray:
+        """The place t of each row."""
+        return np.searchsorted(self.off, row, "right") - 1
 
     def log_p(self, row: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Log-probability of a piece of ``n`` characters, given where it ends."""
@@ -222,20 +230,20 @@ class _Paths:
         self.gumbel = np.zeros(len(docs))
 
 
-def _draw(words: Words, seeds: np.ndarray, tag: int, occ: np.ndarray, row: np.ndarray, left: np.ndarray):
+def _draw(words: Words, seeds: np.ndarray, tag: int, occ: np.ndarray, rank: np.ndarray, left: np.ndarray):
     """Draw the choices of word occurrences with ``left`` characters to go; in order of occurrence."""
     live = np.flatnonzero(left > 0)
     count, steps = np.zeros(len(occ), np.int64), []
-    row, left = row.copy(), left.copy()
+    seeds, occ, rank, left, step = seeds[live], occ[live], rank[live], left[live], 0
     while len(live):
-        r = row[live]
-        u = _uniform(seeds[live], tag, occ[live], left[live])
-        n = 1 + (words.upto[r] < u[:, None].astype(np.float32)).sum(axis=1)
-        steps.append((live, count[live], r, n))
-        count[live] += 1
-        left[live] -= n
-        row[live] -= n
-        live = live[left[live] > 0]
+        r = words.off[left - 1] + rank
+        u = _uniform(seeds, tag, occ, left).astype(np.float32)
+        n = 1 + np.count_nonzero(words.upto[r] < u[:, None], axis=1)
+        steps.append((live, step, r, n))
+        count[live] = step = step + 1
+        left = left - n
+        more = left > 0
+        live, seeds, occ, rank, left = live[more], seeds[more], occ[more], rank[more], left[more]
     start = np.cumsum(count) - count
     rows, ns = np.zeros(int(count.sum()), np.int64), np.zeros(int(count.sum()), np.int64)
     for who, step, r, n in steps:
@@ -278,7 +286,7 @@ def _best(words, paths, seeds, tag, lp, before, owner, place, at, first, closed,
     """The ``most`` sets of each path with the highest maxima among the choices ``at``."""
     own, m = owner[at], place[at]
     p = np.exp(lp[at])
-    ways = np.isfinite(words.weight[paths.row[at]]).sum(axis=1)
+    ways = words.ways[paths.row[at]]
     for j in np.flatnonzero(m == first[own]).tolist():
         for n in closed[own[j]]:
             p[j] += np.exp(words.weight[paths.row[at[j]], n - 1] - words.alpha[paths.row[at[j]]])
@@ -288,7 +296,15 @@ def _best(words, paths, seeds, tag, lp, before, owner, place, at, first, closed,
     mass = before[at] + np.log1p(-np.minimum(p, 1 - 1e-16))
     log_e = np.log(-np.log(_uniform(seeds[paths.docs[own]], tag, np.full(len(m), 1 << 40), m)))
     best = -np.logaddexp(-paths.gumbel[own], log_e - mass)
-    order = np.lexsort((-best, own))
+    # Only choices up to the ``most``-th best value of a path are sorted.
+    heads = np.flatnonzero(np.diff(own, prepend=-1))
+    counts, rest = np.diff(heads, append=len(own)), best
+    for i in range(most if len(own) else 0):
+        bound = np.repeat(np.maximum.reduceat(rest, heads), counts)
+        if i < most - 1:
+            rest = np.where(rest == bound, -np.inf, rest)
+    high = np.flatnonzero(best >= bound) if len(own) and most else np.zeros(0, np.int64)
+    order = high[np.lexsort((-best[high], own[high]))]
     starts = np.searchsorted(own[order], np.arange(len(first)))
     rank = np.arange(len(order)) - starts[own[order]]
     order = order[rank < most]
@@ -315,13 +331,13 @@ def sample_texts(pieces: Pieces, texts: list[str], keys: list[int], k: int) -> l
     _, one, word = np.unique(hashes, return_index=True, return_inverse=True)
     words = Words(pieces, points, starts[one], ends[one])
     size = ends - starts
-    row0 = words.base[word] + size - 1
+    rank = words.rank[word]
     occ_at = np.searchsorted(starts, doc_at)
     seeds = C.fmix(np.array([key & 0xFFFFFFFFFFFFFFFF for key in keys], _U) ^ _U(0xD1B54A32D192ED03))
     doc_of = np.repeat(np.arange(len(texts)), np.diff(occ_at))
     local = np.arange(len(starts)) - occ_at[doc_of]
 
-    count, rows, ns = _draw(words, seeds[doc_of], 0, local, row0, size)
+    count, rows, ns = _draw(words, seeds[doc_of], 0, local, rank, size)
     at = np.concatenate([[0], np.cumsum(count)])[occ_at]
     paths = _Paths(np.arange(len(texts)), at, np.repeat(local, count), rows, ns)
     paths.gumbel = -np.log(-np.log(_uniform(seeds, 0, np.full(len(texts), 1 << 41))))
@@ -329,7 +345,7 @@ def sample_texts(pieces: Pieces, texts: list[str], keys: list[int], k: int) -> l
     found = [paths]
     _open(agendas, words, paths, seeds, 0, np.zeros(len(texts), np.int64), [frozenset()] * len(texts), k)
     for tag in range(1, k):
-        paths = _next(words, found, agendas, seeds, tag, k, occ_at, row0, size)
+        paths = _next(words, found, agendas, seeds, tag, k, occ_at, rank, size)
         if paths is None:
             break
         found.append(paths)
@@ -344,7 +360,7 @@ def sample_texts(pieces: Pieces, texts: list[str], keys: list[int], k: int) -> l
     return out
 
 
-def _next(words, found, agendas, seeds, tag, k, occ_at, row0, size) -> _Paths | None:
+def _next(words, found, agendas, seeds, tag, k, occ_at, rank, size) -> _Paths | None:
     """Take the best set of each text and draw its best path; the new parts of all texts at once."""
     docs = np.array([d for d, agenda in enumerate(agendas) if agenda], np.int64)
     if not len(docs):
@@ -367,11 +383,10 @@ def _next(words, found, agendas, seeds, tag, k, occ_at, row0, size) -> _Paths |
     part = np.repeat(np.arange(len(docs)), span)
     head = np.cumsum(span) - span
     where = here[part] + np.arange(len(part)) - head[part]
-    rows_, left = row0[where], size[where]
-    left[head] = row - (row0[here] - size[here] + 1) + 1 - n
-    rows_[head] = row - n
+    left = size[where]
+    left[head] = words.place(row) + 1 - n
     occs_ = where - occ_at[docs][part]
-    count, rows, ns = _draw(words, seeds[docs][part], tag, occs_, rows_, left)
+    count, rows, ns = _draw(words, seeds[docs][part], tag, occs_, rank[where], left)
     occs = np.repeat(occs_, count)
     ends = np.cumsum(count)[head + span - 1]
     parts, a = [], 0

@@ -1,10 +1,13 @@
 """Steps that must not grow past their input: what is staged, joined and built again."""
 
+import math
 import random
 
+import numpy as np
+import public_tokenizers
 import pytest
 
-from presswork.llm import common, line_dedup, secrets
+from presswork.llm import common, lattice, line_dedup, secrets
 from presswork.plans import skew
 
 
@@ -76,3 +79,20 @@ def test_heavy_values_need_no_join_of_their_own(spark):
         out = skew.attach_dealt(rows, side, "v", heavy, "id")
         assert sorted(map(str, out.collect())) == want
         assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_rows_of_a_place_are_one_block():
+    pieces = lattice.Pieces.of_worker(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [" the", "é", " there", "\U000f0000", " in"]
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    ends = np.cumsum([len(t) for t in texts])
+    words = lattice.Words(pieces, points, ends - [len(t) for t in texts], ends)
+    assert np.diff(words.off).tolist() == [sum(len(t) > place for t in texts) for place in range(6)]
+    weights = {pieces.data[i].decode(): pieces.log_weight[i] for i in range(pieces.size) if np.isfinite(pieces.log_weight[i])}
+    for text, rank in zip(texts, words.rank.tolist()):
+        sums = [0.0]
+        for t in range(1, len(text) + 1):
+            ways = [math.exp(sums[t - n] + weights[text[t - n:t]]) for n in range(1, t + 1) if text[t - n:t] in weights]
+            sums.append(math.log(sum(ways)) if ways else pieces.byte_weight * len(text.encode()))
+        got = words.alpha[words.off[:len(text)] + rank]
+        assert np.allclose(got, sums[1:]) and (words.place(words.off[:len(text)] + rank) == np.arange(len(text))).all()
