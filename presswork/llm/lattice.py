@@ -174,15 +174,14 @@ class Words:
         text = points[np.repeat(starts[order] - at, length) + np.arange(total)]
         prefix, width = C.prefix_hashes(_values(text)), max(min(pieces.longest, longest), 1)
         end = np.concatenate([at[:k] + t + 1 for t, k in enumerate(live.tolist())]) if longest else at
-        found, last = [], 1
-        for n in range(1, width + 1):
-            own = end[off[n - 1]:] if n <= longest else end
-            found.append(pieces.find(C.span_hash(prefix, own - n, own)))
-            if (found[-1] >= 0).any():
+        ids, last = np.full((total, width), -1, np.int32), 1
+        for n in range(1, min(width, longest) + 1):
+            own = end[off[n - 1]:]
+            ids[off[n - 1]:, n - 1] = pieces.find(C.span_hash(prefix, own - n, own))
+            if (ids[off[n - 1]:, n - 1] >= 0).any():
                 last = n
-        self.ids = np.full((total, last), -1, np.int32)
-        for n in range(1, min(last, longest) + 1):
-            self.ids[off[n - 1]:, n - 1] = found[n - 1]
+        self.ids = np.ascontiguousarray(ids[:, :last])
+        del ids, prefix, end
         weight = pieces.log_weight[self.ids]
         # A word that no piece covers is one character; its bytes are one way.
         single = int(np.searchsorted(-length, -1, "left"))
