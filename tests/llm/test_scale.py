@@ -51,6 +51,28 @@ def test_lines_same_in_any_number_of_passes(spark, documents, monkeypatch):
     assert found[0] == found[1] == found[2] and sum(r[2] for r in found[0]) > 12
 
 
+def test_lines_of_unlike_lengths_do_not_meet(spark, documents, monkeypatch, written):
+    monkeypatch.setattr(line_dedup, "_may_match", lambda x, y, percent: "true")
+    line_dedup.dedup_lines(documents([" ".join(["rare", *(f"w{i}" for i in range(n))]) for n in (9, 19, 39, 79, 159)])).collect()
+    assert [rows for name, rows, _ in written if name == "line-pairs"] == [0] * 5
+
+
+@pytest.mark.parametrize("percent", [34, 50, 80, 100])
+def test_lines_of_many_lengths_against_brute_force(spark, documents, percent):
+    rng = random.Random(percent)
+    lines = [rng.sample(range(40), rng.randint(1, 30)) for _ in range(60)]
+    lines += [rng.sample(line + [50, 51], max(1, len(line) - rng.randint(0, 3))) for line in lines]
+    texts = [" ".join(f"w{i}" for i in line) for line in lines]
+    texts = [rng.choice(["", "\t", " \x0b"]) + t.replace(" ", rng.choice([" ", "\r", "\x0c \t"])) + rng.choice(["", "  "]) for t in texts]
+    sets, want = [set(line) for line in lines], set()
+    for i, own in enumerate(sets):
+        if any(100 * len(own & other) >= percent * len(own | other) for other in sets[:i]):
+            want.add(i)
+    got = line_dedup.dedup_lines(documents(["\n".join(texts)]), percent).first()
+    left = [t for i, t in enumerate(texts) if i not in want]
+    assert got._n_removed == len(want) > 0 and got.text == "\n".join(left)
+
+
 def test_keys_of_lines_are_built_once(spark, documents, monkeypatch):
     plans, own = {}, common.staged
 
