@@ -134,14 +134,25 @@ class Index:
     plain: float           # share of toxic rows without any term
     overall: float
     examples: np.ndarray   # postings by term, block and example
-    weights: np.ndarray
+    counts: np.ndarray     # how often each posting's example has the term, in the least bytes that hold it
+    lengths: np.ndarray    # of the vector of each example
     terms: np.ndarray      # first block of each term's list, and the end
     starts: np.ndarray     # first posting of each such block, and the end
 
-    def vector(self, places: np.ndarray, counts: np.ndarray, others: np.ndarray) -> np.ndarray:
+    def _parts(self, places: np.ndarray, counts: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, float]:
         v = (1 + np.log(counts)) * self.factors[places]
         rest = ((1 + np.log(others)) * self.foreign) if len(others) else np.zeros(1)
-        return v / np.sqrt((v * v).sum() + (rest * rest).sum())
+        return v, np.sqrt((v * v).sum() + (rest * rest).sum())
+
+    def vector(self, places: np.ndarray, counts: np.ndarray, others: np.ndarray) -> np.ndarray:
+        v, length = self._parts(places, counts, others)
+        return v / length
+
+    @cached_property
+    def weights(self) -> np.ndarray:
+        """The weight of each posting. Made where it is used; the counts alone travel."""
+        sizes = self.starts[self.terms[1:]] - self.starts[self.terms[:-1]]
+        return (1 + np.log(self.counts.astype(float))) * np.repeat(self.factors, sizes) / self.lengths[self.examples]
 
     @cached_property
     def dense(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,19 +248,23 @@ def build_index(rows: list[tuple], df: np.ndarray, n_docs: int, boost: np.ndarra
     none = np.zeros(0, np.int64)
     index = Index(
         factors, math.log((1 + n_docs) / 2) + 1, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float),
-        np.array([r[2] for r in rows], float), plain, overall, none, none, none, none)
-    term = [np.asarray(r[3], np.int64) for r in rows]
-    weights = [index.vector(p, np.asarray(r[4], float), none) if len(p) else np.zeros(0) for p, r in zip(term, rows)]
-    example = np.repeat(np.arange(len(rows)), [len(p) for p in term])
-    term, weights = np.concatenate([none, *term]), np.concatenate([np.zeros(0), *weights])
+        np.array([r[2] for r in rows], float), plain, overall, none, none, np.ones(len(rows)), none, none)
+    term, no_terms = [np.asarray(r[3], np.int32) for r in rows], np.zeros(0, np.int32)
+    for i, (places, r) in enumerate(zip(term, rows)):
+        if len(places):
+            index.lengths[i] = index._parts(places, np.asarray(r[4], float), none)[1]
+    example = np.repeat(np.arange(len(rows), dtype=np.int32), [len(p) for p in term])
+    counts = np.concatenate([no_terms, *(np.asarray(r[4], np.int32) for r in rows)])
+    term = np.concatenate([no_terms, *term])
     order = np.lexsort((example, term))
-    term, index.examples, index.weights = term[order], example[order], weights[order]
+    term, index.examples = term[order], example[order].astype(np.min_scalar_type(len(rows)))
+    index.counts = counts[order].astype(np.min_scalar_type(int(counts.max(initial=0))))
     # An entry for each term and block that has postings.
     block = index.examples // BLOCK
     fresh = np.ones(len(term), bool)
     fresh[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
     begin = np.flatnonzero(fresh)
-    index.starts, index.examples = np.append(begin, len(term)), index.examples.astype(np.int32)
+    index.starts = np.append(begin, len(term)).astype(np.int32 if len(term) < 1 << 31 else np.int64)
     index.terms = np.searchsorted(term[begin], np.arange(len(factors) + 1))
     return index
 

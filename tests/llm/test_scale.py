@@ -1,13 +1,14 @@
 """Steps that must not grow past their input: what is staged, joined and built again."""
 
 import math
+import pickle
 import random
 
 import numpy as np
 import public_tokenizers
 import pytest
 
-from presswork.llm import common, lattice, line_dedup, secrets
+from presswork.llm import common, lattice, line_dedup, secrets, toxicity
 from presswork.plans import skew
 
 
@@ -118,3 +119,20 @@ def test_rows_of_a_place_are_one_block():
             sums.append(math.log(sum(ways)) if ways else pieces.byte_weight * len(text.encode()))
         got = words.alpha[words.off[:len(text)] + rank]
         assert np.allclose(got, sums[1:]) and (words.place(words.off[:len(text)] + rank) == np.arange(len(text))).all()
+
+
+def test_index_of_examples_travels_without_weights():
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(300):
+        places = np.sort(rng.choice(2000, rng.integers(0, 400), replace=False))
+        rows.append((i, i % 2, 1.0, places, rng.integers(1, 300 if i == 7 else 9, len(places))))
+    index = toxicity.build_index(rows, rng.integers(1, 500, 2000).astype(float), 1000)
+    there = pickle.loads(pickle.dumps(index))
+    postings = sum(len(r[3]) for r in rows)
+    assert len(pickle.dumps(index)) < 5 * postings + 50_000
+    found = np.zeros((300, 2000))
+    found[there.examples, np.repeat(np.arange(2000), np.diff(there.starts[there.terms]))] = there.weights
+    for row, (_, _, _, places, counts) in zip(found, sorted(rows, key=lambda r: (r[1], r[0]))):
+        want = index.vector(places, counts.astype(float), np.zeros(0)) if len(places) else []
+        assert (row[places] == want).all() and np.count_nonzero(row) == len(places)
