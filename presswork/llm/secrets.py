@@ -114,7 +114,8 @@ def _pair_table(words: DataFrame) -> Column | None:
     if not rows:
         return None
     total = sum(r["count"] for r in rows)
-    text = ",".join(f"{r.p}:{r['count'] / total:.8f}" for r in rows)
+    # The least share is that of the last place written: 0, which the rarest pairs of large tables come to, has no logarithm.
+    text = ",".join(f"{r.p}:{max(r['count'] / total, 1e-8):.8f}" for r in rows)
     return F.str_to_map(F.lit(text), F.lit(","), F.lit(":"))
 
 

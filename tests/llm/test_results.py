@@ -420,6 +420,13 @@ def test_secrets_inside_words(spark, documents):
     assert {(r.doc_id, r.place, r["at"], r.value) for r in got} == want
 
 
+def test_secret_pairs_that_are_very_rare(spark, documents):
+    docs = documents(["qzqzqzqzqz and harbour_lantern"])
+    words = spark.createDataFrame([("harbour", 10**10), ("qz", 1)], "run string, n long")
+    rows = {r["value"]: r["pairs"] for r in secrets.featured(secrets.candidates(docs), words).collect()}
+    assert rows["qzqzqzqzqz"] is not None and rows["qzqzqzqzqz"] < rows["harbour_lantern"]
+
+
 def test_secret_statistics_cover_all_texts(spark, documents):
     docs = documents(["harbour lantern meadow one two", "harbour two one lantern", "x harbour_lantern_meadow y"])
     words = secrets.word_counts(docs)
