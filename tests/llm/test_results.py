@@ -92,7 +92,8 @@ def test_signature_estimates_similarity():
 @pytest.fixture(scope="module")
 def duck(sf):
     db = duckdb.connect()
-    db.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        db.execute(f"create view {table} as select * from '{sf}/{table}.parquet'")
     return db
 
 
